@@ -152,7 +152,8 @@ def quality_rules(
     mark = "_trusted_id"
     ids = trusted_ids.select(F.col(id_col).alias(mark)).where(F.col(mark).isNotNull()).distinct()
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    marked = own.join(ids, F.col("_id") == F.col(mark), "left")
+    # a merge join at every size: texts move once, and nothing that grows is broadcast
+    marked = own.join(ids.hint("merge"), F.col("_id") == F.col(mark), "left")
     ratios = log_ratios(marked, F.col(mark).isNotNull(), "_text", buckets)
     table = F.from_json(F.lit("[" + ",".join(map(repr, ratios)) + "]"), "array<double>")
 
