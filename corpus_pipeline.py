@@ -1,11 +1,73 @@
-"""The corpus pipeline: quality rules, exact dedup, near dedup, source mixing, packing."""
+"""The corpus pipeline: quality rules, exact dedup, near dedup, source mixing, packing.
 
+Each stage takes all that its predecessor kept, calls one operator of ``tessera.llm``, and
+lets its decisions take effect. All but the last return the columns of ``documents``, and
+keep extra columns out of the way of their own.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import materialise, table
+from tessera.llm.exact_dedup import exact_owners
+from tessera.llm.mixing import mix_sources
+from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import pack_documents
+from tessera.llm.quality_rules import quality_rules
+
+#: No SQL gives the hashed n-gram, near-duplicate, mixing and packing decisions.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    judged = quality_rules(docs, trusted)
+    return judged.where(F.col("quality.kept")).select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are told apart by id and text; of rows that repeat both, one stays."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), upper, lower), 256)
+    kept = exact_owners(docs, owner="smallest").where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
+    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (digest == F.col("_sha")), "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    return left.withColumn("_sha", digest).dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document the mix takes twice is two rows from here on."""
+    taken = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("taken div size").cast("int").alias("_copies"))
+    chosen = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("source mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage{k}")
     return docs
