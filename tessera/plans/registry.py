@@ -2,5 +2,40 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.fact_tables import AUDIT_SQL, EDGES_SQL, NODES_SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+GRAPH = f"WITH RECURSIVE nodes AS ({NODES_SQL}), edges AS ({EDGES_SQL})"
+AUDIT = f"WITH RECURSIVE audit AS ({AUDIT_SQL})"
+
+
+def query(name: str, sql: str | None = None, *, graph: str | None = None, audit: str | None = None):
+    """Register a query; ``graph`` and ``audit`` are oracles that go on after those views' CTEs."""
+
+    def keep(f):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = f
+        if graph is not None:
+            ORACLES[name] = f"{GRAPH} {graph}"
+        elif audit is not None:
+            ORACLES[name] = f"{AUDIT} {audit}"
+        elif sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def load() -> None:
+    """Import every module of queries."""
+    from . import graph_queries  # noqa: F401
+
+
+load()
