@@ -11,9 +11,9 @@ similarity. Then:
    every other class is a candidate of the hub only: a bucket of k classes gives k - 1
    pairs. Each class is first compared with the hub that shares most bands with it, then
    with its other hubs as far as they lie in other components;
-3. buckets that still hold several components are compared across components, after being
-   cut finer by a second set of bands where they are large, so that the rare link that no
-   hub shows is found, too;
+3. buckets that still hold several components are compared exactly across components, in
+   blocks, so that the rare link that no hub shows is found, too: intersections come from
+   matrix products inside a task, and no pair becomes a row;
 4. candidates are estimated jointly by maximum likelihood from the three counts of
    greater, smaller and equal registers, and dropped only six standard errors below the
    threshold; the rest are confirmed on full sets;
@@ -183,9 +183,8 @@ def components(edges: DataFrame) -> DataFrame:
 class NearDuplicates:
     """The steps of :func:`near_duplicates`, one method each."""
 
-    def __init__(self, percent: int, bands: int, rows: int, width: int, fine_rows: int, fine_bands: int, large_bucket: int) -> None:
-        self.percent, self.bands, self.rows, self.width = percent, bands, rows, width
-        self.fine_rows, self.fine_bands, self.large_bucket = fine_rows, fine_bands, large_bucket
+    def __init__(self, percent: int, bands: int, rows: int, width: int, block: int) -> None:
+        self.percent, self.bands, self.rows, self.width, self.block = percent, bands, rows, width, block
         j = percent / 100
         self.floor = j - 6 * (j * (1 - j) / (bands * rows)) ** 0.5
 
@@ -197,17 +196,6 @@ class NearDuplicates:
         )
         return classes.select(F.explode(band).alias("key"), "node")
 
-    def fine_keys(self, crowded: DataFrame) -> DataFrame:
-        """Cuts large buckets: the bucket's key with each of a second set of bands, of registers spread over the first."""
-        total = self.bands * self.rows
-
-        def piece(b: Column) -> Column:
-            at = [F.pmod(b * self.fine_rows * 7 + k * 61, F.lit(total)) for k in range(self.fine_rows)]
-            return F.xxhash64(F.col("key"), b, *[F.substring(F.col("registers"), x * 2 + 1, F.lit(2)) for x in at])
-
-        fine = F.transform(F.sequence(F.lit(0), F.lit(self.fine_bands - 1)), piece)
-        return crowded.select(F.explode(fine).alias("key"), "node", "label", "n")
-
     def likely(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs (a, b) that their registers don't rule out."""
         side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
@@ -247,6 +235,79 @@ class NearDuplicates:
         return joined.mapInArrow(verify, "a long, b long")
 
 
+    def across(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links between components that share a bucket, at most one for each two components of it.
+
+        A bucket is one piece of work; one of more than ``block`` classes is as many as it
+        has pairs of blocks, each with the classes of two blocks at most. Intersections of
+        full sets come from products of 0/1 matrices, so no pair becomes a row.
+        """
+        width, percent = self.width, self.percent
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        with_block = members.withColumn("mine", mine)
+        paired = with_block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        work = paired.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label")
+
+        def link(rows: list[tuple[int, int, bytes]], sets: dict[int, np.ndarray], hashes: WordHashes) -> list[tuple[int, int]]:
+            for node, _, body in rows:
+                if node not in sets:
+                    sets[node] = shingle_set(zlib.decompress(body).split(), hashes, width)
+            own = [sets[node] for node, _, _ in rows]
+            size = np.array([len(s) for s in own], np.int64)
+            _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(own)), size)
+            shared = times[column] > 1
+            row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            inter = np.zeros((len(own), len(own)), np.float32)  # exact up to 2^24
+            step = max(64, (16 << 20) // (4 * len(own)))
+            for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+                low, high = np.searchsorted(column, [at, at + step])
+                part = np.zeros((len(own), step), np.float32)
+                part[row[low:high], column[low:high] - at] = 1
+                inter += part @ part.T
+            inter = inter.astype(np.int64)
+            near = np.triu(100 * inter >= percent * (size[:, None] + size[None, :] - inter), 1)
+            label = np.unique([x for _, x, _ in rows], return_inverse=True)[1]
+            a, b = np.nonzero(near & (label[:, None] != label[None, :]))
+            above, out = list(range(int(label.max()) + 1)), []
+
+            def root(x: int) -> int:
+                while above[x] != x:
+                    above[x] = x = above[above[x]]
+                return x
+
+            _, first = np.unique(label[a] * len(above) + label[b], return_index=True)
+            for k in first:
+                x, y = root(int(label[a[k]])), root(int(label[b[k]]))
+                if x != y:
+                    above[x] = y
+                    out.append((rows[a[k]][0], rows[b[k]][0]))
+            return out
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, sets, current, rows, links = WordHashes(), {}, None, [], []
+            for batch in batches:
+                for key, i, j, node, label, body in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                    if (key, i, j) != current:
+                        if len(rows) > 1:
+                            links += link(rows, sets, hashes)
+                        current, rows = (key, i, j), []
+                        if sum(map(len, sets.values())) > 4_000_000:
+                            sets.clear()
+                    rows.append((node, label, body))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+                    links = []
+            if len(rows) > 1:
+                links += link(rows, sets, hashes)
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+
+        dealt = work.join(texts, "node").select("key", "i", "j", "node", "label", "body").repartition("key", "i", "j")
+        return dealt.sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -255,9 +316,7 @@ def near_duplicates(
     bands: int = 60,
     rows: int = 5,
     width: int = 5,
-    fine_rows: int = 4,
-    fine_bands: int = 48,
-    large_bucket: int = 64,
+    block: int = 1_024,
 ) -> DataFrame:
     """``id_col``, n_shingles, component_id and kept, one row for each row of ``docs``.
 
@@ -269,7 +328,7 @@ def near_duplicates(
     with its set (then component_id is null and kept is true). Rows without an id are
     linked by equal sets only. Other columns are not read.
     """
-    plan = NearDuplicates(percent, bands, rows, width, fine_rows, fine_bands, large_bucket)
+    plan = NearDuplicates(percent, bands, rows, width, block)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
     sets = materialise(_sets(own, bands * rows, width), "sets")
     classes = materialise(
@@ -333,23 +392,12 @@ def near_duplicates(
     mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).join(
         members.select("key", "label").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1"), "key"
     )
+    # what takes part: rows of mixed buckets, with the number of blocks that a large bucket is cut into
     open_rows = materialise(
-        members.join(mixed.select("key", "k"), "key").join(classes.select("node", "n", "registers"), "node"), "mixed"
+        members.join(mixed.select("key", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("blocks")), "key").select("key", "node", "label", "blocks"), "mixed"
     )
     if not open_rows.isEmpty():
-        small = open_rows.where(F.col("k") <= large_bucket).select("key", "node", "label", "n")
-        fine = plan.fine_keys(open_rows.where(F.col("k") > large_bucket))
-        found = small.union(fine)
-        left, right = (found.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n")]) for x in ("a", "b"))
-        across = (
-            left.join(right, "key")
-            .where("node_a < node_b AND label_a <> label_b")
-            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-            .distinct()
-            .join(stars.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        last = materialise(plan.confirmed(plan.likely(across, classes), texts), "links")
+        last = materialise(plan.across(open_rows, texts), "links")
         if not last.isEmpty():
             edges = edges.union(last)
             labels = materialise(components(edges), "labels")
