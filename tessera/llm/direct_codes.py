@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise
-from .tokens import CachedEncoder, small_batches
+from .tokens import encoder as shared_encoder
+from .tokens import small_batches
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -150,7 +151,7 @@ def write_token_codes(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, encoder = to_arrow_schema(schema), CachedEncoder(tokenizer, spaces)
+        arrow, encoder = to_arrow_schema(schema), shared_encoder(tokenizer, spaces)
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
         ids, counts, parts, held = [], [], [], 0
 

@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialise
-from .tokens import CachedEncoder, small_batches
+from .tokens import encoder as shared_encoder
+from .tokens import small_batches
 
 Run = tuple[tuple[int, ...], int]  # lengths of a sequence, and how many sequences have them
 
@@ -214,7 +215,7 @@ def pack_documents(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, encoder = to_arrow_schema(schema), CachedEncoder(tokenizer, spaces)
+        arrow, encoder = to_arrow_schema(schema), shared_encoder(tokenizer, spaces)
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             names = iter(batch.column(0).to_pylist())

@@ -1,28 +1,43 @@
 """Token ids of whole texts, exactly as the tokenizers library gives them, word by word.
 
-Both vocabularies cut a text into pre-tokens before any merge, and no pre-token crosses the
-cuts made here, so a word's ids don't depend on its neighbours: each distinct word is
-encoded once by the library and remembered. Strings that look like special tokens are
-ordinary text.
+Both kinds of vocabulary cut a text into pre-tokens before any merge, and no pre-token
+crosses the cuts made here, so a word's ids don't depend on its neighbours: the library's
+model sees each distinct piece once, as long as it is remembered. Words of plain letters,
+digits and ASCII marks are cut into pieces here; any other word goes through the library's
+whole normaliser and pre-tokeniser. Strings that look like special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
 _UNSAFE = re.compile(r"\s \s")
+#: Letters that lower-case one to one and that no normal form changes.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARK = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
+_PLAIN = re.compile(rf"[{_LETTER}0-9{_MARK}]+(?:\n[{_LETTER}0-9{_MARK}]+)*")
+_PIECE_DROPPED = re.compile(rf"[{_LETTER}]+|[0-9]|[{_MARK}]+")
+_PIECE_LEADING = re.compile(rf"[{_LETTER}]+|[0-9]+|[{_MARK}]+|\n")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: itself where it is visible, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class CachedEncoder:
     """``encode(texts)``: for each text its ids as little-endian unsigned 32-bit integers.
 
-    ``spaces``: "dropped" where the vocabulary drops white space (words are cut at ASCII
-    white space), "leading" where a word takes the space before it (cut before each space
-    that has visible text on one side; a text with another kind of space run is encoded
-    whole).
+    ``spaces``: "dropped" for a lower-casing vocabulary that drops white space (words are
+    cut at ASCII white space, digits stand alone), "leading" for one where a word takes the
+    space before it (cut before each space that has visible text on one side; a text with
+    another kind of space run is encoded whole).
     """
 
     def __init__(self, path: str, spaces: str, remember: int = 300_000) -> None:
@@ -33,35 +48,67 @@ class CachedEncoder:
             raise ValueError("spaces is 'dropped' or 'leading'")
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        self.letters = _byte_letters()
         self.leading = spaces == "leading"
         self.remember = remember
-        self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= self.remember:
+                self.pieces.clear()
+            written = piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a word as ``encode`` cuts it; a leading zero byte marks a text's first word, which has no space before it."""
+        if not self.leading:
+            text = word.decode()
+            if not _PLAIN.fullmatch(text):
+                return self._whole(text)
+            return b"".join([self._piece(p) for p in _PIECE_DROPPED.findall(text.lower())])
+        first = word[:1] == b"\0"
+        text = word[first:].decode()
+        if not _PLAIN.fullmatch(text):
+            return self._whole(text if first else " " + text)
+        pieces = _PIECE_LEADING.findall(text)
+        if not first:
+            pieces[0] = " " + pieces[0]
+        return b"".join([self._piece(p) for p in pieces])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut: list[list[bytes] | None] = []
+        out, known = [], self.words
         for text in texts:
             if not self.leading:
-                cut.append(text.split())
+                words = text.split()
             elif _UNSAFE.search(text.decode()):
-                cut.append(None)
+                out.append(self._whole(text.decode()))
+                continue
             else:
-                first, *rest = text.split(b" ")
-                cut.append([b"\0" + first, *rest] if first else rest)
-        new = set()
-        for words in cut:
-            if words is not None:
-                new.update(words)
-        if len(new) + len(self.known) > self.remember:
-            self.known.clear()
-        missing = list(new.difference(self.known))
-        # a leading zero byte marks a text's first word, which has no space before it
-        plain = [(w[1:] if w[:1] == b"\0" else b" " + w).decode() if self.leading else w.decode() for w in missing]
-        self.known.update(zip(missing, self._fresh(plain), strict=True))
-        known = self.known
-        return [b"".join([known[w] for w in words]) if words is not None else self._fresh([text.decode()])[0] for words, text in zip(cut, texts, strict=True)]
+                first, *words = text.split(b" ")
+                if first:
+                    words.insert(0, b"\0" + first)
+            new = set(words).difference(known)
+            if len(new) + len(known) > self.remember:
+                known.clear()
+                new = set(words)
+            for w in new:
+                known[w] = self._word(w)
+            out.append(b"".join([known[w] for w in words]))
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, spaces: str) -> CachedEncoder:
+    """One encoder a Python worker, shared by its tasks."""
+    return CachedEncoder(path, spaces)
 
 
 def small_batches(column, rows: int = 256, size: int = 4 << 20):
