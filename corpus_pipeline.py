@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import fresh, materialise, table
 from tessera.llm.exact_dedup import exact_owners
 from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
@@ -24,31 +24,35 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
-    judged = quality_rules(docs, trusted)
-    return judged.where(F.col("quality.kept")).select(*docs.columns)
+    into = fresh(docs, "quality")
+    judged = quality_rules(docs, trusted, into=into)
+    return judged.where(F.col(f"{into}.kept")).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by id and text; of rows that repeat both, one stays."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), upper, lower), 256)
-    kept = exact_owners(docs, owner="smallest").where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (digest == F.col("_sha")), "left_semi")
+    mine, sha = fresh(docs, "kept_id"), fresh(docs, "kept_sha")
+    kept = exact_owners(docs, owner="smallest").where("kept").select(F.col("doc_id").alias(mine), F.col("text_sha256").alias(sha))
+    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(mine)) & (digest == F.col(sha)), "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
-    return left.withColumn("_sha", digest).dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    return left.withColumn(sha, digest).dropDuplicates(["doc_id", sha]).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    mine = fresh(docs, "kept_id")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(mine))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(mine)), "left_semi")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document the mix takes twice is two rows from here on."""
-    taken = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("taken div size").cast("int").alias("_copies"))
-    chosen = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mine, copies, copy = fresh(docs, "taken_id"), fresh(docs, "copies"), fresh(docs, "copy")
+    taken = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias(mine), F.expr("taken div size").cast("int").alias(copies)).distinct()
+    chosen = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(mine)))
+    return chosen.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,22 +25,22 @@ from .common import WORD, materialise
 CELLS = 4096
 
 
-def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), budget_percent: int = 150, most_copies: int = 2) -> dict[str | None, float]:
+def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), budget_percent: int = 150, most_copies: int = 2, total: int | None = None) -> dict[str | None, float]:
     """Words wanted from each source: ``budget_percent`` of all sizes, shared by weight.
 
     Sources stand by code point, null last, and take ``weights`` in turn. No target exceeds
     ``most_copies`` times its source; what is over is shared among the others by weight,
-    until none is above.
+    until none is above. ``total``: all sizes, where sources overlap.
     """
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-8")) + ([None] if None in sizes else [])
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
     target: dict[str | None, float] = {}
-    rest, free = budget_percent * sum(sizes.values()) / 100, list(names)
+    rest, free = budget_percent * (sum(sizes.values()) if total is None else total) / 100, list(names)
     while free:
-        total = sum(weight[s] for s in free)
-        over = [s for s in free if rest * weight[s] / total > most_copies * sizes[s]]
+        shares = sum(weight[s] for s in free)
+        over = [s for s in free if rest * weight[s] / shares > most_copies * sizes[s]]
         if not over:
-            target |= {s: rest * weight[s] / total for s in free}
+            target |= {s: rest * weight[s] / shares for s in free}
             break
         for s in over:
             target[s] = float(most_copies * sizes[s])
@@ -154,7 +154,7 @@ def mix_sources(
     for p, n in zip(patterns, supply, strict=True):
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
-    targets = source_targets(sizes, weights, budget_percent, most_copies)
+    targets = source_targets(sizes, weights, budget_percent, most_copies, sum(supply))
     names = list(targets)
     at = {s: k for k, s in enumerate(names)}
     flow = route(supply, [[at[s] for s in p] for p in patterns], [round(targets[s]) for s in names], most_copies)

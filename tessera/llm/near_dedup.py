@@ -156,7 +156,7 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): every node of ``edges`` (a, b) with the smallest node that it reaches.
+    """(node, label): every node of ``edges`` (a, b) with the smallest node that it reaches, where that is another.
 
     Alternates large-star and small-star until nothing changes. Minima are aggregated
     before they are joined back, so a node with very many neighbours is no single task's

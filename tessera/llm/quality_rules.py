@@ -100,11 +100,12 @@ def ngram_buckets(text: Column, buckets: int) -> Column:
     )
 
 
-def log_ratios(docs: DataFrame, trusted: Column, text_col: str, buckets: int, smoothing: float = 1.0) -> list[float]:
-    """log(p_target / p_raw) for each bucket, from all documents; add-``smoothing`` counts.
+def log_ratios(docs: DataFrame, trusted: Column, text_col: str, buckets: int, prior: float = 5.0) -> list[float]:
+    """log(p_target / p_raw) for each bucket, from all documents.
 
-    A list of ``buckets`` numbers: its size doesn't follow the corpus. Without a trusted
-    document there is nothing to compare, and every ratio is 0.
+    The target's counts are joined by ``prior * buckets`` n-grams spread like the raw
+    corpus, so a small target says little and one without documents nothing: all ratios
+    are 0. A list of ``buckets`` numbers: its size doesn't follow the corpus.
     """
     counts = (
         docs.select(
@@ -117,10 +118,10 @@ def log_ratios(docs: DataFrame, trusted: Column, text_col: str, buckets: int, sm
     raw, target = [0] * buckets, [0] * buckets
     for row in counts.collect():  # one row a bucket at most
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    all_raw, all_target = sum(raw) + smoothing * buckets, sum(target) + smoothing * buckets
-    if not sum(target):
-        return [0.0] * buckets
-    return [math.log((t + smoothing) / all_target) - math.log((r + smoothing) / all_raw) for t, r in zip(target, raw, strict=True)]
+    all_raw, weight = sum(raw), prior * buckets
+    all_target = sum(target) + weight
+    # (t + weight * p_raw) / all_target against p_raw; a bucket that no text has says nothing
+    return [math.log((t * all_raw / r + weight) / all_target) if r else 0.0 for t, r in zip(target, raw, strict=True)]
 
 
 def quality_rules(
@@ -132,11 +133,13 @@ def quality_rules(
     threshold: float = -0.25,
     min_words: int = 50,
     max_repeat_percent: int = 50,
+    into: str = "quality",
 ) -> DataFrame:
-    """``docs`` with its columns, one row for each of its rows, and the verdicts in ``quality``.
+    """``docs`` with its columns, one row for each of its rows, and the verdicts in column ``into``.
 
     ``trusted_ids`` is a table with ``id_col``; documents with such an id form the target.
-    ``quality`` is a struct, so that no column of ``docs`` can clash with its fields:
+    ``into`` is a struct, so that no column of ``docs`` can clash with its fields (one named
+    ``into`` is replaced):
 
     * n_words: runs of non-white-space; word_chars: code points in them;
     * n_symbols: characters of ``#*$%&|<>``;
@@ -179,4 +182,4 @@ def quality_rules(
             (~failed & (llr >= threshold)).alias("kept"),
         )
 
-    return docs.withColumn("quality", bind(counted, lambda c: bind(score, lambda s: verdict(c, s))))
+    return docs.withColumn(into, bind(counted, lambda c: bind(score, lambda s: verdict(c, s))))
