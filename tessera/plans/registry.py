@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None, *, graph: str | None = None, audit:
 
 def load() -> None:
     """Import every module of queries."""
-    from . import graph_queries  # noqa: F401
+    from . import graph_queries, text_queries  # noqa: F401
 
 
 load()
