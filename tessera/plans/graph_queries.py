@@ -829,7 +829,7 @@ def u07(spark, d):
     return sides.where("r <> w").select(F.when(F.col("r"), "planned").otherwise("touched").alias("side"), "id")
 
 
-@query("j58_readers_writers", graph="SELECT dst AS entity, list_sort(list(DISTINCT src) FILTER (kind = 'READS')) AS readers, list_sort(list(DISTINCT src) FILTER (kind = 'WRITES')) AS writers FROM edges WHERE kind IN ('READS', 'WRITES') GROUP BY 1".replace("list_sort(list", "coalesce(list_sort(list").replace("'READS'))", "'READS')), [])").replace("'WRITES'))", "'WRITES')), [])"))
+@query("j58_readers_writers", lists=("readers", "writers",), graph="SELECT dst AS entity, list_sort(list(DISTINCT src) FILTER (kind = 'READS')) AS readers, list_sort(list(DISTINCT src) FILTER (kind = 'WRITES')) AS writers FROM edges WHERE kind IN ('READS', 'WRITES') GROUP BY 1".replace("list_sort(list", "coalesce(list_sort(list").replace("'READS'))", "'READS')), [])").replace("'WRITES'))", "'WRITES')), [])"))
 def j58(spark, d):
     side = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("src"))))
     return N.edges_of_kind(facts(spark, d), "READS", "WRITES").groupBy(F.col("dst").alias("entity")).agg(side("READS").alias("readers"), side("WRITES").alias("writers"))

@@ -28,22 +28,22 @@ IDENT_TOKENS = f"""list_distinct([CASE WHEN length(x) > 3 AND x LIKE '%s' AND x
     FOR x IN string_split(lower({IDENT}), ' ') IF length(x) > 2 AND x NOT IN ({', '.join(repr(w) for w in X.STOP_WORDS)})])"""
 
 
-@query("x01_identifier_tokens", graph=f"SELECT id, list_sort({IDENT_TOKENS}) AS tokens FROM nodes WHERE kind IN ('Type', 'Function')")
+@query("x01_identifier_tokens", lists=("tokens",), graph=f"SELECT id, list_sort({IDENT_TOKENS}) AS tokens FROM nodes WHERE kind IN ('Type', 'Function')")
 def x01(spark, d):
     return facts(spark, d).nodes.where("kind IN ('Type', 'Function')").select("id", F.array_sort(X.identifier_tokens(F.col("name"))).alias("tokens"))
 
 
-@query("x02_word_tokens", r"SELECT doc_id, list_sort(list_distinct([x FOR x IN regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g'), ' +') IF length(x) > 2])) AS tokens FROM documents")
+@query("x02_word_tokens", lists=("tokens",), sql=r"SELECT doc_id, list_sort(list_distinct([x FOR x IN regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g'), ' +') IF length(x) > 2])) AS tokens FROM documents")
 def x02(spark, d):
     return docs(spark, d).select("doc_id", F.array_sort(X.word_tokens(F.col("text"))).alias("tokens"))
 
 
-@query("x03_acronym_tokens")
+@query("x03_acronym_tokens", lists=("tokens",))
 def x03(spark, d):
     return facts(spark, d).nodes.where("kind = 'Type'").select("id", X.acronym_tokens(F.col("name")).alias("tokens"))
 
 
-@query("x04_meaningful", graph=f"""SELECT id, list_sort(CASE WHEN len(r) > 0 THEN r ELSE t END) AS tokens FROM (SELECT id, t, list_filter(t, lambda x: x NOT IN ({', '.join(repr(g) for g in X.GENERIC)})) AS r
+@query("x04_meaningful", lists=("tokens",), graph=f"""SELECT id, list_sort(CASE WHEN len(r) > 0 THEN r ELSE t END) AS tokens FROM (SELECT id, t, list_filter(t, lambda x: x NOT IN ({', '.join(repr(g) for g in X.GENERIC)})) AS r
     FROM (SELECT id, {IDENT_TOKENS} AS t FROM nodes WHERE kind = 'Type'))""")
 def x04(spark, d):
     rows = facts(spark, d).nodes.where("kind = 'Type'").select("id", X.identifier_tokens(F.col("name")).alias("t"))
@@ -206,7 +206,7 @@ def x31(spark, d):
     return table(spark, d, "events").select("event_id", F.substring_index(F.substring_index(text, ":", 1), ".", -1).alias("cls"))
 
 
-@query("x32_definitions", r"SELECT doc_id, regexp_extract_all(text, '(?:the|la|der) ([a-z]{6,})', 1)[1:3] AS terms FROM documents WHERE lang = 'en'")
+@query("x32_definitions", lists=("terms",), sql=r"SELECT doc_id, regexp_extract_all(text, '(?:the|la|der) ([a-z]{6,})', 1)[1:3] AS terms FROM documents WHERE lang = 'en'")
 def x32(spark, d):
     found = F.regexp_extract_all("text", F.lit("(?:the|la|der) ([a-z]{6,})"), F.lit(1))
     return docs(spark, d).where("lang = 'en'").select("doc_id", F.slice(found, 1, 3).alias("terms"))
@@ -222,7 +222,7 @@ def x34(spark, d):
     return pages(spark, d).select("page_id", F.left(F.sha1("url"), F.lit(16)).alias("key"))
 
 
-@query("x35_label_lines", r"SELECT doc_id, list_distinct([trim(regexp_replace(x, '\s+', ' ', 'g')) FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[\p{L}\p{N}]') AND length(trim(regexp_replace(x, '\s+', ' ', 'g'))) >= 3]) AS l FROM documents".replace("SELECT doc_id, list_distinct", "SELECT doc_id, list_sort(list_distinct").replace(">= 3]) AS l", ">= 3])) AS labels"))
+@query("x35_label_lines", lists=("labels",), sql=r"SELECT doc_id, list_distinct([trim(regexp_replace(x, '\s+', ' ', 'g')) FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[\p{L}\p{N}]') AND length(trim(regexp_replace(x, '\s+', ' ', 'g'))) >= 3]) AS l FROM documents".replace("SELECT doc_id, list_distinct", "SELECT doc_id, list_sort(list_distinct").replace(">= 3]) AS l", ">= 3])) AS labels"))
 def x35(spark, d):
     lines_ = F.transform(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[\p{L}\p{N}]"))), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return docs(spark, d).select("doc_id", F.array_sort(F.array_distinct(F.filter(lines_, lambda x: F.length(x) >= 3))).alias("labels"))
