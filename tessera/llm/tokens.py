@@ -1,16 +1,18 @@
 """Token ids of whole texts, exactly as the tokenizers library gives them, word by word.
 
 Both kinds of vocabulary cut a text into pre-tokens before any merge, and no pre-token
-crosses the cuts made here, so a word's ids don't depend on its neighbours: the library's
-model sees each distinct piece once, as long as it is remembered. Words of plain letters,
-digits and ASCII marks are cut into pieces here; any other word goes through the library's
-whole normaliser and pre-tokeniser. Strings that look like special tokens are ordinary text.
+crosses the cuts made here, so a piece's ids don't depend on its neighbours: the library's
+model sees each distinct piece once, as long as it is remembered. Texts of plain letters,
+digits, ASCII marks and single spaces are cut into pieces here; of other texts, the plain
+words are, and the rest goes through the library's whole normaliser and pre-tokeniser.
+Strings that look like special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +23,10 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 _PLAIN = re.compile(rf"[{_LETTER}0-9{_MARK}]+(?:\n[{_LETTER}0-9{_MARK}]+)*")
 _PIECE_DROPPED = re.compile(rf"[{_LETTER}]+|[0-9]|[{_MARK}]+")
-_PIECE_LEADING = re.compile(rf"[{_LETTER}]+|[0-9]+|[{_MARK}]+|\n")
+_PIECE_LEADING = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n")
+_TEXT_DROPPED = re.compile(rf"[{_LETTER}0-9{_MARK} \t\n\x0b\x0c\r]*")
+_TEXT_LEADING = re.compile(rf"[{_LETTER}0-9{_MARK} \n]*")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,7 +45,7 @@ class CachedEncoder:
     another kind of space run is encoded whole).
     """
 
-    def __init__(self, path: str, spaces: str, remember: int = 300_000) -> None:
+    def __init__(self, path: str, spaces: str, remember: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,14 +63,21 @@ class CachedEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= self.remember:
-                self.pieces.clear()
+    def _fill(self, pieces) -> dict[str, bytes]:
+        """The remembered pieces, with these among them."""
+        known = self.pieces
+        new = set(pieces).difference(known)
+        if len(known) + len(new) > self.remember:
+            known.clear()
+            new = set(pieces)
+        for piece in new:
             written = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
-        return ids
+            known[piece] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return known
+
+    def _join(self, pieces: list[str]) -> bytes:
+        known = self._fill(pieces)
+        return b"".join([known[p] for p in pieces])
 
     def _word(self, word: bytes) -> bytes:
         """Ids of a word as ``encode`` cuts it; a leading zero byte marks a text's first word, which has no space before it."""
@@ -73,30 +85,34 @@ class CachedEncoder:
             text = word.decode()
             if not _PLAIN.fullmatch(text):
                 return self._whole(text)
-            return b"".join([self._piece(p) for p in _PIECE_DROPPED.findall(text.lower())])
+            return self._join(_PIECE_DROPPED.findall(text.lower()))
         first = word[:1] == b"\0"
         text = word[first:].decode()
         if not _PLAIN.fullmatch(text):
             return self._whole(text if first else " " + text)
-        pieces = _PIECE_LEADING.findall(text)
-        if not first:
-            pieces[0] = " " + pieces[0]
-        return b"".join([self._piece(p) for p in pieces])
+        return self._join(_PIECE_LEADING.findall(text if first else " " + text))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out, known = [], self.words
         for text in texts:
+            plain = text.decode()
             if not self.leading:
+                if _TEXT_DROPPED.fullmatch(plain):
+                    out.append(self._join(_PIECE_DROPPED.findall(plain.lower())))
+                    continue
                 words = text.split()
-            elif _UNSAFE.search(text.decode()):
-                out.append(self._whole(text.decode()))
+            elif _TEXT_LEADING.fullmatch(plain) and not plain.endswith((" ", "\n")) and not any(r in plain for r in _RUNS):
+                out.append(self._join(_PIECE_LEADING.findall(plain)))
+                continue
+            elif _UNSAFE.search(plain):
+                out.append(self._whole(plain))
                 continue
             else:
                 first, *words = text.split(b" ")
                 if first:
                     words.insert(0, b"\0" + first)
             new = set(words).difference(known)
-            if len(new) + len(known) > self.remember:
+            if len(new) + len(known) > self.remember // 4:
                 known.clear()
                 new = set(words)
             for w in new:
