@@ -47,7 +47,7 @@ def query(name: str, sql: str | None = None, *, graph: str | None = None, audit:
 
 def load() -> None:
     """Import every module of queries."""
-    from . import event_queries, graph_queries, link_queries, text_queries  # noqa: F401
+    from . import event_queries, graph_queries, io_queries, link_queries, text_queries  # noqa: F401
 
 
 load()
