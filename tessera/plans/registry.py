@@ -43,11 +43,3 @@ def query(name: str, sql: str | None = None, *, graph: str | None = None, audit:
         return f
 
     return keep
-
-
-def load() -> None:
-    """Import every module of queries."""
-    from . import event_queries, graph_queries, io_queries, link_queries, text_queries  # noqa: F401
-
-
-load()
