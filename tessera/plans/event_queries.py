@@ -384,18 +384,20 @@ def d52(spark, d):
 # --- calibration and evaluation
 
 
-CALIBRATION = "SELECT d.source AS id, d.lang AS version, least(d.n_chars / 10000.0, 1.0) AS claimed, l.quality AS ok, l.doc_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
+CALIBRATION = "SELECT d.source AS id, d.lang AS version, least(d.n_chars, 10000) AS claimed, l.quality AS ok, l.doc_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
 
 
 def calibration(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("id"), F.col("lang").alias("version"), F.least(F.col("n_chars") / 10000.0, F.lit(1.0)).alias("claimed"))
+    """Claims are counted in ten-thousandths, so that means are quotients of whole numbers."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("id"), F.col("lang").alias("version"), F.least(F.col("n_chars"), F.lit(10000)).alias("claimed"))
     return table(spark, d, "labels").select("doc_id", F.col("quality").alias("ok")).join(docs, "doc_id")
 
 
-@query("d30_calibration", f"SELECT id, version, count(*) AS n, round(avg(ok), 4) AS pass_rate, round(avg(claimed), 4) AS mean_claimed, round(avg(claimed) - avg(ok), 4) AS gap FROM ({CALIBRATION}) GROUP BY 1, 2")
+@query("d30_calibration", f"SELECT id, version, count(*) AS n, sum(ok) / count(*) AS pass_rate, sum(claimed) / (count(*) * 10000.0::DOUBLE) AS mean_claimed, (sum(claimed) - 10000 * sum(ok)) / (count(*) * 10000.0::DOUBLE) AS gap FROM ({CALIBRATION}) GROUP BY 1, 2")
 def d30(spark, d):
+    n, ok, claimed = F.count("*"), F.sum("ok"), F.sum("claimed")
     return calibration(spark, d).groupBy("id", "version").agg(
-        F.count("*").alias("n"), F.round(F.avg("ok"), 4).alias("pass_rate"), F.round(F.avg("claimed"), 4).alias("mean_claimed"), F.round(F.avg("claimed") - F.avg("ok"), 4).alias("gap")
+        n.alias("n"), (ok / n).alias("pass_rate"), (claimed / (n * F.lit(10000.0))).alias("mean_claimed"), ((claimed - 10000 * ok) / (n * F.lit(10000.0))).alias("gap")
     )
 
 
