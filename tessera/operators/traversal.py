@@ -7,18 +7,25 @@ be long; short bounded walks stay one plan.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A table that later steps read instead of recomputing; the folder is the session's, or one in the warehouse."""
+    """Written once to the session's shared folder and read from there: computed once, and a lost executor costs a re-read.
+
+    The folder is the one in ``spark.checkpoint.dir``, or one in the warehouse where the
+    session names none; what is written goes when the driver's JVM ends.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{root.rstrip('/')}/walk-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reach(starts: DataFrame, hops: DataFrame, max_depth: int | None = None, known: DataFrame | None = None) -> DataFrame:
@@ -30,6 +37,9 @@ def reach(starts: DataFrame, hops: DataFrame, max_depth: int | None = None, know
     hops = hops.select("a", "b").distinct()
     if known is not None:
         hops = hops.join(known.select(F.col("id").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+    long_walk = max_depth is None or max_depth > 2
+    if long_walk:
+        hops = _cut(hops)
     seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hop"))
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
@@ -41,7 +51,7 @@ def reach(starts: DataFrame, hops: DataFrame, max_depth: int | None = None, know
             .join(seen.select("start", "node"), ["start", "node"], "left_anti")
             .withColumn("hop", F.lit(depth))
         )
-        if max_depth is None or max_depth > 2:
+        if long_walk:
             step = _cut(step)
             if step.isEmpty():
                 break
