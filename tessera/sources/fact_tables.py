@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 NODE_KINDS = ("Module", "Type", "Function", "Field", "Endpoint", "Entity", "Doc", "Intent")
 EDGE_KINDS = ("IMPORTS", "CONTAINS", "CALLS", "IMPLEMENTS", "READS", "WRITES", "EXPOSES", "CONSUMES", "REFERENCES", "MENTIONS", "SERVES")
@@ -155,10 +156,20 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is asked of the files once, as that takes a job of its own."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     for name in TABLES:
         if f" {name} " in text.replace("\n", " ") + " ":
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            read_table(spark, f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark.sql(text)
 
 
