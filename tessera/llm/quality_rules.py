@@ -103,9 +103,11 @@ def ngram_buckets(text: Column, buckets: int) -> Column:
 def log_ratios(docs: DataFrame, trusted: Column, text_col: str, buckets: int, prior: float = 5.0) -> list[float]:
     """log(p_target / p_raw) for each bucket, from all documents.
 
-    The target's counts are joined by ``prior * buckets`` n-grams spread like the raw
-    corpus, so a small target says little and one without documents nothing: all ratios
-    are 0. A list of ``buckets`` numbers: its size doesn't follow the corpus.
+    A bucket's lift, what the target has over what it would have if it were like the raw
+    corpus, is shrunk to 1 by ``prior`` n-grams on both sides: a few expected n-grams say
+    little, many say what they say however small the target is, and a target without
+    documents gives 0 everywhere. The lifts are then scaled so that p_target sums to 1.
+    A list of ``buckets`` numbers: its size doesn't follow the corpus.
     """
     counts = (
         docs.select(
@@ -118,10 +120,10 @@ def log_ratios(docs: DataFrame, trusted: Column, text_col: str, buckets: int, pr
     raw, target = [0] * buckets, [0] * buckets
     for row in counts.collect():  # one row a bucket at most
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    all_raw, weight = sum(raw), prior * buckets
-    all_target = sum(target) + weight
-    # (t + weight * p_raw) / all_target against p_raw; a bucket that no text has says nothing
-    return [math.log((t * all_raw / r + weight) / all_target) if r else 0.0 for t, r in zip(target, raw, strict=True)]
+    share = sum(target) / max(sum(raw), 1)
+    lifts = [(t + prior) / (r * share + prior) for t, r in zip(target, raw, strict=True)]
+    whole = sum(r * x for r, x in zip(raw, lifts, strict=True)) / max(sum(raw), 1) or 1.0
+    return [math.log(x / whole) if r else 0.0 for r, x in zip(raw, lifts, strict=True)]  # a bucket that no text has says nothing
 
 
 def quality_rules(
