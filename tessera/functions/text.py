@@ -123,3 +123,10 @@ def confidence_band(value: Column, threshold: float, band: float = 0.1) -> Colum
     return (
         F.when(x.isNull() | (x < 0) | (x > 1) | (x < threshold * (1 - band)), "fail").when(x < threshold, "warn").otherwise("pass")
     )
+
+
+def can_drift(kind, text):
+    """Whether an unbound mention counts against its document: only what can't be meant as prose, a setting or a foreign path."""
+    foreign = F.rlike(text, F.lit(r"^(/|~|\.\.)|[* ]"))
+    prose = (kind == "camel") | F.rlike(text, F.lit("^[A-Z][A-Z0-9_]+$"))
+    return ~prose & ~((kind == "file") & foreign) & ~((kind == "backtick") & F.rlike(text, F.lit("^[a-z][a-z0-9]*$")))

@@ -109,10 +109,10 @@ def s41(spark, d):
     return table(spark, d, "events").select("event_id", F.nullif(F.regexp_extract(message, r"\b[A-Z][A-Z0-9]{1,9}-\d+\b", 0), F.lit("")).alias("issue"))
 
 
-@query("s43_recent_areas", "SELECT area, n FROM (SELECT '/' || string_split(split_part(url, '://', 2), '/')[2] AS area, count(*) AS n FROM pages WHERE page_id < 60 GROUP BY 1) ORDER BY n DESC, area LIMIT 6")
+@query("s43_recent_areas", "SELECT area, n FROM (SELECT '/' || string_split(split_part(url, '://', 2), '/')[2] AS area, count(*) AS n FROM pages GROUP BY 1) ORDER BY n DESC, area LIMIT 6")
 def s43(spark, d):
     area = F.concat(F.lit("/"), F.get(F.split(F.get(F.split("url", "://"), F.lit(1)), "/"), F.lit(1)))
-    return table(spark, d, "pages").where("page_id < 60").groupBy(area.alias("area")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "area").limit(6)
+    return table(spark, d, "pages").groupBy(area.alias("area")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "area").limit(6)
 
 
 @query("s62_languages", graph="SELECT DISTINCT CASE WHEN file LIKE '%.py' THEN 'python' WHEN file LIKE '%.go' THEN 'go' WHEN file LIKE '%.sql' THEN 'sql' WHEN file LIKE '%.md' THEN 'markdown' END AS language FROM nodes WHERE file IS NOT NULL")

@@ -92,12 +92,12 @@ def j25(spark, d):
     return unique("id LIKE '%1'", "orm").join(unique("id LIKE '%2'", "db"), "k").select("orm", "db")
 
 
-@query("j34_set_containment", """SELECT i.s_suppkey AS small, t.s AS large FROM (SELECT DISTINCT l_suppkey AS s_suppkey FROM lineitem WHERE l_suppkey < 3) i, (SELECT DISTINCT l_suppkey AS s FROM lineitem) t
+@query("j34_set_containment", """SELECT i.s_suppkey AS small, t.s AS large FROM (SELECT DISTINCT l_suppkey AS s_suppkey FROM lineitem) i, (SELECT DISTINCT l_suppkey AS s FROM lineitem) t
     WHERE NOT EXISTS (SELECT 1 FROM lineitem a WHERE a.l_suppkey = i.s_suppkey AND a.l_quantity = 1 AND a.l_linenumber = 1 AND a.l_partkey % 40 NOT IN (SELECT b.l_partkey % 40 FROM lineitem b WHERE b.l_suppkey = t.s AND b.l_quantity <= 8))
     AND EXISTS (SELECT 1 FROM lineitem a WHERE a.l_suppkey = i.s_suppkey AND a.l_quantity = 1 AND a.l_linenumber = 1)""")
 def j34(spark, d):
     li = table(spark, d, "lineitem").withColumn("sig", F.col("l_partkey") % 40)
-    small = li.where("l_suppkey < 3 AND l_quantity = 1 AND l_linenumber = 1")
+    small = li.where("l_quantity = 1 AND l_linenumber = 1")
     return L.containment_join(small, li.where("l_quantity <= 8"), "l_suppkey", "l_suppkey", "sig")
 
 

@@ -81,9 +81,9 @@ def s49(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?m)^[A-Z][a-z]+\.$")).cast("long").alias("headings"))
 
 
-@query("s54_metric_definition", f"SELECT id, max(version) AS version FROM ({VERSIONS}) WHERE status = 'O' AND id < 40 GROUP BY id")
+@query("s54_metric_definition", f"SELECT id, max(version) AS version FROM ({VERSIONS}) WHERE status = 'O' GROUP BY id")
 def s54(spark, d):
-    return versions(spark, d).where("status = 'O' AND id < 40").groupBy("id").agg(F.max("version").alias("version"))
+    return versions(spark, d).where("status = 'O'").groupBy("id").agg(F.max("version").alias("version"))
 
 
 @query("s58_call_pairs", "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R'")
@@ -151,11 +151,11 @@ def m12(spark, d):
     return versions(spark, d).select("pk", F.when(F.col("status") == "O", "new").otherwise("kept").alias("spec"))
 
 
-@query("m16_record_outcomes", "SELECT source, count(*) AS n FROM (SELECT d.source FROM labels l JOIN documents d ON d.doc_id = l.doc_id UNION ALL SELECT source FROM documents WHERE doc_id < 10) GROUP BY 1")
+@query("m16_record_outcomes", "SELECT source, count(*) AS n FROM (SELECT d.source FROM labels l JOIN documents d ON d.doc_id = l.doc_id UNION ALL SELECT source FROM documents WHERE n_chars > 5000) GROUP BY 1")
 def m16(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
     known = table(spark, d, "labels").select("doc_id").join(docs, "doc_id").select("source")
-    return known.unionByName(docs.where("doc_id < 10").select("source")).groupBy("source").agg(F.count("*").alias("n"))
+    return known.unionByName(docs.where("n_chars > 5000").select("source")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("e07_rules_over_rows", "SELECT p_partkey, unnest(list_filter([CASE WHEN p_size < 10 THEN 'small' END, CASE WHEN p_retailprice > 1500 THEN 'dear' END], lambda x: x IS NOT NULL)) AS rule FROM part")

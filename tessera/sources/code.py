@@ -37,8 +37,12 @@ def capabilities() -> dict[str, bool]:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path and content of every file below ``root``, ignored and dot folders left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    skipped = r"/(\.[^/]+|" + "|".join(IGNORED) + ")/"
-    return files.where(~F.rlike("path", F.lit(skipped))).select("path", decode(F.col("content")).alias("content"))
+    return files.where(first_party(F.col("path"))).select("path", decode(F.col("content")).alias("content"))
+
+
+def first_party(path):
+    """Whether a file stands in no ignored or dot folder."""
+    return ~F.rlike(path, F.lit(r"/(\.[^/]+|" + "|".join(IGNORED) + ")/"))
 
 
 def decode(content):

@@ -117,11 +117,11 @@ SELECT 'customer:' || CAST(c_custkey AS STRING), 'customer:' || CAST(CAST(floor(
        CAST(c_custkey AS BIGINT), CAST(7000000000 + c_custkey AS BIGINT)
 FROM customer WHERE c_custkey >= 1 AND c_custkey % 4 <> 3
 UNION ALL
-SELECT 'endpoint:' || event_type, 'part:' || CAST(event_id % 200 AS STRING), 'EXPOSES', 'src/api.py', CAST(event_id AS BIGINT), CAST(8000000000 + event_id AS BIGINT)
-FROM events WHERE event_id < 40
+SELECT 'endpoint:' || event_type, 'part:' || CAST(event_id % 40 AS STRING), 'EXPOSES', 'src/api.py', CAST(min(event_id) AS BIGINT), CAST(8000000000 + min(event_id) AS BIGINT)
+FROM events GROUP BY event_type, event_id % 40
 UNION ALL
-SELECT 'part:' || CAST((event_id * 7) % 200 AS STRING), 'endpoint:' || event_type, 'CONSUMES', 'src/client.py', CAST(event_id AS BIGINT), CAST(8000000000 + event_id AS BIGINT)
-FROM events WHERE event_id BETWEEN 40 AND 139
+SELECT 'part:' || CAST(40 + event_id % 100 AS STRING), 'endpoint:' || event_type, 'CONSUMES', 'src/client.py', CAST(min(event_id) AS BIGINT), CAST(8000000000 + min(event_id) AS BIGINT)
+FROM events GROUP BY event_type, event_id % 100
 UNION ALL
 SELECT 'doc:' || CAST(doc_id AS STRING), 'part:' || CAST((doc_id * 7) % 200 AS STRING), 'MENTIONS', 'docs/' || source || '.md', CAST(doc_id AS BIGINT), CAST(9000000000 + doc_id AS BIGINT)
 FROM documents WHERE doc_id % 3 <> 0
