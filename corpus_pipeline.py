@@ -48,9 +48,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document the mix takes twice is two rows from here on."""
+    """A document the mix takes twice is two rows from here on; rows that share an id are taken as often as the one taken most."""
     mine, copies, copy = fresh(docs, "taken_id"), fresh(docs, "copies"), fresh(docs, "copy")
-    taken = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias(mine), F.expr("taken div size").cast("int").alias(copies)).distinct()
+    mixed = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias(mine), F.expr("taken div size").cast("int").alias(copies))
+    taken = mixed.groupBy(mine).agg(F.max(copies).alias(copies))  # rows that share an id are taken alike, so no id multiplies its rows
     chosen = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(mine)))
     return chosen.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 

@@ -81,3 +81,9 @@ def test_extra_columns_are_no_matter(spark):
     assert P.exact_stage(spark, clash, "").count() == 2
     assert P.near_stage(spark, clash, "").count() == 2
     assert P.mixing_stage(spark, clash, "").columns == clash.columns
+
+
+def test_mixing_takes_rows_of_one_id_twice_at_most(spark):
+    docs = frame(spark, [(k, words(k, 40), "en", "ab"[k % 2]) for k in range(40)] + [(k, words(900 + k, 40), "en", "ba"[k % 2]) for k in range(40)])
+    got = P.mixing_stage(spark, docs, "")
+    assert got.groupBy("doc_id", "text").count().where("count > 2").count() == 0
