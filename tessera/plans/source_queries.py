@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.rules import gap_findings
-from ..operators.resolve import package_placeholders, resolve_types
-from ..sources import code, exports, stores, web
+from ..operators.resolve import package_placeholders, resolve_includes, resolve_types, unique_basenames
+from ..sources import code, exports, orm, stores, web
 from ..sources.fact_tables import facts
+from . import graph_queries, text_queries  # noqa: F401  their oracles are used below
 from .io_queries import table
 from .registry import ORACLES, QUERIES, query
 
@@ -208,3 +209,76 @@ def e19(spark, d):
     out = g.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     rows = g.nodes.join(out, "id", "left")
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("external").alias("external"), F.sum(F.coalesce("n", F.lit(0))).alias("edges_out"))
+
+
+def orm_files(spark, d):
+    """A file of mapped classes and one that queries them, for each nation."""
+    k = F.col("n_nationkey").cast("string")
+    models = F.concat(
+        F.lit("from db import Base, models\n\n\nclass Order"), k, F.lit('(Base):\n    __tablename__ = "orders'), k,
+        F.lit('"\n    id = Column(Integer)\n    note: Mapped[str]\n    buyer = mapped_column(ForeignKey("buyers.id"))\n    lines = relationship("Line")\n    own = Column(ForeignKey("orders'), k,
+        F.lit('.id"))\n\n\nclass Line'), k, F.lit("(models.Model):\n    order = models.ForeignKey(Order"), k, F.lit(", on_delete=1)\n    tags = models.ManyToManyField('x.Missing')\n    n = models.IntegerField()\n    helper = 3\n\n\nclass Plain:\n    __tablename__ = make()\n    id = Column(Integer)\n"),
+    )
+    used = F.concat(
+        F.lit("def read(db):\n    def inner():\n        return db.execute(delete(Line"), k, F.lit("))\n    return db.execute(select(Order"), k, F.lit(").where(1))\n\n\nselect(Order"), k, F.lit(")\n\n\ndef write(db):\n    return insert(Plain), update(text)\n"),
+    )
+    both = F.array(F.struct(F.lit("models"), models), F.struct(F.lit("store"), used))
+    files = table(spark, d, "nation").select(k.alias("k"), F.explode(both).alias("f"))
+    return files.select(F.concat(F.lit("/r/src/shop/a"), "k", F.lit("/"), "f.col1", F.lit(".py")).alias("path"), F.col("f.col2").alias("content"))
+
+
+@query(
+    "s83_mapped_classes",
+    """SELECT e[1] AS src, e[2] AS dst, e[3] AS kind FROM (SELECT string_split(replace(unnest(['py:shop.a#.models|py:entity:orders#|CONTAINS', 'py:shop.a#.models|py:entity:a#_line#|CONTAINS',
+        'py:entity:orders#|py:entity:orders#.id|CONTAINS', 'py:entity:orders#|py:entity:orders#.note|CONTAINS', 'py:entity:orders#|py:entity:orders#.buyer|CONTAINS', 'py:entity:orders#|py:entity:orders#.own|CONTAINS',
+        'py:entity:a#_line#|py:entity:a#_line#.order|CONTAINS', 'py:entity:a#_line#|py:entity:a#_line#.tags|CONTAINS', 'py:entity:a#_line#|py:entity:a#_line#.n|CONTAINS',
+        'py:entity:orders#|py:entity:buyers|REFERENCES', 'py:entity:a#_line#|py:entity:orders#|REFERENCES', 'py:shop.a#.store.read.inner|py:entity:a#_line#|WRITES', 'py:shop.a#.store.read|py:entity:orders#|READS']),
+        '#', CAST(n_nationkey AS STRING)), '|') AS e FROM nation)""",
+)
+def s83(spark, d):
+    return orm.data_edges(orm.scan_orm(orm_files(spark, d))).select("src", "dst", "kind")
+
+
+@query("s74_header_index", "SELECT 'h' || CAST(s_suppkey AS STRING) || '.h' AS base, 'inc/n' || CAST(s_nationkey AS STRING) || '/h' || CAST(s_suppkey AS STRING) || '.h' AS file FROM supplier")
+def s74(spark, d):
+    """Base names of headers that one file only has; every nation's ``common.h`` is nobody's."""
+    return unique_basenames(header_files(spark, d))
+
+
+def header_files(spark, d):
+    nation, k = F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string")
+    own = table(spark, d, "supplier").select(F.concat(F.lit("inc/n"), nation, F.lit("/h"), k, F.lit(".h")).alias("file"))
+    common = table(spark, d, "nation").select(F.concat(F.lit("inc/n"), F.col("n_nationkey").cast("string"), F.lit("/common.h")).alias("file"))
+    return own.unionByName(common)
+
+
+@query(
+    "s73_includes_by_path",
+    """SELECT s_suppkey, e[1] AS include, CASE WHEN e[2] <> '-' THEN replace(replace(e[2], '#', CAST(s_nationkey AS STRING)), '@', CAST(s_suppkey AS STRING)) END AS target
+        FROM (SELECT s_suppkey, s_nationkey, string_split(unnest(['common.h|inc/n#/common.h', './../n0/common.h|inc/n0/common.h', 'inc/n0/common.h|inc/n0/common.h', 'far/h1.h|' || (SELECT min('inc/n' || CAST(s_nationkey AS STRING) || '/h1.h') FROM supplier WHERE s_suppkey = 1),
+            '../../../common.h|-', 'other/common.h|-']), '|') AS e FROM supplier)""",
+)
+def s73b(spark, d):
+    folder = F.concat(F.lit("inc/n"), F.col("s_nationkey").cast("string"), F.lit("/main.c"))
+    asked = F.array(*map(F.lit, ("common.h", "./../n0/common.h", "inc/n0/common.h", "far/h1.h", "../../../common.h", "other/common.h")))
+    includes = table(spark, d, "supplier").select("s_suppkey", folder.alias("file"), F.explode(asked).alias("include"))
+    return resolve_includes(includes, header_files(spark, d)).select("s_suppkey", "include", "target")
+
+
+def scanners():
+    """Every registered scanner under one shape: (scanner, place, rule)."""
+    place = lambda *c: F.concat_ws(":", *[F.col(x).cast("string") for x in c])
+    yield "secrets", "c15_secrets", place("doc_id", "line_no")
+    yield "security", "c16_security", place("page_id")
+    yield "style", "c17_style", place("doc_id", "line_no")
+
+
+@query(
+    "e08_all_scanners",
+    f"SELECT 'secrets' AS scanner, CAST(doc_id AS STRING) || ':' || CAST(line_no AS STRING) AS place, rule FROM ({ORACLES['c15_secrets']}) UNION ALL SELECT 'security', CAST(page_id AS STRING), rule FROM ({ORACLES['c16_security']}) "
+    f"UNION ALL SELECT 'style', CAST(doc_id AS STRING) || ':' || CAST(line_no AS STRING), rule FROM ({ORACLES['c17_style']})",
+)
+def e08(spark, d):
+    """All scanners' findings in one table, each scanner a function from rows to rows (E09)."""
+    parts = [QUERIES[q](spark, d).select(F.lit(name).alias("scanner"), at.alias("place"), "rule") for name, q, at in scanners()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
