@@ -101,6 +101,13 @@ def j34(spark, d):
     return L.containment_join(small, li.where("l_quantity <= 8"), "l_suppkey", "l_suppkey", "sig")
 
 
+@query("j34_set_containment_whole")
+def j34_whole(spark, d):
+    """Orders all of whose parts a supplier has delivered: whole sets on both sides."""
+    li = table(spark, d, "lineitem")
+    return L.containment_join(li, li, "l_orderkey", "l_suppkey", "l_partkey")
+
+
 @query("j35_repoint_undeclared", graph="SELECT e.src, CASE WHEN n.id IS NULL THEN 'ext:' || e.dst ELSE e.dst END AS dst, n.id IS NULL AS external FROM (SELECT src, CASE WHEN line % 17 = 0 THEN 'gone:' || CAST(line AS STRING) ELSE dst END AS dst FROM edges WHERE kind = 'IMPLEMENTS') e LEFT JOIN nodes n ON n.id = e.dst")
 def j35(spark, d):
     g = facts(spark, d)
