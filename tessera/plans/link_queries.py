@@ -304,14 +304,23 @@ SIMILAR = f""", a AS ({TYPE_TOKENS}), b AS (SELECT name AS target, {IDENT_TOKENS
     SELECT id, target, round(score, 9) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, target) AS place FROM s WHERE score >= 0.3) WHERE place <= 3"""
 
 
-def tokens_of_types(spark, d):
-    return facts(spark, d).nodes.where("kind = 'Type' AND id LIKE 'customer:%' AND seq % 5 = 0").select("id", X.identifier_tokens(F.col("name")).alias("tokens"))
+def tokens_of_types(spark, d, which="kind = 'Type' AND id LIKE 'customer:%' AND seq % 5 = 0"):
+    return facts(spark, d).nodes.where(which).select("id", X.identifier_tokens(F.col("name")).alias("tokens"))
+
+
+def proposed(spark, d, types):
+    right = classes(spark, d).select(F.col("name").alias("target"), X.identifier_tokens(F.col("name")).alias("tokens"))
+    return L.similarity_top_k(types, right, 3, 0.3).withColumn("score", F.round("score", 9))
 
 
 @query("j45_propose_mappings", graph=SIMILAR)
 def j45(spark, d):
-    right = classes(spark, d).select(F.col("name").alias("target"), X.identifier_tokens(F.col("name")).alias("tokens"))
-    return L.similarity_top_k(tokens_of_types(spark, d), right, 3, 0.3).withColumn("score", F.round("score", 9))
+    return proposed(spark, d, tokens_of_types(spark, d))
+
+
+@query("j45_propose_mappings_whole", graph=SIMILAR.replace(TYPE_TOKENS, f"SELECT id, {IDENT_TOKENS} AS tokens FROM nodes WHERE kind = 'Type'"))
+def j45_whole(spark, d):
+    return proposed(spark, d, tokens_of_types(spark, d, "kind = 'Type'"))
 
 
 @query("j46_mapping_scores", f"SELECT a.p_name AS a, b.c AS b, CASE WHEN a.p_name = b.c THEN 1.0 WHEN list_sort(string_split(a.p_name, ' ')) = list_sort(string_split(b.c, ' ')) THEN 0.9 ELSE round(len(list_intersect(string_split(a.p_name, ' '), string_split(b.c, ' '))) / len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(b.c, ' ')))), 2) END AS score FROM (SELECT DISTINCT p_name FROM part) a, (SELECT unnest(['red widget', 'widget red', 'small blue ring']) AS c) b WHERE len(list_intersect(string_split(a.p_name, ' '), string_split(b.c, ' '))) > 0")

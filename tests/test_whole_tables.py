@@ -28,3 +28,15 @@ def test_containment_compares_whole_sets(spark, tables):
     want = sorted((o, s) for o, a in orders.items() for s, b in suppliers.items() if a <= b)
     assert sorted((r.small, r.large) for r in QUERIES["j34_set_containment_whole"](spark, d).collect()) == want
     assert want == [(1, 10), (2, 20), (3, 10), (4, 10), (4, 30)]
+
+
+def test_every_type_is_asked_for_a_mapping(spark):
+    from tessera.plans.link_queries import tokens_of_types
+    from tessera.sources.fact_tables import facts
+
+    sf = "/root/testdata/sf0.001"
+    types = {r.id for r in facts(spark, sf).nodes.where("kind = 'Type'").collect()}
+    assert {r.id for r in tokens_of_types(spark, sf, "kind = 'Type'").collect()} == types
+    got = {r.id for r in QUERIES["j45_propose_mappings_whole"](spark, sf).collect()}
+    assert {i.split(":")[0] for i in got} == {"customer", "supplier"}
+    assert got > {r.id for r in QUERIES["j45_propose_mappings"](spark, sf).collect()}
