@@ -152,45 +152,88 @@ def words_of_parts(spark, d):
     return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("m"), F.col("p_partkey").alias("match"))
 
 
-@query("j27_bind_mentions", """SELECT m, 'part:' || CAST(min(p) AS STRING) AS match, count(DISTINCT p) AS anchors FROM (SELECT unnest(['small', 'red', 'ring', 'xyz', 'bolt', 'widget']) AS m) JOIN (SELECT p_partkey AS p, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey < 30) ON w = m GROUP BY m""")
-def j27(spark, d):
+J27 = """SELECT m, 'part:' || CAST(min(p) AS STRING) AS match, count(DISTINCT p) AS anchors FROM (SELECT unnest(['small', 'red', 'ring', 'xyz', 'bolt', 'widget']) AS m) JOIN (SELECT p_partkey AS p, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey < 30) ON w = m GROUP BY m"""
+
+
+def bound_mentions(spark, hits):
     asked = spark.createDataFrame([(m,) for m in ("small", "red", "ring", "xyz", "bolt", "widget")], "m string")
-    hits = words_of_parts(spark, d).where("match < 30")
     return asked.join(hits, "m").groupBy("m").agg(F.concat(F.lit("part:"), F.min("match").cast("string")).alias("match"), F.count_distinct("match").alias("anchors"))
 
 
+@query("j27_bind_mentions", J27)
+def j27(spark, d):
+    return bound_mentions(spark, words_of_parts(spark, d).where("match < 30"))
+
+
+@query("j27_bind_mentions_whole", J27.replace(" WHERE p_partkey < 30", ""))
+def j27_whole(spark, d):
+    return bound_mentions(spark, words_of_parts(spark, d))
+
+
 BIND = """, asked AS (SELECT DISTINCT name AS k FROM nodes WHERE id LIKE 'customer:%' AND seq % 3 = 0 UNION SELECT 'nation_3' UNION SELECT 'asia' UNION SELECT 'none'),
     s1 AS (SELECT k, count(DISTINCT id) AS n, min(id) AS match FROM asked JOIN nodes ON name = k GROUP BY k),
     s2 AS (SELECT k, count(DISTINCT id) AS n, min(id) AS match FROM asked JOIN nodes ON list_extract(string_split(name, '.'), -1) = k WHERE k NOT IN (SELECT k FROM s1) GROUP BY k)"""
 
 
-def asked_names(spark, d):
-    names = facts(spark, d).nodes.where("id LIKE 'customer:%' AND seq % 3 = 0").select(F.col("name").alias("k"))
+BIND_WHOLE = BIND.replace(" AND seq % 3 = 0", "")
+
+
+def asked_names(spark, d, which="id LIKE 'customer:%' AND seq % 3 = 0"):
+    names = facts(spark, d).nodes.where(which).select(F.col("name").alias("k"))
     return names.unionByName(spark.createDataFrame([("nation_3",), ("asia",), ("none",)], "k string")).distinct()
 
 
-def binding(spark, d):
+def binding(spark, d, asked):
     """Exact name, then last dotted part; a name that binds to several symbols binds to none."""
     nodes = facts(spark, d).nodes
     exact = nodes.select(F.col("name").alias("k"), F.col("id").alias("match"))
     tail = nodes.select(F.substring_index("name", ".", -1).alias("k"), F.col("id").alias("match"))
-    return L.first_of(asked_names(spark, d), "k", [(exact, "exact"), (tail, "suffix")])
+    return L.first_of(asked, "k", [(exact, "exact"), (tail, "suffix")])
+
+
+LINKED = " SELECT k, match, 'exact' AS step FROM s1 WHERE n = 1 UNION ALL SELECT k, match, 'suffix' FROM s2 WHERE n = 1"
+DRIFT = " SELECT k FROM asked WHERE k NOT IN (SELECT k FROM s1 WHERE n = 1) AND k NOT IN (SELECT k FROM s2 WHERE n = 1)"
+VERDICT = " SELECT a.k, CASE WHEN s1.n = 1 OR s2.n = 1 THEN 'bound' WHEN a.k = 'none' THEN 'no claim' ELSE 'unbound' END AS verdict FROM asked a LEFT JOIN s1 ON s1.k = a.k LEFT JOIN s2 ON s2.k = a.k"
+CUSTOMERS = "id LIKE 'customer:%'"
 
 
-@query("j26_link_docs", graph=BIND + " SELECT k, match, 'exact' AS step FROM s1 WHERE n = 1 UNION ALL SELECT k, match, 'suffix' FROM s2 WHERE n = 1")
+def drifted(spark, d, asked):
+    return asked.join(binding(spark, d, asked), "k", "left_anti")
+
+
+def verdicts(spark, d, asked):
+    rows = asked.join(binding(spark, d, asked), "k", "left")
+    return rows.select("k", F.when(F.col("match").isNotNull(), "bound").when(F.col("k") == "none", "no claim").otherwise("unbound").alias("verdict"))
+
+
+@query("j26_link_docs", graph=BIND + LINKED)
 def j26(spark, d):
-    return binding(spark, d)
+    return binding(spark, d, asked_names(spark, d))
+
 
+@query("j26_link_docs_whole", graph=BIND_WHOLE + LINKED)
+def j26_whole(spark, d):
+    return binding(spark, d, asked_names(spark, d, CUSTOMERS))
 
-@query("j28_doc_drift", graph=BIND + " SELECT k FROM asked WHERE k NOT IN (SELECT k FROM s1 WHERE n = 1) AND k NOT IN (SELECT k FROM s2 WHERE n = 1)")
+
+@query("j28_doc_drift", graph=BIND + DRIFT)
 def j28(spark, d):
-    return asked_names(spark, d).join(binding(spark, d), "k", "left_anti")
+    return drifted(spark, d, asked_names(spark, d))
+
+
+@query("j28_doc_drift_whole", graph=BIND_WHOLE + DRIFT)
+def j28_whole(spark, d):
+    return drifted(spark, d, asked_names(spark, d, CUSTOMERS))
 
 
-@query("j42_bind_criteria", graph=BIND + " SELECT a.k, CASE WHEN s1.n = 1 OR s2.n = 1 THEN 'bound' WHEN a.k = 'none' THEN 'no claim' ELSE 'unbound' END AS verdict FROM asked a LEFT JOIN s1 ON s1.k = a.k LEFT JOIN s2 ON s2.k = a.k")
+@query("j42_bind_criteria", graph=BIND + VERDICT)
 def j42(spark, d):
-    rows = asked_names(spark, d).join(binding(spark, d), "k", "left")
-    return rows.select("k", F.when(F.col("match").isNotNull(), "bound").when(F.col("k") == "none", "no claim").otherwise("unbound").alias("verdict"))
+    return verdicts(spark, d, asked_names(spark, d))
+
+
+@query("j42_bind_criteria_whole", graph=BIND_WHOLE + VERDICT)
+def j42_whole(spark, d):
+    return verdicts(spark, d, asked_names(spark, d, CUSTOMERS))
 
 
 # --- intents, routes, traces

@@ -40,3 +40,16 @@ def test_every_type_is_asked_for_a_mapping(spark):
     got = {r.id for r in QUERIES["j45_propose_mappings_whole"](spark, sf).collect()}
     assert {i.split(":")[0] for i in got} == {"customer", "supplier"}
     assert got > {r.id for r in QUERIES["j45_propose_mappings"](spark, sf).collect()}
+
+
+def test_every_part_and_customer_name_is_bound_or_not(spark):
+    sf = "/root/testdata/sf0.001"
+    parts = [r.p_name.split(" ") for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    assert {r.m: r.anchors for r in QUERIES["j27_bind_mentions_whole"](spark, sf).collect()} == {m: n for m in ("small", "red", "ring", "xyz", "bolt", "widget") if (n := sum(m in p for p in parts))}
+    from tessera.sources.fact_tables import facts
+
+    names = {r.name for r in facts(spark, sf).nodes.where("id LIKE 'customer:%'").collect()}
+    said = {r.k for r in QUERIES["j42_bind_criteria_whole"](spark, sf).collect()}
+    assert said == names | {"nation_3", "asia", "none"}
+    linked, drift = ({r.k for r in QUERIES[q](spark, sf).collect()} for q in ("j26_link_docs_whole", "j28_doc_drift_whole"))
+    assert linked | drift == said and not linked & drift
