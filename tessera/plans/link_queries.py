@@ -242,14 +242,25 @@ def j42_whole(spark, d):
 BLAME = "SELECT 'src/parts/p' || CAST(l_partkey % 40 AS STRING) || '.py' AS file, CAST(l_linenumber * 9 AS BIGINT) AS line, 'T-' || CAST(l_orderkey % 30 AS STRING) AS issue FROM lineitem WHERE l_quantity = 7"
 
 
-@query("j30_intents", graph=f"SELECT DISTINCT n.id AS symbol, b.issue FROM nodes n JOIN ({BLAME}) b ON b.file = n.file AND b.line BETWEEN n.line AND coalesce(n.end_line, n.line) WHERE n.kind = 'Function'")
-def j30(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity = 7")
+INTENTS = f"SELECT DISTINCT n.id AS symbol, b.issue FROM nodes n JOIN ({BLAME}) b ON b.file = n.file AND b.line BETWEEN n.line AND coalesce(n.end_line, n.line) WHERE n.kind = 'Function'"
+
+
+def intents(spark, d, li):
     blame = li.select(F.concat(F.lit("src/parts/p"), (F.col("l_partkey") % 40).cast("string"), F.lit(".py")).alias("file"), (F.col("l_linenumber") * 9).cast("long").alias("at_line"), F.concat(F.lit("T-"), (F.col("l_orderkey") % 30).cast("string")).alias("issue")).distinct()
     spans = facts(spark, d).nodes.where("kind = 'Function'").select("id", "file", "line", F.coalesce("end_line", "line").alias("last"))
     return blame.join(spans, "file").where(F.col("at_line").between(F.col("line"), F.col("last"))).select(F.col("id").alias("symbol"), "issue").distinct()
 
 
+@query("j30_intents", graph=INTENTS)
+def j30(spark, d):
+    return intents(spark, d, table(spark, d, "lineitem").where("l_quantity = 7"))
+
+
+@query("j30_intents_whole", graph=INTENTS.replace(" WHERE l_quantity = 7", ""))
+def j30_whole(spark, d):
+    return intents(spark, d, table(spark, d, "lineitem"))
+
+
 @query("j31_http_calls", f"SELECT p.page_id, e.event_type FROM pages p JOIN (SELECT DISTINCT event_type FROM events) e ON 'GET /' || e.event_type = 'GET /' || CASE p.page_id % 4 WHEN 0 THEN 'view' WHEN 1 THEN 'click' ELSE 'nothing' END")
 def j31(spark, d):
     calls = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 4 == 0, "view").when(F.col("page_id") % 4 == 1, "click").otherwise("nothing").alias("path"))

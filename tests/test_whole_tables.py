@@ -53,3 +53,14 @@ def test_every_part_and_customer_name_is_bound_or_not(spark):
     assert said == names | {"nation_3", "asia", "none"}
     linked, drift = ({r.k for r in QUERIES[q](spark, sf).collect()} for q in ("j26_link_docs_whole", "j28_doc_drift_whole"))
     assert linked | drift == said and not linked & drift
+
+
+def test_intents_come_from_every_blame_line(spark):
+    from tessera.sources.fact_tables import facts
+
+    sf = "/root/testdata/sf0.001"
+    blame = {(f"src/parts/p{r.l_partkey % 40}.py", r.l_linenumber * 9, f"T-{r.l_orderkey % 30}") for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect()}
+    want = set()
+    for n in facts(spark, sf).nodes.where("kind = 'Function' AND file IS NOT NULL").collect():
+        want |= {(n.id, issue) for file, line, issue in blame if file == n.file and n.line <= line <= (n.end_line or n.line)}
+    assert {(r.symbol, r.issue) for r in QUERIES["j30_intents_whole"](spark, sf).collect()} == want
