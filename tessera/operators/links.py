@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def prefixes(path: Column, separator: str) -> Column:
@@ -84,23 +85,28 @@ def first_of(rows: DataFrame, key: str, candidates: list[tuple[DataFrame, str]])
 def greedy_band_match(findings: DataFrame, expected: DataFrame, tolerance: int = 3) -> DataFrame:
     """(file, line, found): each expected row, in order, takes the first unused finding of its file within ``tolerance`` lines.
 
-    ``findings`` and ``expected`` have (file, line). What one row takes is lost to the next, so
-    a file is one group; files run in parallel.
+    ``findings`` and ``expected`` have (file, line). What one row takes is lost to the next, but
+    never across a gap of more than ``tolerance`` lines: a file is cut there into islands, and
+    an island is one group.
     """
 
-    def match(key, ours, theirs):
+    def match(key, rows):
         import pandas as pd
 
-        lines, used, out = sorted(ours["line"]), set(), []
-        for want in sorted(theirs["line"]):
-            hit = next((k for k, at in enumerate(lines) if k not in used and abs(at - want) <= tolerance), None)
-            if hit is not None:
-                used.add(hit)
-            out.append((key[0], want, None if hit is None else lines[hit]))
+        lines, at, out = sorted(rows["line"][rows["ours"]]), 0, []
+        for want in sorted(rows["line"][~rows["ours"]]):
+            while at < len(lines) and lines[at] < want - tolerance:  # too low for all that follow, too
+                at += 1
+            hit = at < len(lines) and lines[at] <= want + tolerance
+            out.append((key[0], want, lines[at] if hit else None))
+            at += hit
         return pd.DataFrame(out, columns=["file", "line", "found"]).astype({"found": "Int64"})
 
-    pairs = findings.select("file", "line").groupBy("file").cogroup(expected.select("file", "line").groupBy("file"))
-    return pairs.applyInPandas(match, "file string, line long, found long")
+    both = findings.select("file", "line", F.lit(True).alias("ours")).unionByName(expected.select("file", "line", F.lit(False).alias("ours")))
+    in_file = Window.partitionBy("file").orderBy("line")
+    starts = F.coalesce(F.col("line") - F.lag("line").over(in_file) > tolerance, F.lit(True))
+    cut = both.withColumn("starts", starts.cast("long")).withColumn("island", F.sum("starts").over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.select("file", "island", "line", "ours").groupBy("file", "island").applyInPandas(match, "file string, line long, found long")
 
 
 def greedy_pack(blocks: DataFrame, budget: int) -> DataFrame:

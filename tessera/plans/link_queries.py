@@ -85,11 +85,24 @@ def j24(spark, d):
 CUST_NORMAL = f"SELECT id, {NORMAL} AS k FROM (SELECT id, regexp_replace(lower(name), '[_ ]', '', 'g') AS b FROM nodes WHERE kind = 'Type' AND id LIKE 'customer:%')"
 
 
-@query("j25_entity_resolution", graph=f", n AS ({CUST_NORMAL}) SELECT a.id AS orm, b.id AS db FROM (SELECT min(id) AS id, k FROM n WHERE id LIKE '%1' GROUP BY k HAVING count(*) = 1) a JOIN (SELECT min(id) AS id, k FROM n WHERE id LIKE '%2' GROUP BY k HAVING count(*) = 1) b ON b.k = a.k")
-def j25(spark, d):
-    named = facts(spark, d).nodes.where("kind = 'Type' AND id LIKE 'customer:%'").select("id", X.normal_name(F.col("name")).alias("k"))
+ENTITIES = f", n AS ({CUST_NORMAL}) SELECT a.id AS orm, b.id AS db FROM (SELECT min(id) AS id, k FROM n WHERE id LIKE '%1' GROUP BY k HAVING count(*) = 1) a JOIN (SELECT min(id) AS id, k FROM n WHERE id LIKE '%2' GROUP BY k HAVING count(*) = 1) b ON b.k = a.k"
+
+
+def resolved(spark, d, orm, db):
+    named = facts(spark, d).nodes.where("kind = 'Type' AND id LIKE 'customer:%'").select("id", "external", X.normal_name(F.col("name")).alias("k"))
     unique = lambda part, as_: named.where(part).groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias(as_)).where("n = 1").select("k", as_)
-    return unique("id LIKE '%1'", "orm").join(unique("id LIKE '%2'", "db"), "k").select("orm", "db")
+    return unique(orm, "orm").join(unique(db, "db"), "k").select("orm", "db")
+
+
+@query("j25_entity_resolution", graph=ENTITIES)
+def j25(spark, d):
+    return resolved(spark, d, "id LIKE '%1'", "id LIKE '%2'")
+
+
+@query("j25_entity_resolution_whole", graph=ENTITIES.replace("SELECT id, regexp", "SELECT id, external, regexp").replace(f"SELECT id, {NORMAL} AS k", f"SELECT id, external, {NORMAL} AS k").replace("id LIKE '%1'", "NOT external").replace("id LIKE '%2'", "external"))
+def j25_whole(spark, d):
+    """Types of the source against external ones: each customer type is on one side."""
+    return resolved(spark, d, "NOT external", "external")
 
 
 @query("j34_set_containment", """SELECT i.s_suppkey AS small, t.s AS large FROM (SELECT DISTINCT l_suppkey AS s_suppkey FROM lineitem) i, (SELECT DISTINCT l_suppkey AS s FROM lineitem) t
@@ -328,12 +341,24 @@ def j41(spark, d):
     return g.nodes.where("kind = 'Module' AND file LIKE 'src/a%'").select("id").join(importers, "id", "left").fillna(0, ["importers"])
 
 
-@query("j43_design_references", graph="SELECT k FROM (SELECT DISTINCT 'order_' || CAST(o_orderkey * 2 AS STRING) AS k FROM orders WHERE o_orderkey % 40 = 0) WHERE k NOT IN (SELECT name FROM nodes)")
-def j43(spark, d):
-    refs = table(spark, d, "orders").where("o_orderkey % 40 = 0").select(F.concat(F.lit("order_"), (F.col("o_orderkey") * 2).cast("string")).alias("k")).distinct()
+REFERENCES = "SELECT k FROM (SELECT DISTINCT 'order_' || CAST(o_orderkey * 2 AS STRING) AS k FROM orders WHERE o_orderkey % 40 = 0) WHERE k NOT IN (SELECT name FROM nodes)"
+
+
+def unknown_references(spark, d, orders):
+    refs = orders.select(F.concat(F.lit("order_"), (F.col("o_orderkey") * 2).cast("string")).alias("k")).distinct()
     return refs.join(facts(spark, d).nodes.select(F.col("name").alias("k")), "k", "left_anti")
 
 
+@query("j43_design_references", graph=REFERENCES)
+def j43(spark, d):
+    return unknown_references(spark, d, table(spark, d, "orders").where("o_orderkey % 40 = 0"))
+
+
+@query("j43_design_references_whole", graph=REFERENCES.replace(" WHERE o_orderkey % 40 = 0", ""))
+def j43_whole(spark, d):
+    return unknown_references(spark, d, table(spark, d, "orders"))
+
+
 @query("j44_schema_diff", "SELECT t, c FROM (SELECT 'part' AS t, unnest(['P_PARTKEY', 'p_name', 'p_gone']) AS c UNION ALL SELECT 'missing', 'x') WHERE (t, lower(c)) NOT IN (SELECT 'part', unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']))")
 def j44(spark, d):
     expected = spark.createDataFrame([("part", "P_PARTKEY"), ("part", "p_name"), ("part", "p_gone"), ("missing", "x")], "t string, c string")
@@ -432,7 +457,7 @@ def j56(spark, d):
 @query("j62_score_findings")
 def j62(spark, d):
     li = table(spark, d, "lineitem")
-    rows = lambda flag: li.where(F.col("l_returnflag") == flag).where("l_linenumber = 1").select((F.col("l_suppkey")).cast("string").alias("file"), (F.col("l_orderkey") % 400).alias("line"))
+    rows = lambda flag: li.where(F.col("l_returnflag") == flag).select((F.col("l_suppkey")).cast("string").alias("file"), (F.col("l_orderkey") % 400).alias("line"))
     return L.greedy_band_match(rows("R"), rows("A"))
 
 

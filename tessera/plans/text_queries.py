@@ -302,10 +302,10 @@ def s53(spark, d):
 PATCH_SQL = "'@@ -' || CAST(l_orderkey % 90 + 1 AS STRING) || ',3 +' || CAST(l_orderkey % 70 + 1 AS STRING) || ',4 @@' || chr(10) || ' context' || chr(10) || '+added ' || CAST(l_partkey AS STRING) || chr(10) || '-removed' || chr(10) || '+last ' || CAST(l_suppkey AS STRING)"
 
 
-def patches(spark, d):
+def patches(li, patch_id="l_orderkey"):
     c = lambda x: F.col(x).cast("string")
     head = F.concat(F.lit("@@ -"), (F.col("l_orderkey") % 90 + 1).cast("string"), F.lit(",3 +"), (F.col("l_orderkey") % 70 + 1).cast("string"), F.lit(",4 @@\n context\n+added "), c("l_partkey"), F.lit("\n-removed\n+last "), c("l_suppkey"))
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("patch_id"), head.alias("patch"))
+    return li.select(F.expr(patch_id).alias("patch_id"), head.alias("patch"))
 
 
 def added_lines(p):
@@ -333,7 +333,12 @@ def added_lines(p):
 
 @query("s57_added_lines", "SELECT l_orderkey AS patch_id, l_orderkey % 70 + 2 AS line_no, 'added ' || CAST(l_partkey AS STRING) AS content FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, l_orderkey % 70 + 3, 'last ' || CAST(l_suppkey AS STRING) FROM lineitem WHERE l_linenumber = 1")
 def s57(spark, d):
-    return added_lines(patches(spark, d))
+    return added_lines(patches(table(spark, d, "lineitem").where("l_linenumber = 1")))
+
+
+@query("s57_added_lines_whole", "SELECT l_orderkey * 8 + l_linenumber AS patch_id, l_orderkey % 70 + 2 AS line_no, 'added ' || CAST(l_partkey AS STRING) AS content FROM lineitem UNION ALL SELECT l_orderkey * 8 + l_linenumber, l_orderkey % 70 + 3, 'last ' || CAST(l_suppkey AS STRING) FROM lineitem")
+def s57_whole(spark, d):
+    return added_lines(patches(table(spark, d, "lineitem"), "l_orderkey * 8 + l_linenumber"))
 
 
 @query("s56_stack_frames", """SELECT event_id, 'src/p' || CAST(user_id % 40 AS STRING) || '.py' AS file, user_id % 90 + 1 AS line, 'f' || CAST(user_id AS STRING) AS func FROM events""")
@@ -423,9 +428,21 @@ def f30(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"), F.try_variant_get(v, "$.a.b", "long").alias("missing"))
 
 
-@query("f31_confidence_bands", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 9 > 1 OR l_discount * 9 < 0.5 * 0.9 THEN 'fail' WHEN l_discount * 9 < 0.5 THEN 'warn' ELSE 'pass' END AS verdict FROM lineitem WHERE l_linenumber = 2")
+BANDS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 9 > 1 OR l_discount * 9 < 0.5 * 0.9 THEN 'fail' WHEN l_discount * 9 < 0.5 THEN 'warn' ELSE 'pass' END AS verdict FROM lineitem WHERE l_linenumber = 2"
+
+
+def bands(li):
+    return li.select("l_orderkey", "l_linenumber", X.confidence_band(F.col("l_discount") * 9, 0.5).alias("verdict"))
+
+
+@query("f31_confidence_bands", BANDS)
 def f31(spark, d):
-    return table(spark, d, "lineitem").where("l_linenumber = 2").select("l_orderkey", "l_linenumber", X.confidence_band(F.col("l_discount") * 9, 0.5).alias("verdict"))
+    return bands(table(spark, d, "lineitem").where("l_linenumber = 2"))
+
+
+@query("f31_confidence_bands_whole", BANDS.replace(" WHERE l_linenumber = 2", ""))
+def f31_whole(spark, d):
+    return bands(table(spark, d, "lineitem"))
 
 
 @query("f32_policy_rules", "SELECT page_id, CASE WHEN p = '/' THEN 'deny' WHEN p LIKE '/fr/%' THEN 'ask' WHEN p LIKE '/%/1%' THEN 'allow' ELSE 'deny' END AS decision FROM (SELECT page_id, " + PATH_SQL + " AS p FROM pages)")

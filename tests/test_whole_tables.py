@@ -64,3 +64,35 @@ def test_intents_come_from_every_blame_line(spark):
     for n in facts(spark, sf).nodes.where("kind = 'Function' AND file IS NOT NULL").collect():
         want |= {(n.id, issue) for file, line, issue in blame if file == n.file and n.line <= line <= (n.end_line or n.line)}
     assert {(r.symbol, r.issue) for r in QUERIES["j30_intents_whole"](spark, sf).collect()} == want
+
+
+def test_findings_are_scored_over_all_lines_and_islands(spark, tables):
+    import random
+
+    r = random.Random(7)
+    rows = [(r.randrange(2_000), r.randrange(3), r.randrange(2, 8), "RA"[r.randrange(2)]) for _ in range(600)]
+    d = tables(lineitem=(rows, "l_orderkey long, l_suppkey long, l_linenumber long, l_returnflag string"))
+    want = []
+    for file in range(3):
+        ours = sorted(k % 400 for k, f, _, flag in rows if f == file and flag == "R")
+        used = set()
+        for line in sorted(k % 400 for k, f, _, flag in rows if f == file and flag == "A"):
+            hit = next((k for k, at in enumerate(ours) if k not in used and abs(at - line) <= 3), None)
+            used.add(hit)
+            want.append((str(file), line, None if hit is None else ours[hit]))
+    got = [(x.file, x.line, x.found) for x in QUERIES["j62_score_findings"](spark, d).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(w[2] is None for w in want)
+
+
+def test_no_row_of_the_tables_goes_without_a_result(spark):
+    sf = "/root/testdata/sf0.001"
+    lines, orders = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    assert QUERIES["f31_confidence_bands_whole"](spark, sf).count() == lines
+    assert QUERIES["s57_added_lines_whole"](spark, sf).count() == 2 * lines
+    names = {f"order_{r.o_orderkey}" for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    assert {r.k for r in QUERIES["j43_design_references_whole"](spark, sf).collect()} == {k for n in names if (k := f"order_{int(n[6:]) * 2}") not in names} and len(names) == orders
+    sf = "/root/testdata/sf0.01"
+    external = {f"customer:{r.c_custkey}": r.c_acctbal < 0 for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    sides = QUERIES["j25_entity_resolution_whole"](spark, sf).collect()
+    assert sides and all(not external[r.orm] and external[r.db] for r in sides)
+    assert len({r.orm[-1] for r in sides}) > 2
