@@ -993,8 +993,8 @@ def g09(spark, d):
 def label_propagation(u, max_passes=20):
     """(node, community): asynchronous label propagation, nodes in sorted order, ties to the least label.
 
-    Each visit reads the labels that the visits before it wrote, so one group runs it; it
-    is given the area graph, whose size is the number of areas.
+    Each visit reads the labels that the visits before it wrote, but labels never leave a
+    connected component: a component is one group. Communities are numbered by their least node.
     """
 
     def run(pdf):
@@ -1017,10 +1017,16 @@ def label_propagation(u, max_passes=20):
                 break
         first = {}
         for n in sorted(near):
-            first.setdefault(label[n], len(first))
-        return pd.DataFrame({"node": sorted(near), "community": [first[label[n]] for n in sorted(near)]})
-
-    return u.groupBy(F.lit(1).alias("one")).applyInPandas(run, "node string, community long")
+            first.setdefault(label[n], n)
+        return pd.DataFrame({"node": sorted(near), "first": [first[label[n]] for n in sorted(near)]})
+
+    u = T._cut(u)
+    part = T.strong_components(u).withColumnRenamed("node", "a")  # both directions are there, so these are the connected ones
+    # a node with no neighbour but itself is in none of them
+    grouped = u.join(part, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    rows = T._cut(grouped.groupBy("component").applyInPandas(run, "node string, first string"))
+    order = rows.select("first").distinct().sort("first").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    return rows.join(u.sparkSession.createDataFrame(order, "first string, community long"), "first").select("node", "community")
 
 
 @query("g08_communities")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +70,32 @@ def due(pending: DataFrame, now: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all that is there and return a reader of what it wrote.
+
+    Rows go to the session's shared folder, never through the driver; in complete mode the
+    last batch holds all of them. The folder goes when the driver's JVM ends.
+    """
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    base = f"{root.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(hadoop)
+    writer, last = stream.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", f"{base}/state").trigger(availableNow=True), []
+    if mode == "append":
+        last.append(f"{base}/rows")
+        query = writer.format("parquet").start(last[0])
+    else:
+
+        def keep(batch: DataFrame, k: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{base}/rows-{k}")
+            last[:] = [f"{base}/rows-{k}"]
+
+        query = writer.foreachBatch(keep).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    if not last or not files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(last[0])):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(last[0])

@@ -96,3 +96,25 @@ def test_no_row_of_the_tables_goes_without_a_result(spark):
     sides = QUERIES["j25_entity_resolution_whole"](spark, sf).collect()
     assert sides and all(not external[r.orm] and external[r.db] for r in sides)
     assert len({r.orm[-1] for r in sides}) > 2
+
+
+def test_a_drained_stream_is_read_from_files(spark, tmp_path):
+    from tessera.streaming import tail as S
+
+    spark.range(20).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 3 AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props").repartition(3).write.parquet(str(tmp_path / "events"))
+    rows = S.drain(S.tail(spark, str(tmp_path / "events")), "from_files")
+    daily = S.drain(S.windowed(S.tail(spark, str(tmp_path / "events"))), "from_files_daily", "complete")
+    assert rows.count() == 20 and rows.inputFiles()
+    assert [r.n for r in daily.collect()] == [20] and daily.inputFiles()
+    assert S.drain(S.tail(spark, str(tmp_path / "events")).where("event_id < 0"), "none").count() == 0
+
+
+def test_components_are_labelled_apart_and_numbered_together(spark, monkeypatch):
+    from tessera.plans import graph_queries as G
+
+    parts, real = [], G.T.strong_components
+    monkeypatch.setattr(G.T, "strong_components", lambda hops: parts.append(real(hops)) or parts[-1])
+    edges = [("a", "m", 1), ("b", "n", 1), ("d", "n", 3)]
+    got = G.label_propagation(G.undirected(spark.createDataFrame(edges, "src_area string, dst_area string, weight long")))
+    assert {r.node: r.community for r in got.collect()} == {"a": 0, "m": 0, "b": 1, "n": 1, "d": 1}
+    assert len({r.component for r in parts[0].collect()}) == 2
