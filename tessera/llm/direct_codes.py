@@ -125,14 +125,17 @@ def write_token_codes(
     spaces: str = "dropped",
     segment_ids: int = 1_000_000,
     chunk_bits: int = 8,
+    plain_specials: bool = False,
 ) -> DataFrame:
     """Encode, append ``end_id`` to each document, and write segments in ascending id order.
 
     Returns a reader of the written segments: shard, segment, first (ids of the shard before
     it), n_ids, doc_ids, doc_tokens, payload. A segment ends with the document that takes it
-    to ``segment_ids``. A null text is empty (just the end id); null ids come first; rows
-    that repeat an id stand by text. Other columns are not read; an empty table has no
-    segments.
+    to ``segment_ids``, so a very long text is one segment. A null text is empty (just the
+    end id); null ids come first; rows that repeat an id stand by text, and where texts tie,
+    too, their order doesn't show. Other columns, whatever their names, are not read; an
+    empty table has no segments. ``plain_specials``: strings of special tokens are ordinary
+    text; otherwise they are the special tokens, as the library has it.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     schema = T.StructType(
@@ -151,7 +154,7 @@ def write_token_codes(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, encoder = to_arrow_schema(schema), shared_encoder(tokenizer, spaces)
+        arrow, encoder = to_arrow_schema(schema), shared_encoder(tokenizer, spaces, plain_specials)
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
         ids, counts, parts, held = [], [], [], 0
 

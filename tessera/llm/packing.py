@@ -3,9 +3,12 @@
 Only lengths matter to a packing, and there are at most ``capacity`` of them, so the search
 runs on the table of counts by length: its size doesn't follow the corpus. Around the
 largest length still open, the undominated fillings of the rest of its sequence are
-enumerated; one is chosen, and repeated as often as the counts allow. Best-fit decreasing
-gives the first incumbent; a branch whose waste can no longer beat the incumbent is pruned,
-and the search ends at the lower bound or after a fixed number of nodes.
+enumerated, lazily; one is chosen, and repeated as often as the counts allow, or less often.
+Best-fit decreasing gives the first incumbent; a branch whose waste can no longer beat the
+incumbent is pruned by the lower bound of what is left. The search ends at the lower bound,
+when nothing is left to try, or, as a fallback, after a fixed number of steps: then the
+branch at hand is finished by best fit. No piece is ever lost by that, only sequences may
+be more than the fewest.
 
 The plan is a short list of runs: so many sequences with this filling. Documents find their
 place in it by their rank among those of equal length, which is counted in parallel.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,49 +35,77 @@ from .tokens import small_batches
 Run = tuple[tuple[int, ...], int]  # lengths of a sequence, and how many sequences have them
 
 
-def fillings(counts: list[int], room: int, most: int = 6, budget: int = 3_000) -> list[tuple[int, ...]]:
-    """Fillings of ``room`` from lengths with counts left, undominated ones first.
+def reachable(counts: list[int], top: int, room: int) -> dict[int, int]:
+    """For each length up to ``top`` that is left: a bitmap of the sums, up to ``room``, of pieces no longer than it."""
+    sums, mask, out = 1, (1 << (room + 1)) - 1, {}
+    for size in range(1, min(top, room) + 1):
+        n, step = min(counts[size], room // size), 1
+        if not n:
+            continue
+        while n > 0:  # 1, 2, 4, ... copies give every number of copies up to n
+            k = min(step, n)
+            sums |= sums << (k * size) & mask
+            n, step = n - k, step * 2
+        out[size] = sums
+    return out
 
-    Sorted by waste, then by number of pieces: of two fillings with equal sums the one of
-    fewer, larger pieces dominates, as its pieces are harder to place later. At most
-    ``most`` are returned, and at most ``budget`` steps are spent.
-    """
-    found: list[tuple[int, int, tuple[int, ...]]] = []
-    left = budget
 
-    def visit(space: int, top: int, chosen: tuple[int, ...]) -> None:
-        nonlocal left
-        exact = sum(1 for w, _, _ in found if w == 0)
-        if left <= 0 or exact >= most:
+class Patience:
+    """Steps that a search may still take: ``left`` in all, ``each`` for one filling."""
+
+    def __init__(self, left: int, each: int) -> None:
+        self.left, self.each, self.spent = left, each, 0
+
+    def step(self) -> bool:
+        self.left -= 1
+        self.spent += 1
+        return self.left > 0 and self.spent <= self.each
+
+
+def fillings(counts: list[int], room: int, patience: Patience | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths) of every undominated filling of ``room``, lazily: least waste first, then longest pieces first.
+
+    A filling is dominated if some of its pieces could be exchanged for one longer piece
+    that is left (or several for one as long as all of them) without overflowing: what the
+    exchange frees is at least as easy to place. Sums that can't be reached are never
+    entered, so all work leads to fillings or to their dominance. The enumeration is whole
+    unless ``patience`` ends it.
+    """
+    sums = reachable(counts, room, room)
+    sizes = sorted(sums, reverse=True)
+    whole = sums[sizes[0]] if sizes else 1
+    has = sum(1 << s for s in sizes)
+
+    def beaten(one: int, several: int, waste: int) -> int:
+        """Lengths that would take the place of some pieces, or of none."""
+        out, more = several, one | 1
+        for _ in range(waste):
+            more <<= 1
+            out |= more
+        return out
+
+    def visit(at: int, left: int, waste: int, chosen: tuple[int, ...], one: int, several: int, free: int) -> Iterator[tuple[int, ...]]:
+        """``one``, ``several``: sums of some of ``chosen``, of two or more; ``free``: lengths that stay over above the last piece."""
+        if not left:
+            if not beaten(one, several, waste) & free:
+                yield chosen
             return
-        fits = False
-        for size in range(min(space, top), 0, -1):
-            left -= 1
-            if left <= 0:
-                break
-            if counts[size] - chosen.count(size) <= 0:
+        for k in range(at, len(sizes)):
+            size = sizes[k]
+            used = chosen.count(size) if chosen and chosen[-1] == size else 0
+            if patience and not patience.step():
+                return
+            if size > left or not sums[size] >> left & 1 or used >= counts[size]:
                 continue
-            fits = True
-            if size == space:
-                found.append((0, len(chosen) + 1, (*chosen, size)))
-                if sum(1 for w, _, _ in found if w == 0) >= most:
-                    return
-                continue
-            if len(chosen) < 3 or size * 4 >= space:
-                visit(space - size, size, (*chosen, size))
-        if not fits:
-            found.append((space, len(chosen), chosen))
-
-    visit(room, room, ())
-    if not found:
-        # the budget ran out on partial fillings: best fit, largest first
-        chosen, space = [], room
-        for size in range(room, 0, -1):
-            while size <= space and counts[size] - chosen.count(size) > 0:
-                chosen.append(size)
-                space -= size
-        found.append((space, len(chosen), tuple(chosen)))
-    return [f for _, _, f in sorted(set(found), key=lambda x: (x[0], x[1], tuple(-v for v in x[2])))[:most]]
+            # pieces above this length are all chosen: what is left of them may dominate
+            over = free & -(1 << (size + 1))
+            two, any_sum = several | one << size, one | one << size | 1 << size
+            if not beaten(any_sum, two, waste) & over:
+                yield from visit(k, left - size, waste, (*chosen, size), any_sum, two, free & ~(1 << size) if used + 1 == counts[size] else free)
+
+    for waste in range(room + 1):
+        if whole >> (room - waste) & 1:
+            yield from ((waste, f) for f in visit(0, room - waste, waste, (), 0, 0, has))
 
 
 def _times(counts: list[int], filling: tuple[int, ...]) -> int:
@@ -102,63 +134,112 @@ def least_sequences(counts: list[int], capacity: int) -> int:
     """A lower bound: pieces that can't share a sequence with one of length a or more, for every a."""
     number = np.array(counts, np.int64)
     n, size = np.concatenate([[0], np.cumsum(number)]), np.concatenate([[0], np.cumsum(number * np.arange(len(number)))])
-    best, half = -(-int(size[-1]) // capacity), capacity // 2
-    for a in range(1, half + 1):
-        alone = n[capacity + 1] - n[capacity - a + 1]
-        big, big_size = n[capacity - a + 1] - n[half + 1], size[capacity - a + 1] - size[half + 1]
-        small = size[half + 1] - size[a]
-        best = max(best, int(alone + big) + max(0, -(-int(small - (big * capacity - big_size)) // capacity)))
-    return best
+    half = capacity // 2
+    a = np.arange(1, half + 1)
+    alone = n[capacity + 1] - n[capacity - a + 1]
+    big, big_size = n[capacity - a + 1] - n[half + 1], size[capacity - a + 1] - size[half + 1]
+    small = size[half + 1] - size[a]
+    with_small = alone + big + np.maximum(0, -(-(small - (big * capacity - big_size)) // capacity))
+    return max(-(-int(size[-1]) // capacity), int(with_small.max(initial=0)))
+
 
+def evened(found: Iterator[tuple[int, tuple[int, ...]]], most: int = 1_000) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """The same fillings; of neighbours with equal waste, up to ``most``, those whose longest piece is shortest come first."""
+    for _, same in groupby(found, key=lambda x: x[0]):
+        while part := list(islice(same, most)):
+            yield from sorted(part, key=lambda x: max(x[1], default=0))
 
-def plan_sequences(counts: list[int], capacity: int, nodes: int = 6_000) -> list[Run]:
-    """Runs that place ``counts[length]`` pieces of each length, in as few sequences as the search finds."""
-    total = sum(size * n for size, n in enumerate(counts))
-    bound = least_sequences(counts, capacity)
+
+def plan_sequences(counts: list[int], capacity: int, steps: int = 12_000_000, steps_each: int = 20_000) -> list[Run]:
+    """Runs that place ``counts[length]`` pieces of each length, in as few sequences as two searches find.
+
+    The first tries long pieces first, the second even fillings first, the one with a third
+    of ``steps``, the other with the rest; best fit is the first incumbent. A search that meets the lower bound is the last.
+    """
     best = best_fit(counts, capacity)
+    for even, share in ((False, steps // 3), (True, steps - steps // 3)):
+        best = bin_completion(counts, capacity, best, even, share, steps_each)
+    return best
+
+
+def bin_completion(counts: list[int], capacity: int, incumbent: list[Run], even: bool, steps: int, steps_each: int) -> list[Run]:
+    """A plan of fewer sequences than ``incumbent``, or ``incumbent``.
+
+    Depth first. A node takes the largest length left and one of its undominated fillings,
+    as often as the counts allow; on the way back once less often, down to once, and then
+    the next filling. ``even``: of up to 1,000 fillings of equal waste, those whose longest
+    piece is shortest come first; otherwise long pieces come first, and fillings of one
+    length are taken in that order only. A node is left when the sequences it has used and
+    the lower bound of what is left can't beat the incumbent. Without the two limits the
+    search is whole. Where ``steps_each`` steps find no filling, the node takes the best-fit one;
+    after ``steps`` the current branch is finished by best fit and the best plan returned.
+    """
+    bound, best = least_sequences(counts, capacity), incumbent
     fewest = sum(n for _, n in best)
-    left = nodes
-    # depth first, without recursion: (counts, runs so far, sequences so far, fillings to try)
-    state, runs, used = list(counts), [], 0
-    stack: list[tuple[int, Run, list[tuple[int, ...]]]] = []
+    patience = Patience(steps, steps_each)
+    state, used = list(counts), 0
+    path: list[list] = []  # length, its fillings still to come, waste and filling now, how often
 
-    def choices() -> tuple[int, list[tuple[int, ...]]]:
-        largest = next((k for k in range(capacity, 0, -1) if state[k]), 0)
-        if not largest:
-            return 0, []
-        state[largest] -= 1
-        options = [(largest, *f) for f in fillings(state, capacity - largest)]
-        state[largest] += 1
-        return largest, options
-
-    open_total = total
-    while fewest > bound and left > 0:
-        left -= 1
-        largest, options = choices()
-        if not largest and used < fewest:
-            best, fewest = list(runs), used
-            if fewest <= bound:
-                break
-        # waste bound: what is left needs at least so many sequences more
-        if not largest or used + -(-open_total // capacity) >= fewest:
-            options = []
-        while not options and stack:
-            used_before, run, options = stack.pop()
-            for size in run[0]:
-                state[size] += run[1]
-            open_total += sum(run[0]) * run[1]
-            runs.pop()
-            used = used_before
-        if not options:
-            break
-        filling, *rest = options
-        n = _times(state, filling)
-        stack.append((used, (filling, n), rest))
+    def put(filling: tuple[int, ...], n: int) -> None:
+        nonlocal used
+        used += n
         for size in filling:
             state[size] -= n
-        open_total -= sum(filling) * n
-        runs.append((filling, n))
-        used += n
+
+    def options(largest: int, after: tuple | None) -> Iterator[tuple[int, tuple[int, ...]]]:
+        rest = list(state)
+        rest[largest] -= 1
+        patience.left -= capacity
+        room = capacity - largest
+        none = True
+        found = fillings(rest, room, patience)
+        for waste, f in evened(found) if even else found:
+            if after is None or (waste, tuple(-v for v in f)) > after:
+                none, patience.spent = False, 0
+                yield waste, (largest, *f)
+        if none and patience.spent > patience.each:
+            patience.spent = 0
+            f, left = [], room
+            for size in range(room, 0, -1):
+                n = min(left // size, rest[size])
+                f += [size] * n
+                left -= n * size
+            yield left, (largest, *f)
+
+    def advance() -> bool:
+        """The last node's next choice; nodes without one are left."""
+        while path:
+            node = path[-1]
+            if node[3]:
+                put(node[2][1], -node[3])
+            if node[3] > 1:
+                node[3] -= 1
+            else:
+                patience.spent = 0
+                node[2] = next(node[1], None)
+                if node[2] is None:
+                    path.pop()
+                    continue
+                node[3] = _times(state, node[2][1])
+            put(node[2][1], node[3])
+            return True
+        return False
+
+    going = True
+    while going and fewest > bound:
+        if patience.left <= 0:
+            rest = best_fit(state, capacity)
+            if used + sum(n for _, n in rest) < fewest:
+                best = [(node[2][1], node[3]) for node in path] + rest
+            break
+        largest = next((k for k in range(capacity, 0, -1) if state[k]), 0)
+        if not largest and used < fewest:
+            best, fewest = [(node[2][1], node[3]) for node in path], used
+        elif largest and used + least_sequences(state, capacity) < fewest:
+            before = path[-1] if not even and path and path[-1][0] == largest else None
+            after = (before[2][0], tuple(-v for v in before[2][1][1:])) if before else None
+            path.append([largest, options(largest, after), None, 0])
+        going = advance()
     return best
 
 
@@ -187,17 +268,24 @@ def pack_documents(
     text_col: str = "text",
     spaces: str = "leading",
     with_ids: bool = False,
+    plain_specials: bool = False,
+    copy_col: str | None = None,
 ) -> DataFrame:
     """Tokenise, append ``end_id``, cut what is longer than ``capacity``, and pack.
 
     One row a piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset, and
     ``ids`` (little-endian unsigned 32-bit) if ``with_ids``. Only longer documents are cut:
-    into pieces of ``capacity`` ids, the first one taking what is over. A null text is empty
-    and packs its end id; rows that repeat an id are documents of their own, and so are
-    those with a null id. Other columns are not read; an empty table has no pieces. Sequences are numbered from 0
-    and filled without gaps.
+    into pieces of ``capacity`` ids, the first one taking what is over; very long texts are
+    encoded whole and give many pieces. A null or empty text packs its end id alone; rows
+    that repeat an id are documents of their own, and so are those with a null id.
+    ``copy_col`` names a column that tells such rows apart and is passed through as "copy".
+    Pieces of equal length are placed in the order of the input's tasks. Other columns,
+    whatever their names, are not read; an empty table has no pieces. Sequences are
+    numbered from 0 and filled without gaps. ``plain_specials``: strings of special tokens
+    are ordinary text; otherwise they are the special tokens, as the library has it.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+    copy = F.col(copy_col).cast("long") if copy_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), copy.alias("copy"))
     schema = T.StructType(
         [
             T.StructField("id", rows.schema["id"].dataType),
@@ -207,6 +295,7 @@ def pack_documents(
             T.StructField("ids_crc32", T.LongType()),
             T.StructField("task", T.IntegerType()),
             T.StructField("among", T.LongType()),
+            *([T.StructField("copy", T.LongType())] if copy_col else []),
             *([T.StructField("ids", T.BinaryType())] if with_ids else []),
         ]
     )
@@ -215,20 +304,21 @@ def pack_documents(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, encoder = to_arrow_schema(schema), shared_encoder(tokenizer, spaces)
+        arrow, encoder = to_arrow_schema(schema), shared_encoder(tokenizer, spaces, plain_specials)
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            names = iter(batch.column(0).to_pylist())
+            names = iter(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for texts in small_batches(batch.column(1)):
                 cols: list[list] = [[] for _ in arrow]
                 for code in encoder.encode(texts):
-                    name, code = next(names), code + end
+                    (name, number), code = next(names), code + end
                     n = len(code) // 4
                     stop, at, piece = (n - 1) % capacity + 1, 0, 0
                     while at < n:
                         part = code[4 * at : 4 * stop]
-                        values = (name, piece, at, stop - at, zlib.crc32(part), task, seen[stop - at], part)
-                        for col, v in zip(cols, values):  # noqa: B905  the last only if it is asked for
+                        values = [name, piece, at, stop - at, zlib.crc32(part), task, seen[stop - at]]
+                        values += [number] * bool(copy_col) + [part] * with_ids
+                        for col, v in zip(cols, values, strict=True):
                             col.append(v)
                         seen[stop - at] += 1
                         at, stop, piece = stop, stop + capacity, piece + 1

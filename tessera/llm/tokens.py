@@ -5,7 +5,8 @@ crosses the cuts made here, so a piece's ids don't depend on its neighbours: the
 model sees each distinct piece once, as long as it is remembered. Texts of plain letters,
 digits, ASCII marks and single spaces are cut into pieces here; of other texts, the plain
 words are, and the rest goes through the library's whole normaliser and pre-tokeniser.
-Strings that look like special tokens are ordinary text.
+Texts that hold the string of an added token are encoded whole by the library, so that
+string is its token, as the library has it by default; on demand it is ordinary text.
 """
 
 from __future__ import annotations
@@ -42,17 +43,21 @@ class CachedEncoder:
     ``spaces``: "dropped" for a lower-casing vocabulary that drops white space (words are
     cut at ASCII white space, digits stand alone), "leading" for one where a word takes the
     space before it (cut before each space that has visible text on one side; a text with
-    another kind of space run is encoded whole).
+    another kind of space run is encoded whole). ``plain_specials``: strings of special
+    tokens are ordinary text.
     """
 
-    def __init__(self, path: str, spaces: str, remember: int = 500_000) -> None:
+    def __init__(self, path: str, spaces: str, plain_specials: bool = False, remember: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if spaces not in ("dropped", "leading"):
             raise ValueError("spaces is 'dropped' or 'leading'")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain_specials
+        added = [] if plain_specials else [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # one that is matched after lower-casing is looked for in any case
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.model = self.library.model
         self.letters = _byte_letters()
         self.leading = spaces == "leading"
@@ -96,6 +101,9 @@ class CachedEncoder:
         out, known = [], self.words
         for text in texts:
             plain = text.decode()
+            if self.added and self.added.search(plain):
+                out.append(self._whole(plain))
+                continue
             if not self.leading:
                 if _TEXT_DROPPED.fullmatch(plain):
                     out.append(self._join(_PIECE_DROPPED.findall(plain.lower())))
@@ -122,9 +130,9 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, spaces: str) -> CachedEncoder:
+def encoder(path: str, spaces: str, plain_specials: bool = False) -> CachedEncoder:
     """One encoder a Python worker, shared by its tasks."""
-    return CachedEncoder(path, spaces)
+    return CachedEncoder(path, spaces, plain_specials)
 
 
 def small_batches(column, rows: int = 256, size: int = 4 << 20):
