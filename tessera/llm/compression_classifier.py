@@ -88,16 +88,16 @@ def fit_compression_model(
     text_col: str = "text",
     label_col: str = "quality",
     docs_per_class: int = 3_000,
-    blocks_per_class: int = 8_000,
     block_bytes: int = 1_024,
     dictionary_bytes: int = 112 << 10,
     level: int = 3,
 ) -> CompressionModel | None:
     """Fit on a bounded sample: ``docs_per_class`` labelled rows of each class, by hash of the id.
 
-    Half of them train the dictionaries, from at most ``blocks_per_class`` blocks of their
-    whole texts; the other half fits the curve. Labels other than 0 and 1, null ids and
-    labels without a document are left out. None if a class has no text.
+    Half of them train the dictionaries, from all blocks of their whole texts, however long;
+    the other half fits the curve. Labels other than 0 and 1, null ids and labels without a
+    document are left out; an id labelled twice counts twice, and ids whose hashes tie stand
+    by id. The only bound is on labelled rows. None if a class has no text.
     """
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL")
     ranked = usable.withColumn("h", F.xxhash64(F.col("id"), F.lit(17)))
@@ -106,21 +106,11 @@ def fit_compression_model(
     sample = F.broadcast(chosen[0].unionByName(chosen[1]).select(F.col("id").alias("_id"), "y", "h"))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")).join(sample, "_id")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ys, hs, blocks = [], [], []
-            for body, y, h in zip(batch.column("body").to_pylist(), batch.column("y").to_pylist(), batch.column("h").to_pylist(), strict=True):
-                for k, at in enumerate(range(0, len(body), block_bytes)):
-                    ys.append(y)
-                    hs.append((h ^ (k * 0x9E3779B97F4A7C15)) & 0x7FFFFFFFFFFFFFFF)
-                    blocks.append(body[at : at + block_bytes])
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(hs, pa.int64()), pa.array(blocks, pa.binary())], names=["y", "h", "block"])
-
-    pieces = texts.where(F.col("h") % 2 == 0).mapInArrow(cut, "y int, h long, block binary")
-    found: dict[int, list[bytes]] = {}
-    for y in (0, 1):
-        rows = pieces.where(F.col("y") == y).orderBy("h", "block").limit(blocks_per_class).collect()
-        found[y] = [bytes(r["block"]) for r in rows]
+    # at most docs_per_class / 2 rows of each class, with their whole texts, in one order whatever the partitions
+    found: dict[int, list[bytes]] = {0: [], 1: []}
+    for row in texts.where(F.col("h") % 2 == 0).select("y", "h", "body").orderBy("y", "h", "body").toLocalIterator():
+        body = bytes(row["body"])
+        found[row["y"]] += [body[at : at + block_bytes] for at in range(0, len(body), block_bytes)]
     (good, good_trained), (bad, bad_trained) = _dictionary(found[1], dictionary_bytes), _dictionary(found[0], dictionary_bytes)
     if good is None or bad is None:
         return None
@@ -148,7 +138,9 @@ def compression_scores(
     """``id_col``, score (0 to 1, higher: good is likelier) and predicted (score >= ``threshold``).
 
     One row for each row of ``docs``, repeated and null ids included; a null text is scored
-    as empty, and without a model every score is 0.5. Other columns are not read.
+    as empty, a very long one in blocks, whole, equal texts alike, and without a model every
+    score is 0.5. Other columns, whatever their names, are not read; an empty table gives an
+    empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])

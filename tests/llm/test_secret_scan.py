@@ -1,9 +1,12 @@
+import random
 import re
+import string
+import time
 
 import public_tokenizers
 import pytest
 
-from tessera.llm.secret_scan import is_known_form, redact, scan_secrets, spans_text
+from tessera.llm.secret_scan import SecretScanner, is_digest, redact, scan_secrets, spans_text
 
 from .fixtures import frame
 
@@ -47,9 +50,81 @@ def test_random_strings_are_found_and_words_are_not(spark):
         assert not [x for x in got[i] if x[0] == "token"], s
 
 
-@pytest.mark.parametrize("s", ["d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "12345678901234567890123", "snake_case_identifier_name"])
-def test_known_forms(s):
-    assert is_known_form(s)
+@pytest.fixture(scope="module")
+def scanner():
+    return SecretScanner(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 2.0, 20)
+
+
+@pytest.mark.parametrize("s", ["d41d8cd98f00b204e9800998ecf8427e", "12345678901234567890123", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"])
+def test_digests(s):
+    assert is_digest(s)
+
+
+PLAIN = [
+    "snake_case_identifier_name", "connection/settings/production", "com/a/b/c/index_file_name", "HTTP_REQUEST_TIMEOUT_SECONDS", "spark-sql-kafka-0-10_2-13",
+    "https://a.b/com/a/b/c/x/y/z/index_file_name", "sha256-" + "0f" * 32, "id_123e4567-e89b-12d3-a456-426614174000_x", "application/octet-stream",
+]
+
+
+@pytest.mark.parametrize("s", PLAIN)
+def test_identifiers_and_addresses_are_left_alone(scanner, s):
+    assert not [x for x in scanner.spans(f"see {s} there") if x[1] == 3]
+
+
+ALPHABETS = {"lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "mixed": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+
+
+@pytest.mark.parametrize("alphabet,least", [("lower", 0.85), ("upper", 0.95), ("mixed", 0.97), ("base64", 0.9)])
+@pytest.mark.parametrize("before", ["", "connection/settings/production/"])
+def test_planted_random_strings(scanner, alphabet, least, before):
+    rnd, hits = random.Random(alphabet), 0
+    for _ in range(200):
+        planted = "".join(rnd.choice(ALPHABETS[alphabet]) for _ in range(24))
+        spans = [x for x in scanner.spans(f"a {before}{planted} b") if x[1] == 3]
+        hits += any(a < 2 + len(before) + 24 and b > 2 + len(before) for a, _, b in spans)
+    assert hits >= 200 * least
+
+
+def tokens_by_brute_force(scanner, text):
+    """Every run, what it is without the words at its ends, and every part, asked one by one."""
+    base = [(a, b) for _, a, b in brute(text)]
+    out = []
+    for run in re.finditer(r"[A-Za-z0-9+/=_-]+", text):
+        linked = any(m.start() <= run.start() < m.end() for m in re.finditer(r"(?:://|www\.)\S+", text))
+        whole = run[0].strip("=-_/+")
+        start = run.start() + run[0].find(whole)
+        parts = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^/=_-]+", whole)]
+        odd = [p for p in parts if not scanner.is_identifier(text[slice(*p)])] or parts
+        asked = [] if linked or any(is_digest(text[slice(*p)]) and p[1] - p[0] >= 16 for p in parts) else [(start, start + len(whole)), (odd[0][0], odd[-1][1])] if parts else []
+        hit = [p for p in asked if scanner.suspicious(text[slice(*p)])][:1]
+        out += hit or [(a + text[a:b].find(p), a + text[a:b].find(p) + len(p)) for a, b in parts if (p := text[a:b].strip("=-_/+")) and (linked or len(parts) > 1) and scanner.suspicious(p)]
+    return [(a, b) for a, b in out if not any(x <= a and b <= y for x, y in base)]
+
+
+def test_token_spans_against_brute_force(scanner):
+    rnd = random.Random(6)
+    some = lambda n: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(n))
+    found = 0
+    for _ in range(150):
+        bits = [rnd.choice(["word", "settings/", "token=", "_", "/", "-", " ", "://x/", "0f" * 16, some(22), some(9), "Index", "=", "+", "é "]) for _ in range(12)]
+        text = "".join(bits)
+        got = sorted((a, b) for a, k, b in scanner.spans(text) if k == 3)
+        assert got == sorted(tokens_by_brute_force(scanner, text)), text
+        found += len(got)
+    assert found > 50
+
+
+def test_repeated_rows_and_null_ids(spark):
+    secret = "see Zx8Qv2LmR7tYw3Kp9Bn5Hd1Jc6"
+    out = scan_secrets(frame(spark, [(1, secret), (1, secret), (None, secret), (None, None)]), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert sorted((str(r.doc_id), len(r.spans)) for r in out.collect()) == [("1", 1), ("1", 1), ("None", 0), ("None", 1)]
+
+
+def test_many_spans_take_time_in_proportion(scanner):
+    text = " ".join(f"token=abcdefghij{k:06d} q7WkZp2Xv9Lr4Tn8Bm3Y{k}" for k in range(20_000))
+    began = time.time()
+    assert len(scanner.spans(text)) == 40_000
+    assert time.time() - began < 20  # every candidate against every span would be 400 million
 
 
 def test_spans_text_and_redaction(spark):
