@@ -29,13 +29,29 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where fewer of its partitions than that hold rows, as in a table of one row group.
+
+    Partition numbers are counted from the files' metadata; a table of many row groups isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if 0 < filled < cores else df
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; one is set only where the session names none."""
+    """The shared folder named in ``spark.checkpoint.dir`` or set on the context.
+
+    A session without one gets a folder in the warehouse, but only in local mode, as in
+    tests: on a cluster that could be a folder of the driver's machine, so it is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -7,9 +7,10 @@ Two passes over the texts, both linear:
    terminal before anything is shuffled. When a task holds more than ``memory_bytes`` of
    text, its largest subtree is handed downstream and forgotten (spill by subtree, through
    Spark's own writer, so nothing stays on a local disk);
-2. terminals meet by (length, content hash), sorted, and are inserted whole into the trie
-   of their partition. A subtree is complete as soon as its key has passed, so a task
-   holds the texts of one (length, hash) pair only.
+2. terminals meet in partitions by (length, content hash), sorted, and are inserted whole
+   into their partition's trie. What stands in it is complete as soon as its key has
+   passed, so when the trie holds more than ``memory_bytes``, all of its subtrees but the
+   current key's are handed on and forgotten. A task holds that much and one key's texts.
 
 A group of copies therefore sends at most one row per input task, however many documents
 it has. Members join their owner by terminal, not by text.
@@ -108,7 +109,8 @@ def exact_owners(
     only. A null text counts as empty, and empty texts are one group. A null id never owns
     a group that has another id. Where rows repeat, ids included, ``kept`` is true for
     exactly one row of a group. Other columns of ``docs``, whatever their names, are not
-    read. An empty table gives an empty result.
+    read. Very long texts are compared whole, and one is held at a time beyond
+    ``memory_bytes``. An empty table gives an empty result.
 
     Returns ``id_col``, keep_id, group_size, kept, text_sha256.
     """
@@ -219,12 +221,14 @@ def exact_owners(
             lengths, hashes, bodies, owners, copies, names = (batch.column(k) for k in range(6))
             for length, digest, body, best, n, t in zip(lengths.to_pylist(), hashes.to_pylist(), bodies, owners.to_pylist(), copies.to_pylist(), names.to_pylist(), strict=True):
                 if (length, digest) != current:
-                    close(trie)
-                    current, trie = (length, digest), PatriciaTrie()
-                    if len(cols[0]) >= 10_000:
+                    current = (length, digest)
+                    if trie.held > memory_bytes or trie.strings >= 10_000:
+                        close(trie)
+                        trie = PatriciaTrie()
                         yield batch_out()
                 node = trie.slot(body.as_py())
                 if node[2] is None:
+                    trie.strings += 1
                     node[2] = [best, n, t, [t]]
                     continue
                 have = node[2]

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialise, spread
+
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 UNDETERMINED = "und"
@@ -46,11 +48,15 @@ def fit_language_model(
     least_word_count: int = 2,
     least_gram_count: int = 3,
     smoothing: float = 0.5,
+    model_bytes: int = 256 << 20,
 ) -> LanguageModel:
     """Fit on a bounded sample: about ``docs_per_language`` rows of each language, by hash of the id.
 
     Only rows where ``training`` holds, and whose text and language aren't null, are used;
-    whole texts count. The sample bounds the model, so it may travel to every task.
+    whole texts count, very long ones too. Tables of scores take ``model_bytes`` at most:
+    where more words or n-grams of a length were seen, the most frequent stay, and of equally
+    frequent ones the first by name. So the model may travel to every task. Rows that repeat
+    an id are sampled alike; null ids are an id.
     """
     pool = docs.where(training).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).cast("string").alias("language")).where(
         "body IS NOT NULL AND language IS NOT NULL"
@@ -90,6 +96,13 @@ def fit_language_model(
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= least)
     )
+    most = max(1, model_bytes // (8 * len(languages) * (LONGEST + 1)))
+    counts = materialise(counts, "grams")
+    totals = counts.groupBy("size", "gram").agg(F.sum("n").alias("total"))
+    crowded = [r["size"] for r in totals.groupBy("size").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > most).collect()]  # six rows at most
+    for size in crowded:
+        chosen = totals.where(F.col("size") == size).orderBy(F.desc("total"), "gram").limit(most).select("size", "gram")
+        counts = counts.where(F.col("size") != size).unionByName(counts.where(F.col("size") == size).join(chosen, ["size", "gram"], "left_semi").select(*counts.columns))
     at = {name: k for k, name in enumerate(languages)}
     vocab: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
     cells: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(LONGEST + 1)]
@@ -108,10 +121,10 @@ def fit_language_model(
 
 
 class _Scorer:
-    """Log scores of words, each computed once as long as it is remembered."""
+    """Log scores of words, each computed once as long as it is remembered: in ``memory_bytes`` at most, whatever the number of languages."""
 
-    def __init__(self, model: LanguageModel, remember: int = 400_000) -> None:
-        self.model, self.remember = model, remember
+    def __init__(self, model: LanguageModel, memory_bytes: int = 64 << 20) -> None:
+        self.model, self.remember = model, max(8, memory_bytes // (8 * len(model.languages) + 120))
         self.forget()
 
     def forget(self) -> None:
@@ -151,10 +164,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learnt.
     The score is the predicted language's share of the likelihood, all languages being
-    equally likely beforehand; of equal languages the first by name is predicted. Repeated
-    rows and null ids are kept, and other columns aren't read.
+    equally likely beforehand; of equal languages the first by name is predicted. Very long
+    texts count whole, in bounded memory. Repeated rows and null ids are kept, other columns,
+    whatever their names, aren't read, and an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")))
     schema = T.StructType(
         [T.StructField("id", rows.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     )

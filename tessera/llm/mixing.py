@@ -8,7 +8,8 @@ it can. Within a pattern, each source takes whole copies and then a share of the
 in an order that a seeded hash of the id fixes, so reruns agree.
 
 The cut in that order is found by two histograms of hash bits and a running sum over the
-few documents in the last cell: no source or pattern is ever one task's work.
+few documents in the last cell; what is left is filled by the largest documents that fit,
+found by aggregates. No source or pattern is ever one task's work.
 """
 
 from __future__ import annotations
@@ -127,9 +128,15 @@ def mix_sources(
     sources; the sources of an array document count once, and an empty array or null is the
     null source. ``size`` is the number of words (0 for a null text), ``source_size`` and
     ``target`` are sums over the document's sources, and ``taken`` is size times the copies
-    the mix takes, at most ``most_copies``. Whole documents are taken, so a source misses
-    its target by less than its last document. Rows that repeat an id share their place in
-    the seeded order. Other columns are not read; an empty table gives an empty result.
+    the mix takes, at most ``most_copies``. Whole documents are taken in seeded order while
+    they fit; then three times the largest document that still fits fills what is left, and
+    the smallest one is added if that brings the source nearer. So a source misses its target
+    by half of its smallest document left at most, very long texts or not. Rows that repeat an id and a size share their place in the seeded order and are
+    taken together; ids whose hashes tie stand by id. Other columns, whatever their names,
+    are not read; an empty table gives an empty result.
+
+    Patterns go through the driver, one row each: as many as there are distinct sets of
+    sources, however many documents there are. The flow takes time by patterns squared.
     """
     spark = docs.sparkSession
     several = isinstance(docs.schema[source_col].dataType, T.ArrayType)
@@ -160,9 +167,11 @@ def mix_sources(
     flow = route(supply, [[at[s] for s in p] for p in patterns], [round(targets[s]) for s in names], most_copies)
 
     # a pattern's copies: whole ones for all its documents, then a share of them in seeded order
-    plan = []
+    plan, routed = [], [0] * len(patterns)
+    for (a, _), v in flow.items():
+        routed[a] += v
     for k, (p, n) in enumerate(zip(patterns, supply, strict=True)):
-        words = sum(v for (a, _), v in flow.items() if a == k)
+        words = routed[k]
         copies, share = divmod(words, n) if n else (0, 0)
         plan.append((list(p), k, int(copies), int(share), sum(sizes[s] for s in p), float(sum(targets[s] for s in p))))
     wanted = F.broadcast(
@@ -191,19 +200,40 @@ def mix_sources(
     last = (
         inside.join(F.broadcast(cut2), "k")
         .where("c2 = at2")
-        .withColumn("place", F.row_number().over(order))
-        .withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") / 2)
-        # the document at the cut is taken if more than half of it is wanted
+        .groupBy("k", "share", "b1", "b2", "h", "id", "size")
+        .agg(F.sum("size").alias("n"))  # rows that repeat all of this stand and fall together
+        .withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .where(F.col("upto") <= F.col("share") - F.col("b1") - F.col("b2"))
         .groupBy("k")
-        .agg(F.max_by(F.struct("h", "id", "size"), "place").alias("stop"))
+        .agg(F.max(F.struct("h", "id", "size")).alias("stop"), F.max("upto").alias("b3"))
     )
     cuts = spark.range(0, len(plan)).select(F.col("id").cast("int").alias("k")).join(cut1, "k", "left").join(cut2, "k", "left").join(last, "k", "left")
-    marked = rows.join(F.broadcast(cuts.drop("b1", "b2")), "k", "left")  # one row a pattern
+    cuts = materialise(cuts, "cuts")  # one row a pattern
+    marked = rows.join(F.broadcast(cuts.drop("b1", "b2", "b3")), "k", "left")
     mine = F.struct("h", "id", "size")
-    extra = (F.col("share") > 0) & (
+    before = (F.col("share") > 0) & (
         (F.col("c1") < F.col("at1"))
         | (F.col("c1") == F.col("at1")) & ((F.col("c2") < F.col("at2")) | (F.col("c2") == F.col("at2")) & F.coalesce(mine <= F.col("stop"), F.lit(False)))
     )
-    taken = F.col("size") * (F.col("copies") + F.coalesce(extra, F.lit(False)).cast("long"))
+    marked = marked.withColumn("extra", F.coalesce(before, F.lit(False)))
+    # what is left of the share: past the cut, three times the largest that still fits, then the smallest if it brings
+    # the source nearer; of equal ones the first in seeded order
+    gaps = cuts.join(wanted.select("k", "share"), "k").where("share > 0").select("k", (F.col("share") - F.coalesce("b1", F.lit(0)) - F.coalesce("b2", F.lit(0)) - F.coalesce("b3", F.lit(0))).alias("gap"))
+    for fits, prefer in [("n <= gap", F.col("n"))] * 3 + [("n < 2 * gap", -F.col("n"))]:
+        picks = (
+            marked.where("NOT extra AND size > 0")
+            .join(F.broadcast(gaps), "k")
+            .where("size < 2 * gap")
+            .groupBy("k", "gap", "h", "id", "size")
+            .agg(F.sum("size").alias("n"))
+            .where(fits)
+            .groupBy("k", "gap")
+            .agg(F.max_by(F.struct("h", "id", "size", "n"), F.struct(prefer.alias("n"), (-F.col("h")).alias("h"), "id")).alias("pick"))
+        )
+        picks = materialise(picks, "picks")  # one row a pattern
+        marked = marked.join(F.broadcast(picks.select("k", F.struct("pick.h", "pick.id", "pick.size").alias("pick"))), "k", "left")
+        marked = marked.withColumn("extra", F.col("extra") | F.coalesce(mine.eqNullSafe(F.col("pick")), F.lit(False))).drop("pick")
+        gaps = gaps.join(picks.select("k", "pick.n"), "k", "left").select("k", (F.col("gap") - F.coalesce("n", F.lit(0))).alias("gap"))
+        gaps = materialise(gaps, "gaps")
+    taken = F.col("size") * (F.col("copies") + F.col("extra").cast("long"))
     return marked.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, spread
 from .tokens import encoder as shared_encoder
 from .tokens import small_batches
 
@@ -285,7 +285,7 @@ def pack_documents(
     are ordinary text; otherwise they are the special tokens, as the library has it.
     """
     copy = F.col(copy_col).cast("long") if copy_col else F.lit(None).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), copy.alias("copy"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), copy.alias("copy")))
     schema = T.StructType(
         [
             T.StructField("id", rows.schema["id"].dataType),

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, spread
 
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
 SYMBOL = "[#*$%&|<>]"
@@ -152,8 +152,10 @@ def quality_rules(
     * kept: not base_failed, and llr >= ``threshold``.
 
     A null text counts as empty: no words, base_failed. A null id is trusted by nobody.
-    Repeated rows are judged alike. An empty ``docs`` or ``trusted_ids`` is allowed.
+    Repeated rows are judged alike, and equal scores get equal verdicts. Very long texts
+    count whole. An empty ``docs`` or ``trusted_ids`` is allowed.
     """
+    docs = spread(docs)
     mark = "_trusted_id"
     ids = trusted_ids.select(F.col(id_col).alias(mark)).where(F.col(mark).isNotNull()).distinct()
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

@@ -77,5 +77,5 @@ def test_memory_of_words_is_bounded(spark):
 
     model = fit_language_model(frame(spark, languages()), F.lit(True))
     text = [f"kalo{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(20)]
-    small, large = _Scorer(model, remember=7), _Scorer(model)
+    small, large = _Scorer(model, memory_bytes=1), _Scorer(model)
     assert np.allclose(small.of(text), large.of(text))
