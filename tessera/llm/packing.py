@@ -269,7 +269,6 @@ def pack_documents(
     spaces: str = "leading",
     with_ids: bool = False,
     plain_specials: bool = False,
-    copy_col: str | None = None,
 ) -> DataFrame:
     """Tokenise, append ``end_id``, cut what is longer than ``capacity``, and pack.
 
@@ -278,14 +277,12 @@ def pack_documents(
     into pieces of ``capacity`` ids, the first one taking what is over; very long texts are
     encoded whole and give many pieces. A null or empty text packs its end id alone; rows
     that repeat an id are documents of their own, and so are those with a null id.
-    ``copy_col`` names a column that tells such rows apart and is passed through as "copy".
     Pieces of equal length are placed in the order of the input's tasks. Other columns,
     whatever their names, are not read; an empty table has no pieces. Sequences are
     numbered from 0 and filled without gaps. ``plain_specials``: strings of special tokens
     are ordinary text; otherwise they are the special tokens, as the library has it.
     """
-    copy = F.col(copy_col).cast("long") if copy_col else F.lit(None).cast("long")
-    rows = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), copy.alias("copy")))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")))
     schema = T.StructType(
         [
             T.StructField("id", rows.schema["id"].dataType),
@@ -295,7 +292,6 @@ def pack_documents(
             T.StructField("ids_crc32", T.LongType()),
             T.StructField("task", T.IntegerType()),
             T.StructField("among", T.LongType()),
-            *([T.StructField("copy", T.LongType())] if copy_col else []),
             *([T.StructField("ids", T.BinaryType())] if with_ids else []),
         ]
     )
@@ -307,18 +303,17 @@ def pack_documents(
         arrow, encoder = to_arrow_schema(schema), shared_encoder(tokenizer, spaces, plain_specials)
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            names = iter(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            names = iter(batch.column(0).to_pylist())
             for texts in small_batches(batch.column(1)):
                 cols: list[list] = [[] for _ in arrow]
                 for code in encoder.encode(texts):
-                    (name, number), code = next(names), code + end
+                    name, code = next(names), code + end
                     n = len(code) // 4
                     stop, at, piece = (n - 1) % capacity + 1, 0, 0
                     while at < n:
                         part = code[4 * at : 4 * stop]
                         values = [name, piece, at, stop - at, zlib.crc32(part), task, seen[stop - at]]
-                        values += [number] * bool(copy_col) + [part] * with_ids
-                        for col, v in zip(cols, values, strict=True):
+                        for col, v in zip(cols, values + [part] * with_ids, strict=True):
                             col.append(v)
                         seen[stop - at] += 1
                         at, stop, piece = stop, stop + capacity, piece + 1

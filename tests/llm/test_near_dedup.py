@@ -68,6 +68,46 @@ def test_repeated_and_null_ids(spark):
     assert {(r.doc_id, r.component_id, r.kept) for r in out} == {(1, 1, True), (2, 1, False), (None, 1, False), (None, None, True), (5, 5, True)}
 
 
+@pytest.mark.parametrize("block", [1_024, 5])
+def test_rows_without_ids_are_linked(spark, block):
+    """Brute force over rows of which every third has no id."""
+    rows = [(None if k % 3 == 0 else k + 1, t) for k, (_, t) in enumerate(corpus())]
+    sets = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            c = sets[k][1]
+            least[c] = min(least.get(c, i), i)
+    want = [(str(i), sets[k][0], least.get(sets[k][1])) for k, (i, _) in enumerate(rows)]
+    out = N.near_duplicates(frame(spark, rows).repartition(3), block=block).collect()
+    assert sorted(((str(r.doc_id), r.n_shingles, r.component_id) for r in out), key=str) == sorted(want, key=str)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out if r.component_id is not None)
+
+
+def test_groups_without_any_id_keep_one_set(spark):
+    base = words(4, 80).split()
+    a, b = " ".join(base), " ".join([*base[:-1], "other"])
+    out = N.near_duplicates(frame(spark, [(None, a), (None, b), (None, b), (3, "else here")])).collect()
+    kept = {r.n_shingles: r.kept for r in out if r.doc_id is None}
+    assert len(out) == 4 and sum(r.kept for r in out if r.doc_id is None) in (1, 2) and kept
+
+
+def test_large_buckets_meet_by_rare_shingles(spark):
+    """Texts that share two thirds and link with nobody, but for a few near copies among them."""
+    rnd, shared = random.Random(2), words(50, 80, "s")
+    rows = [(k, shared + " " + words(2_000 + k, 40, f"u{k}x")) for k in range(150)]
+    rows += [(500 + k, mutate(rows[k * 7][1], rnd, 2)) for k in range(9)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(frame(spark, rows), block=16).collect()}
+    assert got == brute(rows)
+
+
+def test_large_keys_are_joined_in_parts(spark):
+    rows = spark.range(5_000).selectExpr("if(id < 4000, 1, id) AS key", "id AS node")
+    groups = rows.groupBy("key").count().selectExpr("key", "count AS k", "key * 10 AS value")
+    got = N.join_in_parts(rows, groups, "key", "node", "k", 5_000)
+    assert sorted((r.key, r.node, r.value) for r in got.collect()) == sorted((r.key, r.node, r.key * 10) for r in rows.collect())
+
+
 def test_empty(spark):
     assert N.near_duplicates(frame(spark, [])).count() == 0
 
