@@ -10,6 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import fresh, materialise, table
 from tessera.llm.exact_dedup import exact_owners
@@ -23,6 +24,12 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; those labelled 1 are the trusted target.
+
+    Null, empty and short texts fail the base rules and go; very long ones are judged whole.
+    Repeated rows and rows that tie get one verdict, null ids are trusted by nobody, and an
+    empty table stays empty.
+    """
     trusted = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
     into = fresh(docs, "quality")
     judged = quality_rules(docs, trusted, into=into)
@@ -30,7 +37,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are told apart by id and text; of rows that repeat both, one stays."""
+    """Of rows with equal texts, the one with the smallest id; of those that repeat id and text, one.
+
+    Rows are told apart by id and text, so rows that share only an id are judged each by its
+    own text. Null and empty texts are equal, and a null id stays only where no other is.
+    Very long texts are compared whole; an empty table stays empty.
+    """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), upper, lower), 256)
     mine, sha = fresh(docs, "kept_id"), fresh(docs, "kept_sha")
@@ -42,13 +54,26 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mine = fresh(docs, "kept_id")
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(mine))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(mine)), "left_semi")
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Rows are told apart by id and text: of rows that share an id, each is judged by its own
+    text, and of equal ids the smaller text hash stays. Null, empty and wordless texts stay,
+    null ids come first; very long texts are compared whole; an empty table stays empty.
+    """
+    row = fresh(docs, "row_key")
+    keyed = docs.withColumn(row, F.struct(F.col("doc_id"), F.xxhash64("text").alias("text")))
+    kept = near_duplicates(keyed, id_col=row).where("kept").select(row)
+    return keyed.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document the mix takes twice is two rows from here on; rows that share an id are taken as often as the one taken most."""
+    """A document that the mix takes twice is two rows from here on, and one it doesn't take goes.
+
+    Null and empty texts have no words, so the mix takes none of them; a null source is a
+    source. Rows that share an id are taken as often as the one taken most. Very long texts
+    are taken whole or not at all; rows that tie are taken in seeded order, then by id; an
+    empty table stays empty.
+    """
     mine, copies, copy = fresh(docs, "taken_id"), fresh(docs, "copies"), fresh(docs, "copy")
     mixed = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias(mine), F.expr("taken div size").cast("int").alias(copies))
     taken = mixed.groupBy(mine).agg(F.max(copies).alias(copies))  # rows that share an id are taken alike, so no id multiplies its rows
@@ -57,7 +82,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    """The pieces of :func:`pack_documents`, and ``copy``, counted from 1: which of the equal pieces of a document taken twice it is.
+
+    Null and empty texts pack their end id; very long ones are cut into many pieces. Rows
+    that repeat an id and a text are copies of each other, in the order of their sequences;
+    null ids are packed like others; an empty table has no pieces.
+    """
+    pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    alike = Window.partitionBy("doc_id", "piece", "start", "length", "ids_crc32").orderBy("sequence_id", "offset")
+    return pieces.withColumn("copy", F.row_number().over(alike))
 
 
 STAGES = [
