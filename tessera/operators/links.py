@@ -44,23 +44,43 @@ def unique_suffix_join(left: DataFrame, raw: str, right: DataFrame, path: str, s
 def containment_join(small: DataFrame, large: DataFrame, key_small: str, key_large: str, element: str) -> DataFrame:
     """(small, large): pairs where every element of the small set is in the large one; empty sets match nothing.
 
-    A join on elements and a count: pairs that share nothing are never made.
+    A small set asks by its rarest element only, so no pair is made for an element that is
+    in every set; what is found is then held against the other elements.
     """
     s = small.select(F.col(key_small).alias("small"), F.col(element).alias("e")).distinct()
     g = large.select(F.col(key_large).alias("large"), F.col(element).alias("e")).distinct()
-    need = s.groupBy("small").agg(F.count("*").alias("need"))
-    return s.join(g, "e").groupBy("small", "large").agg(F.count("*").alias("have")).join(need, "small").where("have = need").select("small", "large")
+    often = g.groupBy("e").agg(F.count("*").alias("k"))
+    # an element that no large set has rules its small set out
+    rarest = s.join(often, "e", "left").groupBy("small").agg(F.min_by("e", F.struct(F.coalesce("k", F.lit(0)).alias("k"), "e")).alias("e"), F.count("*").alias("need"))
+    asked = rarest.join(g, "e").select("small", "large", "need")
+    others = asked.join(s, "small").select("small", "large", "need", "e").join(g, ["large", "e"])
+    return others.groupBy("small", "large", "need").agg(F.count("*").alias("have")).where("have = need").select("small", "large")
 
 
 def similarity_top_k(left: DataFrame, right: DataFrame, k: int, least: float) -> DataFrame:
     """(id, target, score, place): the ``k`` most similar targets of each id by Jaccard of tokens, at ``least`` or above.
 
-    ``left`` (id, tokens) and ``right`` (target, tokens), tokens distinct. Candidates come from
-    an inverted index of tokens; the shared tokens are counted, not compared again.
+    ``left`` (id, tokens) and ``right`` (target, tokens), tokens distinct. Equal token sets
+    are one set. A set puts forward its rarest n - ceil(least * n) + 1 tokens: two sets at
+    ``least`` share one of them, and a token that everybody has is nobody's key.
     """
-    a = left.select("id", F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
-    b = right.select("target", F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
-    shared = a.join(b, "t").groupBy("id", "target", "na", "nb").agg(F.count("*").alias("both"))
+    whole = lambda df, key: df.select(key, F.array_sort("tokens").alias("tokens"))
+    a, b = whole(left, "id"), whole(right, "target")
+    ids, targets = a.select("tokens").distinct(), b.select("tokens").distinct()
+    sets = ids.union(targets).distinct()
+    words = sets.select("tokens", F.explode("tokens").alias("t"))
+    often = words.groupBy("t").agg(F.count("*").alias("k"))
+    ranked = words.join(often, "t").groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("r"))
+    first = F.size("r") - F.ceil(F.size("r") * F.lit(least) - F.lit(1e-9)).cast("int") + 1
+    keys = ranked.select("tokens", F.explode(F.slice("r", F.lit(1), F.least(F.greatest(first, F.lit(1)), F.size("r")))).alias("x")).select("tokens", "x.t")
+    side = lambda df, as_: keys.join(df, "tokens", "left_semi").select("t", F.col("tokens").alias(as_))
+    pairs = side(ids, "ta").join(side(targets, "tb"), "t").select("ta", "tb").distinct()
+    sized = pairs.select("ta", "tb", F.size(F.array_intersect("ta", "tb")).alias("both"), F.size("ta").alias("na"), F.size("tb").alias("nb"))
+    near = sized.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= least)
+    shared = (
+        near.join(a.select(F.col("tokens").alias("ta"), "id"), "ta")
+        .join(b.select(F.col("tokens").alias("tb"), "target"), "tb")
+    )
     score = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     ranked = shared.select("id", "target", score.alias("score")).where(F.col("score") >= least)
     best = ranked.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "target"))), 1, k).alias("top"))

@@ -82,40 +82,23 @@ def j24(spark, d):
 # --- entities, containment, calls
 
 
-CUST_NORMAL = f"SELECT id, {NORMAL} AS k FROM (SELECT id, regexp_replace(lower(name), '[_ ]', '', 'g') AS b FROM nodes WHERE kind = 'Type' AND id LIKE 'customer:%')"
+CUST_NORMAL = f"SELECT id, external, {NORMAL} AS k FROM (SELECT id, external, regexp_replace(lower(name), '[_ ]', '', 'g') AS b FROM nodes WHERE kind = 'Type' AND id LIKE 'customer:%')"
 
 
-ENTITIES = f", n AS ({CUST_NORMAL}) SELECT a.id AS orm, b.id AS db FROM (SELECT min(id) AS id, k FROM n WHERE id LIKE '%1' GROUP BY k HAVING count(*) = 1) a JOIN (SELECT min(id) AS id, k FROM n WHERE id LIKE '%2' GROUP BY k HAVING count(*) = 1) b ON b.k = a.k"
-
-
-def resolved(spark, d, orm, db):
-    named = facts(spark, d).nodes.where("kind = 'Type' AND id LIKE 'customer:%'").select("id", "external", X.normal_name(F.col("name")).alias("k"))
-    unique = lambda part, as_: named.where(part).groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias(as_)).where("n = 1").select("k", as_)
-    return unique(orm, "orm").join(unique(db, "db"), "k").select("orm", "db")
+ENTITIES = f", n AS ({CUST_NORMAL}) SELECT a.id AS orm, b.id AS db FROM (SELECT min(id) AS id, k FROM n WHERE NOT external GROUP BY k HAVING count(*) = 1) a JOIN (SELECT min(id) AS id, k FROM n WHERE external GROUP BY k HAVING count(*) = 1) b ON b.k = a.k"
 
 
 @query("j25_entity_resolution", graph=ENTITIES)
 def j25(spark, d):
-    return resolved(spark, d, "id LIKE '%1'", "id LIKE '%2'")
-
-
-@query("j25_entity_resolution_whole", graph=ENTITIES.replace("SELECT id, regexp", "SELECT id, external, regexp").replace(f"SELECT id, {NORMAL} AS k", f"SELECT id, external, {NORMAL} AS k").replace("id LIKE '%1'", "NOT external").replace("id LIKE '%2'", "external"))
-def j25_whole(spark, d):
     """Types of the source against external ones: each customer type is on one side."""
-    return resolved(spark, d, "NOT external", "external")
+    named = facts(spark, d).nodes.where("kind = 'Type' AND id LIKE 'customer:%'").select("id", "external", X.normal_name(F.col("name")).alias("k"))
+    unique = lambda part, as_: named.where(part).groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias(as_)).where("n = 1").select("k", as_)
+    return unique("NOT external", "orm").join(unique("external", "db"), "k").select("orm", "db")
 
 
-@query("j34_set_containment", """SELECT i.s_suppkey AS small, t.s AS large FROM (SELECT DISTINCT l_suppkey AS s_suppkey FROM lineitem) i, (SELECT DISTINCT l_suppkey AS s FROM lineitem) t
-    WHERE NOT EXISTS (SELECT 1 FROM lineitem a WHERE a.l_suppkey = i.s_suppkey AND a.l_quantity = 1 AND a.l_linenumber = 1 AND a.l_partkey % 40 NOT IN (SELECT b.l_partkey % 40 FROM lineitem b WHERE b.l_suppkey = t.s AND b.l_quantity <= 8))
-    AND EXISTS (SELECT 1 FROM lineitem a WHERE a.l_suppkey = i.s_suppkey AND a.l_quantity = 1 AND a.l_linenumber = 1)""")
+@query("j34_set_containment", """WITH s AS (SELECT DISTINCT l_orderkey AS small, l_partkey AS e FROM lineitem), g AS (SELECT DISTINCT l_suppkey AS large, l_partkey AS e FROM lineitem)
+    SELECT small, large FROM s JOIN g USING (e) JOIN (SELECT small, count(*) AS need FROM s GROUP BY small) USING (small) GROUP BY small, large HAVING count(*) = any_value(need)""")
 def j34(spark, d):
-    li = table(spark, d, "lineitem").withColumn("sig", F.col("l_partkey") % 40)
-    small = li.where("l_quantity = 1 AND l_linenumber = 1")
-    return L.containment_join(small, li.where("l_quantity <= 8"), "l_suppkey", "l_suppkey", "sig")
-
-
-@query("j34_set_containment_whole")
-def j34_whole(spark, d):
     """Orders all of whose parts a supplier has delivered: whole sets on both sides."""
     li = table(spark, d, "lineitem")
     return L.containment_join(li, li, "l_orderkey", "l_suppkey", "l_partkey")
@@ -165,34 +148,23 @@ def words_of_parts(spark, d):
     return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("m"), F.col("p_partkey").alias("match"))
 
 
-J27 = """SELECT m, 'part:' || CAST(min(p) AS STRING) AS match, count(DISTINCT p) AS anchors FROM (SELECT unnest(['small', 'red', 'ring', 'xyz', 'bolt', 'widget']) AS m) JOIN (SELECT p_partkey AS p, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey < 30) ON w = m GROUP BY m"""
-
-
-def bound_mentions(spark, hits):
-    asked = spark.createDataFrame([(m,) for m in ("small", "red", "ring", "xyz", "bolt", "widget")], "m string")
-    return asked.join(hits, "m").groupBy("m").agg(F.concat(F.lit("part:"), F.min("match").cast("string")).alias("match"), F.count_distinct("match").alias("anchors"))
+J27 = """SELECT m, 'part:' || CAST(min(p) AS STRING) AS match, count(DISTINCT p) AS anchors FROM (SELECT unnest(['small', 'red', 'ring', 'xyz', 'bolt', 'widget']) AS m) JOIN (SELECT p_partkey AS p, unnest(string_split(p_name, ' ')) AS w FROM part) ON w = m GROUP BY m"""
 
 
 @query("j27_bind_mentions", J27)
 def j27(spark, d):
-    return bound_mentions(spark, words_of_parts(spark, d).where("match < 30"))
-
-
-@query("j27_bind_mentions_whole", J27.replace(" WHERE p_partkey < 30", ""))
-def j27_whole(spark, d):
-    return bound_mentions(spark, words_of_parts(spark, d))
+    asked = spark.createDataFrame([(m,) for m in ("small", "red", "ring", "xyz", "bolt", "widget")], "m string")
+    hits = asked.join(words_of_parts(spark, d), "m")
+    return hits.groupBy("m").agg(F.concat(F.lit("part:"), F.min("match").cast("string")).alias("match"), F.count_distinct("match").alias("anchors"))
 
 
-BIND = """, asked AS (SELECT DISTINCT name AS k FROM nodes WHERE id LIKE 'customer:%' AND seq % 3 = 0 UNION SELECT 'nation_3' UNION SELECT 'asia' UNION SELECT 'none'),
+BIND = """, asked AS (SELECT DISTINCT name AS k FROM nodes WHERE id LIKE 'customer:%' UNION SELECT 'nation_3' UNION SELECT 'asia' UNION SELECT 'none'),
     s1 AS (SELECT k, count(DISTINCT id) AS n, min(id) AS match FROM asked JOIN nodes ON name = k GROUP BY k),
     s2 AS (SELECT k, count(DISTINCT id) AS n, min(id) AS match FROM asked JOIN nodes ON list_extract(string_split(name, '.'), -1) = k WHERE k NOT IN (SELECT k FROM s1) GROUP BY k)"""
 
 
-BIND_WHOLE = BIND.replace(" AND seq % 3 = 0", "")
-
-
-def asked_names(spark, d, which="id LIKE 'customer:%' AND seq % 3 = 0"):
-    names = facts(spark, d).nodes.where(which).select(F.col("name").alias("k"))
+def asked_names(spark, d):
+    names = facts(spark, d).nodes.where("id LIKE 'customer:%'").select(F.col("name").alias("k"))
     return names.unionByName(spark.createDataFrame([("nation_3",), ("asia",), ("none",)], "k string")).distinct()
 
 
@@ -207,7 +179,6 @@ def binding(spark, d, asked):
 LINKED = " SELECT k, match, 'exact' AS step FROM s1 WHERE n = 1 UNION ALL SELECT k, match, 'suffix' FROM s2 WHERE n = 1"
 DRIFT = " SELECT k FROM asked WHERE k NOT IN (SELECT k FROM s1 WHERE n = 1) AND k NOT IN (SELECT k FROM s2 WHERE n = 1)"
 VERDICT = " SELECT a.k, CASE WHEN s1.n = 1 OR s2.n = 1 THEN 'bound' WHEN a.k = 'none' THEN 'no claim' ELSE 'unbound' END AS verdict FROM asked a LEFT JOIN s1 ON s1.k = a.k LEFT JOIN s2 ON s2.k = a.k"
-CUSTOMERS = "id LIKE 'customer:%'"
 
 
 def drifted(spark, d, asked):
@@ -224,54 +195,30 @@ def j26(spark, d):
     return binding(spark, d, asked_names(spark, d))
 
 
-@query("j26_link_docs_whole", graph=BIND_WHOLE + LINKED)
-def j26_whole(spark, d):
-    return binding(spark, d, asked_names(spark, d, CUSTOMERS))
-
-
 @query("j28_doc_drift", graph=BIND + DRIFT)
 def j28(spark, d):
     return drifted(spark, d, asked_names(spark, d))
 
 
-@query("j28_doc_drift_whole", graph=BIND_WHOLE + DRIFT)
-def j28_whole(spark, d):
-    return drifted(spark, d, asked_names(spark, d, CUSTOMERS))
-
-
 @query("j42_bind_criteria", graph=BIND + VERDICT)
 def j42(spark, d):
     return verdicts(spark, d, asked_names(spark, d))
 
 
-@query("j42_bind_criteria_whole", graph=BIND_WHOLE + VERDICT)
-def j42_whole(spark, d):
-    return verdicts(spark, d, asked_names(spark, d, CUSTOMERS))
-
-
 # --- intents, routes, traces
 
 
-BLAME = "SELECT 'src/parts/p' || CAST(l_partkey % 40 AS STRING) || '.py' AS file, CAST(l_linenumber * 9 AS BIGINT) AS line, 'T-' || CAST(l_orderkey % 30 AS STRING) AS issue FROM lineitem WHERE l_quantity = 7"
+BLAME = "SELECT 'src/parts/p' || CAST(l_partkey % 40 AS STRING) || '.py' AS file, CAST(l_linenumber * 9 AS BIGINT) AS line, 'T-' || CAST(l_orderkey % 30 AS STRING) AS issue FROM lineitem"
 
 
 INTENTS = f"SELECT DISTINCT n.id AS symbol, b.issue FROM nodes n JOIN ({BLAME}) b ON b.file = n.file AND b.line BETWEEN n.line AND coalesce(n.end_line, n.line) WHERE n.kind = 'Function'"
 
 
-def intents(spark, d, li):
-    blame = li.select(F.concat(F.lit("src/parts/p"), (F.col("l_partkey") % 40).cast("string"), F.lit(".py")).alias("file"), (F.col("l_linenumber") * 9).cast("long").alias("at_line"), F.concat(F.lit("T-"), (F.col("l_orderkey") % 30).cast("string")).alias("issue")).distinct()
-    spans = facts(spark, d).nodes.where("kind = 'Function'").select("id", "file", "line", F.coalesce("end_line", "line").alias("last"))
-    return blame.join(spans, "file").where(F.col("at_line").between(F.col("line"), F.col("last"))).select(F.col("id").alias("symbol"), "issue").distinct()
-
-
 @query("j30_intents", graph=INTENTS)
 def j30(spark, d):
-    return intents(spark, d, table(spark, d, "lineitem").where("l_quantity = 7"))
-
-
-@query("j30_intents_whole", graph=INTENTS.replace(" WHERE l_quantity = 7", ""))
-def j30_whole(spark, d):
-    return intents(spark, d, table(spark, d, "lineitem"))
+    blame = table(spark, d, "lineitem").select(F.concat(F.lit("src/parts/p"), (F.col("l_partkey") % 40).cast("string"), F.lit(".py")).alias("file"), (F.col("l_linenumber") * 9).cast("long").alias("at_line"), F.concat(F.lit("T-"), (F.col("l_orderkey") % 30).cast("string")).alias("issue")).distinct()
+    spans = facts(spark, d).nodes.where("kind = 'Function'").select("id", "file", "line", F.coalesce("end_line", "line").alias("last"))
+    return blame.join(spans, "file").where(F.col("at_line").between(F.col("line"), F.col("last"))).select(F.col("id").alias("symbol"), "issue").distinct()
 
 
 @query("j31_http_calls", f"SELECT p.page_id, e.event_type FROM pages p JOIN (SELECT DISTINCT event_type FROM events) e ON 'GET /' || e.event_type = 'GET /' || CASE p.page_id % 4 WHEN 0 THEN 'view' WHEN 1 THEN 'click' ELSE 'nothing' END")
@@ -341,22 +288,13 @@ def j41(spark, d):
     return g.nodes.where("kind = 'Module' AND file LIKE 'src/a%'").select("id").join(importers, "id", "left").fillna(0, ["importers"])
 
 
-REFERENCES = "SELECT k FROM (SELECT DISTINCT 'order_' || CAST(o_orderkey * 2 AS STRING) AS k FROM orders WHERE o_orderkey % 40 = 0) WHERE k NOT IN (SELECT name FROM nodes)"
-
-
-def unknown_references(spark, d, orders):
-    refs = orders.select(F.concat(F.lit("order_"), (F.col("o_orderkey") * 2).cast("string")).alias("k")).distinct()
-    return refs.join(facts(spark, d).nodes.select(F.col("name").alias("k")), "k", "left_anti")
+REFERENCES = "SELECT k FROM (SELECT DISTINCT 'order_' || CAST(o_orderkey * 2 AS STRING) AS k FROM orders) WHERE k NOT IN (SELECT name FROM nodes)"
 
 
 @query("j43_design_references", graph=REFERENCES)
 def j43(spark, d):
-    return unknown_references(spark, d, table(spark, d, "orders").where("o_orderkey % 40 = 0"))
-
-
-@query("j43_design_references_whole", graph=REFERENCES.replace(" WHERE o_orderkey % 40 = 0", ""))
-def j43_whole(spark, d):
-    return unknown_references(spark, d, table(spark, d, "orders"))
+    refs = table(spark, d, "orders").select(F.concat(F.lit("order_"), (F.col("o_orderkey") * 2).cast("string")).alias("k")).distinct()
+    return refs.join(facts(spark, d).nodes.select(F.col("name").alias("k")), "k", "left_anti")
 
 
 @query("j44_schema_diff", "SELECT t, c FROM (SELECT 'part' AS t, unnest(['P_PARTKEY', 'p_name', 'p_gone']) AS c UNION ALL SELECT 'missing', 'x') WHERE (t, lower(c)) NOT IN (SELECT 'part', unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']))")
@@ -369,7 +307,7 @@ def j44(spark, d):
 # --- mappings by similarity
 
 
-TYPE_TOKENS = f"SELECT id, {IDENT_TOKENS} AS tokens FROM nodes WHERE kind = 'Type' AND id LIKE 'customer:%' AND seq % 5 = 0"
+TYPE_TOKENS = f"SELECT id, {IDENT_TOKENS} AS tokens FROM nodes WHERE kind = 'Type'"
 CLASSES = "SELECT DISTINCT c_mktsegment || ' ' || CASE c_nationkey % 3 WHEN 0 THEN 'Controller' WHEN 1 THEN 'Service' ELSE 'Customer' END AS name FROM customer"
 
 
@@ -383,23 +321,14 @@ SIMILAR = f""", a AS ({TYPE_TOKENS}), b AS (SELECT name AS target, {IDENT_TOKENS
     SELECT id, target, round(score, 9) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, target) AS place FROM s WHERE score >= 0.3) WHERE place <= 3"""
 
 
-def tokens_of_types(spark, d, which="kind = 'Type' AND id LIKE 'customer:%' AND seq % 5 = 0"):
-    return facts(spark, d).nodes.where(which).select("id", X.identifier_tokens(F.col("name")).alias("tokens"))
-
-
-def proposed(spark, d, types):
-    right = classes(spark, d).select(F.col("name").alias("target"), X.identifier_tokens(F.col("name")).alias("tokens"))
-    return L.similarity_top_k(types, right, 3, 0.3).withColumn("score", F.round("score", 9))
+def tokens_of_types(spark, d):
+    return facts(spark, d).nodes.where("kind = 'Type'").select("id", X.identifier_tokens(F.col("name")).alias("tokens"))
 
 
 @query("j45_propose_mappings", graph=SIMILAR)
 def j45(spark, d):
-    return proposed(spark, d, tokens_of_types(spark, d))
-
-
-@query("j45_propose_mappings_whole", graph=SIMILAR.replace(TYPE_TOKENS, f"SELECT id, {IDENT_TOKENS} AS tokens FROM nodes WHERE kind = 'Type'"))
-def j45_whole(spark, d):
-    return proposed(spark, d, tokens_of_types(spark, d, "kind = 'Type'"))
+    right = classes(spark, d).select(F.col("name").alias("target"), X.identifier_tokens(F.col("name")).alias("tokens"))
+    return L.similarity_top_k(tokens_of_types(spark, d), right, 3, 0.3).withColumn("score", F.round("score", 9))
 
 
 @query("j46_mapping_scores", f"SELECT a.p_name AS a, b.c AS b, CASE WHEN a.p_name = b.c THEN 1.0 WHEN list_sort(string_split(a.p_name, ' ')) = list_sort(string_split(b.c, ' ')) THEN 0.9 ELSE round(len(list_intersect(string_split(a.p_name, ' '), string_split(b.c, ' '))) / len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(b.c, ' ')))), 2) END AS score FROM (SELECT DISTINCT p_name FROM part) a, (SELECT unnest(['red widget', 'widget red', 'small blue ring']) AS c) b WHERE len(list_intersect(string_split(a.p_name, ' '), string_split(b.c, ' '))) > 0")

@@ -331,13 +331,8 @@ def added_lines(p):
     return p.select("patch_id", F.explode(folded["out"]).alias("l")).select("patch_id", "l.line_no", "l.content")
 
 
-@query("s57_added_lines", "SELECT l_orderkey AS patch_id, l_orderkey % 70 + 2 AS line_no, 'added ' || CAST(l_partkey AS STRING) AS content FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, l_orderkey % 70 + 3, 'last ' || CAST(l_suppkey AS STRING) FROM lineitem WHERE l_linenumber = 1")
+@query("s57_added_lines", "SELECT l_orderkey * 8 + l_linenumber AS patch_id, l_orderkey % 70 + 2 AS line_no, 'added ' || CAST(l_partkey AS STRING) AS content FROM lineitem UNION ALL SELECT l_orderkey * 8 + l_linenumber, l_orderkey % 70 + 3, 'last ' || CAST(l_suppkey AS STRING) FROM lineitem")
 def s57(spark, d):
-    return added_lines(patches(table(spark, d, "lineitem").where("l_linenumber = 1")))
-
-
-@query("s57_added_lines_whole", "SELECT l_orderkey * 8 + l_linenumber AS patch_id, l_orderkey % 70 + 2 AS line_no, 'added ' || CAST(l_partkey AS STRING) AS content FROM lineitem UNION ALL SELECT l_orderkey * 8 + l_linenumber, l_orderkey % 70 + 3, 'last ' || CAST(l_suppkey AS STRING) FROM lineitem")
-def s57_whole(spark, d):
     return added_lines(patches(table(spark, d, "lineitem"), "l_orderkey * 8 + l_linenumber"))
 
 
@@ -428,7 +423,7 @@ def f30(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"), F.try_variant_get(v, "$.a.b", "long").alias("missing"))
 
 
-BANDS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 9 > 1 OR l_discount * 9 < 0.5 * 0.9 THEN 'fail' WHEN l_discount * 9 < 0.5 THEN 'warn' ELSE 'pass' END AS verdict FROM lineitem WHERE l_linenumber = 2"
+BANDS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 9 > 1 OR l_discount * 9 < 0.5 * 0.9 THEN 'fail' WHEN l_discount * 9 < 0.5 THEN 'warn' ELSE 'pass' END AS verdict FROM lineitem"
 
 
 def bands(li):
@@ -437,11 +432,6 @@ def bands(li):
 
 @query("f31_confidence_bands", BANDS)
 def f31(spark, d):
-    return bands(table(spark, d, "lineitem").where("l_linenumber = 2"))
-
-
-@query("f31_confidence_bands_whole", BANDS.replace(" WHERE l_linenumber = 2", ""))
-def f31_whole(spark, d):
     return bands(table(spark, d, "lineitem"))
 
 
