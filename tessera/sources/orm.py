@@ -1,21 +1,17 @@
 """Mapped classes of Python files as tables: columns, references and data access.
 
-A class is mapped if it carries a mapper's mark, a written-out ``__tablename__`` or a ``Model``
-base; its looks don't count. Each file gives small rows; a class that a reference or an access
-names is found by a join with all files' classes, so the order of files is no matter.
+A class is mapped if it writes out a ``__tablename__`` or has a ``Model`` base; its looks
+don't count. Files become flat syntax rows; tables, columns, references and accesses are
+filters and joins over them, so the order of files is no matter.
 """
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .code import module_of_path
+from .syntax import scan_syntax
 
-ROWS = "path string, what string, owner string, name string, kind string, line long"
 # Names that the two mappers give these things.
 RELATIONS = ("ForeignKey", "OneToOneField", "ManyToManyField")
 COLUMNS = ("Column", "mapped_column", "relationship")
@@ -23,106 +19,64 @@ NO_COLUMNS = ("__tablename__", "__table_args__", "__abstract__", "objects", "Met
 ACCESS = {"select": "READS", "insert": "WRITES", "update": "WRITES", "delete": "WRITES"}
 
 
-def _name(e: ast.expr | None) -> str:
-    """The last name of what is called or named."""
-    e = e.func if isinstance(e, ast.Call) else e
-    return e.attr if isinstance(e, ast.Attribute) else e.id if isinstance(e, ast.Name) else ""
-
-
-def _set(body: list[ast.stmt], name: str) -> tuple[bool, str | None]:
-    """Whether a body assigns ``name``, and the string it writes out."""
-    for s in body:
-        if isinstance(s, ast.Assign) and name in map(_name, s.targets):
-            return True, s.value.value if isinstance(s.value, ast.Constant) and isinstance(s.value.value, str) else None
-    return False, None
-
-
-def table_of(cls: ast.ClassDef, module: str) -> str | None:
-    marked, table = _set(cls.body, "__tablename__")
-    if marked and table:
-        return table
-    if "Model" not in map(_name, cls.bases):
-        return None
-    meta = next((s.body for s in cls.body if isinstance(s, ast.ClassDef) and s.name == "Meta"), [])
-    package = module.split(".")[-2:][0]
-    return _set(meta, "db_table")[1] or f"{package}_{cls.name.lower()}"
-
-
-def orm_rows(path: str, content: str) -> Iterator[tuple]:
-    """Rows (what, owner, name, kind, line) of one file: class, column, to_table, to_class or access."""
-    tree, module = ast.parse(content), module_of_path(path)
-    for cls in ast.walk(tree):
-        table = table_of(cls, module) if isinstance(cls, ast.ClassDef) else None
-        if not table:
-            continue
-        yield "class", table, cls.name, module, cls.lineno
-        by_class = "Model" in map(_name, cls.bases)
-        for s in cls.body:
-            target = s.target if isinstance(s, ast.AnnAssign) else s.targets[0] if isinstance(s, ast.Assign) and len(s.targets) == 1 else None
-            if not isinstance(target, ast.Name) or target.id in NO_COLUMNS:
-                continue
-            made = _name(s.value) if isinstance(s.value, ast.Call) else ""
-            mapped = isinstance(s, ast.AnnAssign) and any(_name(e) == "Mapped" for e in ast.walk(s.annotation) if isinstance(e, ast.expr))
-            if not (mapped or made in COLUMNS or by_class and (made.endswith("Field") or made in RELATIONS)):
-                continue
-            if made != "relationship":
-                yield "column", table, target.id, None, s.lineno
-            for call in ast.walk(s.value) if s.value else []:
-                if isinstance(call, ast.Call) and _name(call) in RELATIONS and call.args:
-                    to = call.args[0]
-                    if isinstance(to, ast.Name):
-                        yield "to_class", table, to.id, None, s.lineno
-                    elif isinstance(to, ast.Constant) and isinstance(to.value, str):
-                        # a class of an application, or a column of a table: the owner's mapper decides
-                        yield ("to_class", table, to.value.split(".")[-1], None, s.lineno) if by_class else ("to_table", table, to.value.split(".")[0], None, s.lineno)
-
-    def visit(body: list[ast.stmt], owner: str, inside: bool) -> Iterator[tuple]:
-        for s in body:
-            if isinstance(s, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-                yield from visit(s.body, f"{owner}.{s.name}", not isinstance(s, ast.ClassDef))
-                continue
-            for call in ast.walk(s) if inside else []:
-                if isinstance(call, ast.Call) and _name(call) in ACCESS and call.args and isinstance(call.args[0], ast.Name):
-                    yield "access", owner, call.args[0].id, ACCESS[_name(call)], call.lineno
-
-    yield from visit(tree.body, module, False)
-
-
 def scan_orm(files: DataFrame) -> DataFrame:
-    """Rows of ``files`` (path, content); a file that can't be parsed gives none."""
+    return scan_syntax(files)
 
-    def run(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            rows: list[tuple] = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rows += [(path, *r) for r in orm_rows(path, content)]
-                except (SyntaxError, ValueError):
-                    continue
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")]).astype({"line": "Int64"})
-
-    return files.where(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, ROWS)
+def mapped(rows: DataFrame) -> DataFrame:
+    """(path, scope, class, module, table, django, line): mapped classes by the scope of their bodies."""
+    said = lambda name: rows.where((F.col("what") == "set") & (F.col("name") == name) & F.col("first").isNotNull() & (F.col("first") != ""))
+    marks = said("__tablename__").groupBy("path", "scope").agg(F.min_by("first", "line").alias("marked"))
+    metas = said("db_table").where(F.col("scope").endswith(".Meta")).groupBy("path", F.regexp_replace("scope", r"\.Meta$", "").alias("scope")).agg(F.min_by("first", "line").alias("in_meta"))
+    found = rows.where("what = 'class'").select("path", F.col("target").alias("scope"), F.col("name").alias("class"), "module", "line", F.array_contains(F.split("bases", " "), "Model").alias("django"))
+    parts = F.split("module", r"\.")
+    package = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.col("module"))
+    table = F.coalesce("marked", F.when(F.col("django"), F.coalesce("in_meta", F.concat(package, F.lit("_"), F.lower("class")))))
+    return found.join(marks, ["path", "scope"], "left").join(metas, ["path", "scope"], "left").withColumn("table", table).where("table IS NOT NULL").drop("marked", "in_meta")
 
 
 def classes(rows: DataFrame) -> DataFrame:
     """(class, table): of classes with one name, the last by path and line."""
-    return rows.where("what = 'class'").groupBy(F.col("name").alias("class")).agg(F.max_by("owner", F.struct("path", "line")).alias("table"))
+    return mapped(rows).groupBy("class").agg(F.max_by("table", F.struct("path", "line")).alias("table"))
 
 
-def data_edges(rows: DataFrame) -> DataFrame:
-    """(src, dst, kind, line): module to table and table to column (CONTAINS), REFERENCES, READS and WRITES.
+def columns(rows: DataFrame) -> DataFrame:
+    """(path, scope, table, django, name, made, line): assignments in a mapped class's body that make a column or a relation."""
+    sets = rows.where("what = 'set' AND target IS NOT NULL").where(~F.col("name").isin(*NO_COLUMNS)).select("path", "scope", "name", F.col("holder").alias("made"), "notes", "line")
+    own = sets.join(mapped(rows).select("path", "scope", "table", "django"), ["path", "scope"])
+    of_mapper = F.col("made").isin(*COLUMNS) | F.array_contains(F.split("notes", " "), "Mapped")
+    of_base = F.col("django") & (F.col("made").endswith("Field") | F.col("made").isin(*RELATIONS))
+    return own.where(of_mapper | of_base)
+
 
-    A class that no file maps gives no edge, and neither does a table that refers to itself;
-    a written-out table of another repository does.
+def references(rows: DataFrame) -> DataFrame:
+    """(owner, table, line): relations written inside a column's assignment; none of a table to itself.
+
+    A name is a class; a string is a class for Model bases and a table's column for the
+    other mapper. A class that no file maps gives no row; a written-out table does.
     """
-    entity = lambda c: F.concat(F.lit("py:entity:"), c)
-    owner, name = F.col("owner"), F.col("name")
-    known = classes(rows).select(F.col("class").alias("name"), "table")
-    tables = rows.where("what = 'class'").select(F.concat(F.lit("py:"), "kind").alias("src"), entity(owner).alias("dst"), F.lit("CONTAINS").alias("kind"), "line")
-    columns = rows.where("what = 'column'").select(entity(owner).alias("src"), F.concat(entity(owner), F.lit("."), name).alias("dst"), F.lit("CONTAINS").alias("kind"), "line")
-    to = rows.where("what = 'to_class'").join(known, "name").select("owner", "table", "line").unionByName(rows.where("what = 'to_table'").select("owner", name.alias("table"), "line"))
-    references = to.where("owner <> table").select(entity(owner).alias("src"), entity(F.col("table")).alias("dst"), F.lit("REFERENCES").alias("kind"), "line")
-    access = rows.where("what = 'access'").join(known, "name").select(F.concat(F.lit("py:"), owner).alias("src"), entity(F.col("table")).alias("dst"), "kind", "line")
-    return tables.unionByName(columns).unionByName(references).unionByName(access)
+    calls = rows.where((F.col("what") == "call") & F.col("name").isin(*RELATIONS) & F.col("target").isNotNull())
+    calls = calls.select("path", "scope", F.col("target").alias("name"), "first", "first_name", F.col("line").alias("at"))
+    to = columns(rows).join(calls, ["path", "scope", "name"]).where("first IS NOT NULL OR NOT contains(first_name, '.')")
+    by_class = F.when(F.col("first").isNull(), F.col("first_name")).when(F.col("django"), F.substring_index("first", ".", -1))
+    asked = to.select(F.col("table").alias("owner"), by_class.alias("class"), F.substring_index("first", ".", 1).alias("written"), "line")
+    known = asked.where("class IS NOT NULL").join(classes(rows), "class").select("owner", "table", "line")
+    return known.unionByName(asked.where("class IS NULL").select("owner", F.col("written").alias("table"), "line")).where("owner <> table")
+
+
+def accesses(rows: DataFrame) -> DataFrame:
+    """(scope, table, kind, line): statements on a mapped class inside functions."""
+    kind = F.coalesce(*[F.when(F.col("name") == n, F.lit(k)) for n, k in ACCESS.items()])
+    calls = rows.where("what = 'call' AND inside IS NOT NULL AND NOT contains(first_name, '.')").select("scope", F.col("first_name").alias("class"), kind.alias("kind"), "line").where("kind IS NOT NULL")
+    return calls.join(classes(rows), "class").select("scope", "table", "kind", "line")
+
+
+def data_edges(rows: DataFrame) -> DataFrame:
+    """(src, dst, kind, line): module to table and table to column (CONTAINS), REFERENCES, READS and WRITES."""
+    entity = lambda *c: F.concat(F.lit("py:entity:"), F.concat_ws(".", *c))
+    edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), kind.alias("kind"), "line")
+    contains = F.lit("CONTAINS")
+    out = edge(mapped(rows), F.concat(F.lit("py:"), "module"), entity("table"), contains)
+    out = out.unionByName(edge(columns(rows).where("made <> 'relationship'"), entity("table"), entity("table", "name"), contains))
+    out = out.unionByName(edge(references(rows), entity("owner"), entity("table"), F.lit("REFERENCES")))
+    return out.unionByName(edge(accesses(rows), F.concat(F.lit("py:"), "scope"), entity("table"), F.col("kind")))

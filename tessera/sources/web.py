@@ -1,22 +1,19 @@
 """HTTP routes and client calls of Python files, joined into endpoints.
 
-Each file is parsed by itself into small rows: routers with their own prefix, mounts that add
-one, routes, and calls. Everything between files is a join: a route finds its router's prefix
-and mounts by the router's qualified name, a call finds its endpoint by verb and path. What is
-computed rather than written out gives no row.
+Files become flat syntax rows; routers, mounts, routes and calls are filters over them, and
+everything between rows is a join: a name with its import, a call with its file's libraries,
+a route with its router's prefix and mounts, a call with its endpoint by verb and path. What
+is computed rather than written out gives no row. Rows of other languages' front-ends can
+take part as soon as they have these columns.
 """
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .code import module_of_path
+from .syntax import keyword, resolved, scan_syntax
 
-ROWS = "path string, what string, key string, verb string, value string, owner string, line long"
 # Names that frameworks and client libraries give these things.
 ROUTE_VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
 CALL_VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
@@ -26,119 +23,8 @@ URL_CONF = ("path", "re_path", "url")
 CLIENTS = ("httpx", "requests", "aiohttp", "urllib3", "http")
 
 
-def _text(e: ast.expr | None) -> str | None:
-    """The string that an expression writes out, sums of strings included."""
-    if isinstance(e, ast.BinOp) and isinstance(e.op, ast.Add):
-        a, b = _text(e.left), _text(e.right)
-        return None if a is None or b is None else a + b
-    return e.value if isinstance(e, ast.Constant) and isinstance(e.value, str) else None
-
-
-def _keyword(call: ast.Call, name: str) -> ast.expr | None:
-    return next((k.value for k in call.keywords if k.arg == name), None)
-
-
-def _called(call: ast.Call) -> str:
-    return call.func.attr if isinstance(call.func, ast.Attribute) else getattr(call.func, "id", "")
-
-
-def web_rows(path: str, content: str) -> Iterator[tuple]:
-    """Rows (what, key, verb, value, owner, line) of one file: router, mount, route or call."""
-    tree, module = ast.parse(content), module_of_path(path)
-    bound: dict[str, str] = {}
-    for s in ast.walk(tree):
-        if isinstance(s, ast.ImportFrom):
-            up = module.split(".")[: -s.level] if s.level else []
-            bound |= {a.asname or a.name: ".".join([*up, *filter(None, [s.module]), a.name]) for a in s.names}
-        elif isinstance(s, ast.Import):
-            bound |= {a.asname or a.name.split(".")[0]: a.name if a.asname else a.name.split(".")[0] for a in s.names}
-
-    def qualified(e: ast.expr) -> str | None:
-        if isinstance(e, ast.Name):
-            return bound.get(e.id, f"{module}.{e.id}")
-        if isinstance(e, ast.Attribute) and isinstance(e.value, ast.Name) and e.value.id in bound:
-            return f"{bound[e.value.id]}.{e.attr}"
-        return None
-
-    def shared(call: ast.Call) -> Iterator[tuple]:
-        name = _called(call)
-        if name in MOUNTS and call.args:
-            first = call.args[0]
-            prefix = _text(_keyword(call, MOUNTS[name]))
-            if name == "mount" and len(call.args) > 1:
-                prefix, first = _text(first), call.args[1]
-            if key := qualified(first):
-                yield "mount", key, None, prefix or "", None, call.lineno
-        elif path.endswith("urls.py") and name in URL_CONF and len(call.args) > 1:
-            value, view = _text(call.args[0]), qualified(call.args[1])
-            if value is not None and view:
-                yield "route", "", "ANY", value, view, call.lineno
-
-    def client(call: ast.Call) -> Iterator[tuple[str, str]]:
-        name = call.func.attr if isinstance(call.func, ast.Attribute) else ""
-        args = [a.value if isinstance(a, ast.Constant) and isinstance(a.value, str) else None for a in call.args[:2]]
-        if name in CALL_VERBS and args and args[0]:
-            yield name.upper(), args[0]
-        elif name == "request" and len(args) == 2 and all(args) and args[0].lower() in CALL_VERBS:
-            yield args[0].upper(), args[1]
-
-    def routes(f: ast.FunctionDef | ast.AsyncFunctionDef, own: str) -> Iterator[tuple]:
-        for d in f.decorator_list:
-            if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and isinstance(d.func.value, ast.Name) and d.args):
-                continue
-            value, name = _text(d.args[0]), d.func.attr
-            verbs = [name.upper()] if name in ROUTE_VERBS else []
-            if name in ("route", "add_url_rule"):
-                given = _keyword(d, "methods")
-                verbs = ["GET"] if given is None else [v.upper() for v in map(_text, getattr(given, "elts", [])) if v]
-            for verb in verbs if value is not None else []:
-                yield "route", f"{module}.{d.func.value.id}", verb, value, own, d.lineno
-
-    uses_client = any(
-        n.split(".")[0] in CLIENTS
-        for s in ast.walk(tree)
-        for n in ([a.name for a in s.names] if isinstance(s, ast.Import) else [s.module or ""] if isinstance(s, ast.ImportFrom) else [])
-    )
-
-    def visit(body: list[ast.stmt], owner: str, caller: str) -> Iterator[tuple]:
-        for s in body:
-            if isinstance(s, ast.ClassDef):
-                yield from visit(s.body, f"{owner}.{s.name}", caller)
-            elif isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef):
-                own = f"{owner}.{s.name}"
-                yield from routes(s, own)
-                yield from visit(s.body, own, own)
-            elif uses_client:
-                for call in ast.walk(s):
-                    if isinstance(call, ast.Call):
-                        for verb, value in client(call):
-                            yield "call", None, verb, value, caller, call.lineno
-
-    for s in ast.walk(tree):
-        if isinstance(s, ast.Assign) and isinstance(s.value, ast.Call) and _called(s.value) in ROUTERS:
-            prefix = _text(_keyword(s.value, ROUTERS[_called(s.value)])) or ""
-            yield from (("router", f"{module}.{t.id}", None, prefix, None, s.lineno) for t in s.targets if isinstance(t, ast.Name))
-        if isinstance(s, ast.Call):
-            yield from shared(s)
-    yield from visit(tree.body, module, module)
-
-
 def scan_web(files: DataFrame) -> DataFrame:
-    """Rows of ``files`` (path, content); a file that can't be parsed gives none, as ``code.extract`` reports it."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows: list[tuple] = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rows += [(path, *r) for r in web_rows(path, content)]
-                except (SyntaxError, ValueError):
-                    continue
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")]).astype({"line": "Int64"})
-
-    return files.where(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, ROWS)
+    return scan_syntax(files)
 
 
 def one_slash(*parts: Column) -> Column:
@@ -153,15 +39,55 @@ def called_path(value: Column) -> Column:
     return F.concat(F.lit("/"), F.regexp_replace(path, "^/|/+$", ""))
 
 
+def _prefix(names: dict[str, str]) -> Column:
+    """The prefix keyword of a call by its name."""
+    given = F.coalesce(*[F.when(F.col("name") == n, keyword(k)[0]) for n, k in names.items()])
+    return F.coalesce(given, F.lit(""))
+
+
+def routers(rows: DataFrame) -> DataFrame:
+    """(key, prefix): routers by qualified name; of two assignments the later holds."""
+    made = rows.where(F.col("what") == "call").where(F.col("name").isin(*ROUTERS) & F.col("target").isNotNull())
+    return made.groupBy(F.concat_ws(".", "module", "target").alias("key")).agg(F.max_by(_prefix(ROUTERS), "line").alias("prefix"))
+
+
+def mounts(rows: DataFrame) -> DataFrame:
+    """(key, mount): what is put in front of a router by those that include it."""
+    calls = rows.where(F.col("what") == "call").where(F.col("name").isin(*MOUNTS))
+    at_path = (F.col("name") == "mount") & F.col("second_name").isNotNull()
+    named = calls.select("path", "module", F.when(at_path, F.col("second_name")).otherwise(F.col("first_name")).alias("router"), F.when(at_path, F.coalesce("first", F.lit(""))).otherwise(_prefix(MOUNTS)).alias("mount"))
+    return resolved(named.where("router IS NOT NULL"), "router", rows).where("qualified IS NOT NULL").select(F.col("qualified").alias("key"), "mount")
+
+
+def routes(rows: DataFrame) -> DataFrame:
+    """(key, verb, value, handler, line): decorators of handlers, and the lists of files named urls.py, whose key is empty."""
+    calls = rows.where("what = 'call' AND first IS NOT NULL")
+    methods = keyword("methods")
+    verbs = F.when(F.col("name").isin(*ROUTE_VERBS), F.array("name")).when(F.col("name").isin("route", "add_url_rule"), F.coalesce(methods, F.array(F.lit("get"))))
+    decorated = calls.where("decorates IS NOT NULL AND holder IS NOT NULL AND NOT contains(holder, '.')").withColumn("verb", F.explode(verbs))
+    by_mark = decorated.select(F.concat_ws(".", "module", "holder").alias("key"), F.upper("verb").alias("verb"), F.col("first").alias("value"), F.col("decorates").alias("handler"), "line")
+    listed = calls.where(F.col("path").endswith("urls.py") & F.col("name").isin(*URL_CONF) & F.col("second_name").isNotNull())
+    views = resolved(listed, "second_name", rows).where("qualified IS NOT NULL")
+    return by_mark.unionByName(views.select(F.lit("").alias("key"), F.lit("ANY").alias("verb"), F.col("first").alias("value"), F.col("qualified").alias("handler"), "line"))
+
+
 def endpoints(rows: DataFrame) -> DataFrame:
     """(verb, path, handler, line): each route under every mount of its router; without one, at its own path."""
-    prefix = rows.where("what = 'router'").groupBy("key").agg(F.max_by("value", "line").alias("prefix"))
-    mounts = rows.where("what = 'mount'").select("key", F.col("value").alias("mount"))
-    routes = rows.where("what = 'route'").join(prefix, "key", "left").join(mounts, "key", "left")
-    return routes.select("verb", one_slash(F.col("mount"), F.col("prefix"), F.col("value")).alias("path"), F.col("owner").alias("handler"), "line")
+    whole = routes(rows).join(routers(rows), "key", "left").join(mounts(rows), "key", "left")
+    return whole.select("verb", one_slash(F.col("mount"), F.col("prefix"), F.col("value")).alias("path"), "handler", "line")
+
+
+def client_calls(rows: DataFrame) -> DataFrame:
+    """(caller, verb, path, line) of calls on an object, in files that import a client library."""
+    users = rows.where(F.col("what") == "import").where(F.substring_index("holder", ".", 1).isin(*CLIENTS)).select("path").distinct()
+    calls = rows.where("what = 'call' AND holder IS NOT NULL AND decorates IS NULL").join(users, "path", "left_semi")
+    plain = F.col("name").isin(*CALL_VERBS) & (F.length("first") > 0)
+    spelt = (F.col("name") == "request") & F.lower("first").isin(*CALL_VERBS) & (F.length("second") > 0)
+    asked = calls.where(plain | spelt)
+    verb, value = F.when(plain, F.col("name")).otherwise(F.col("first")), F.when(plain, F.col("first")).otherwise(F.col("second"))
+    return asked.select(F.coalesce("inside", "module").alias("caller"), F.upper(verb).alias("verb"), called_path(value).alias("path"), "line")
 
 
 def consumes(rows: DataFrame) -> DataFrame:
     """(caller, verb, path, line) of calls to endpoints that the same files serve; others give no row."""
-    calls = rows.where("what = 'call'").select(F.col("owner").alias("caller"), "verb", called_path(F.col("value")).alias("path"), "line")
-    return calls.join(endpoints(rows).select("verb", "path").distinct(), ["verb", "path"], "left_semi").select("caller", "verb", "path", "line")
+    return client_calls(rows).join(endpoints(rows).select("verb", "path").distinct(), ["verb", "path"], "left_semi").select("caller", "verb", "path", "line")
