@@ -150,15 +150,17 @@ def evened(found: Iterator[tuple[int, tuple[int, ...]]], most: int = 1_000) -> I
             yield from sorted(part, key=lambda x: max(x[1], default=0))
 
 
-def plan_sequences(counts: list[int], capacity: int, steps: int = 12_000_000, steps_each: int = 20_000) -> list[Run]:
+def plan_sequences(counts: list[int], capacity: int, steps: int = 12_000_000, steps_each: int = 20_000, steps_a_sequence: int = 400_000) -> list[Run]:
     """Runs that place ``counts[length]`` pieces of each length, in as few sequences as two searches find.
 
     The first tries long pieces first, the second even fillings first, the one with a third
-    of ``steps``, the other with the rest; best fit is the first incumbent. A search that meets the lower bound is the last.
+    of ``steps``, the other with the rest; best fit is the first incumbent. A search that meets the lower bound is the last, and
+    one that is a few sequences above it may take ``steps_a_sequence`` for each of them only.
     """
-    best = best_fit(counts, capacity)
+    best, bound = best_fit(counts, capacity), least_sequences(counts, capacity)
     for even, share in ((False, steps // 3), (True, steps - steps // 3)):
-        best = bin_completion(counts, capacity, best, even, share, steps_each)
+        above = sum(n for _, n in best) - bound
+        best = bin_completion(counts, capacity, best, even, min(share, above * steps_a_sequence), steps_each)
     return best
 
 
