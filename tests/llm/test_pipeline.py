@@ -87,3 +87,20 @@ def test_mixing_takes_rows_of_one_id_twice_at_most(spark):
     docs = frame(spark, [(k, words(k, 40), "en", "ab"[k % 2]) for k in range(40)] + [(k, words(900 + k, 40), "en", "ba"[k % 2]) for k in range(40)])
     got = P.mixing_stage(spark, docs, "")
     assert got.groupBy("doc_id", "text").count().where("count > 2").count() == 0
+
+
+def test_near_stage_tells_rows_of_one_id_apart(spark):
+    import random
+
+    base = words(3, 90)
+    docs = frame(spark, [(1, base), (2, mutate(base, random.Random(1), 1)), (2, words(70, 90)), (None, words(71, 90)), (5, None)])
+    got = {(r.doc_id, r.text) for r in P.near_stage(spark, docs, "").select("doc_id", "text").collect()}
+    assert got == {(1, base), (2, words(70, 90)), (None, words(71, 90)), (5, None)}
+
+
+def test_copies_are_numbered(spark):
+    docs = frame(spark, [(1, words(1, 2_000)), (1, words(1, 2_000)), (2, "x"), (None, None)])
+    got = P.packing_stage(spark, docs, "").select("doc_id", "piece", "copy").collect()
+    pieces = {r.piece for r in got if r.doc_id == 1}
+    assert sorted((r.piece, r.copy) for r in got if r.doc_id == 1) == [(p, c) for p in sorted(pieces) for c in (1, 2)]
+    assert [(r.piece, r.copy) for r in got if r.doc_id != 1] == [(0, 1), (0, 1)]
