@@ -13,15 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_root(spark) -> str:
+    """The folder in ``spark.checkpoint.dir``; without one, a folder in the warehouse in local mode, and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Written once to the session's shared folder and read from there: computed once, and a lost executor costs a re-read.
 
-    The folder is the one in ``spark.checkpoint.dir``, or one in the warehouse where the
-    session names none; what is written goes when the driver's JVM ends.
+    What is written goes when the driver's JVM ends.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{root.rstrip('/')}/walk-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/walk-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.traversal import shared_root
+
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -76,8 +78,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     last batch holds all of them. The folder goes when the driver's JVM ends.
     """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    base = f"{root.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/stream-{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
     files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.deleteOnExit(hadoop)
