@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning in a name or a sentence.
@@ -130,3 +130,32 @@ def can_drift(kind, text):
     foreign = F.rlike(text, F.lit(r"^(/|~|\.\.)|[* ]"))
     prose = (kind == "camel") | F.rlike(text, F.lit("^[A-Z][A-Z0-9_]+$"))
     return ~prose & ~((kind == "file") & foreign) & ~((kind == "backtick") & F.rlike(text, F.lit("^[a-z][a-z0-9]*$")))
+
+
+# The forms in which a text names code, file endings, ends of addresses, and abbreviations.
+BACKTICKED = r"`([^`\n]{2,120})`"
+DOTTED = r"\b[a-z_]\w*(?:\.[A-Za-z_]\w*){2,}\b"
+SNAKE = r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"
+CAMEL = r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"
+MENTIONED_NAME = r"[A-Za-z_][\w.]*"
+MENTIONED_FILE = r"\.(py|md|ttl|json|yaml|toml)$"
+URL_TAILS = ("com", "net", "org", "io", "dev", "ai", "html", "www")
+ABBREVIATIONS = ("e_g", "i_e")
+
+
+def mentions(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(``key``, mention, kind): what texts name as code, each once; of several forms the first of file, backtick, dotted, snake and camel."""
+    found = F.regexp_extract_all(text, F.lit(BACKTICKED), F.lit(1))
+    plain = F.regexp_replace(text, BACKTICKED, " ")
+    every = lambda pattern: F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
+    form = lambda rank, kind, m: F.struct(F.lit(rank).alias("rank"), kind.alias("kind"), m.alias("mention"))
+    quoted = F.transform(found, lambda x: F.btrim(F.trim(x), F.lit("()")))
+    kind = lambda m: F.when(F.contains(m, F.lit("/")) | F.rlike(m, F.lit(MENTIONED_FILE)), "file").when(F.rlike(m, F.lit(f"^{MENTIONED_NAME}$")), "backtick")
+    forms = F.concat(
+        F.transform(quoted, lambda m: form(1, kind(m), m)),
+        F.transform(F.filter(every(DOTTED), lambda m: ~F.lower(F.substring_index(m, ".", -1)).isin(*URL_TAILS)), lambda m: form(2, F.lit("dotted"), m)),
+        F.transform(F.filter(every(SNAKE), lambda m: ~m.isin(*ABBREVIATIONS)), lambda m: form(3, F.lit("snake"), m)),
+        F.transform(every(CAMEL), lambda m: form(4, F.lit("camel"), m)),
+    )
+    rows = pages.select(key, F.explode(forms).alias("x")).where("x.kind IS NOT NULL AND x.mention <> ''")
+    return rows.groupBy(key, F.col("x.mention").alias("mention")).agg(F.min_by("x.kind", "x.rank").alias("kind"))

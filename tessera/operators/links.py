@@ -102,6 +102,29 @@ def first_of(rows: DataFrame, key: str, candidates: list[tuple[DataFrame, str]])
     return found
 
 
+def bind_in_steps(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(m, step, anchors, match): names ``m`` with the symbols that the first successful step finds.
+
+    ``symbols`` (tail, name). Step 1: the whole dotted tail; 2: the name; 3: a dotted end of the
+    tail, for dotted names; 4: the name, by a dotted name's last part. Case doesn't count.
+    ``anchors`` is how many tails are found, ``match`` the first of them. All steps are one join
+    on (step, key), so nothing is asked twice and names are never compared pairwise.
+    """
+    tail, name, m = F.lower("tail"), F.lower("name"), F.lower("m")
+    parts = F.split(tail, r"\.")
+    ends = F.filter(F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")), lambda x: F.contains(x, F.lit(".")) & (x != tail))
+    at = lambda step, key: F.struct(F.lit(step).alias("step"), key.alias("key"))
+    keys = F.concat(F.array(at(1, tail), at(2, name), at(4, name)), F.transform(ends, lambda x: at(3, x)))
+    whole = F.array(at(1, m), at(2, m))
+    wanted = F.when(F.contains(m, F.lit(".")), F.concat(whole, F.array(at(3, m), at(4, F.substring_index(m, ".", -1))))).otherwise(whole)
+    table = symbols.select("tail", F.explode(keys).alias("k")).select("tail", "k.step", "k.key").distinct()
+    hits = asked.select("m", F.explode(wanted).alias("k")).select("m", "k.step", "k.key").join(
+        table.groupBy("step", "key").agg(F.count("*").alias("anchors"), F.min("tail").alias("match")), ["step", "key"]
+    )
+    first = hits.groupBy("m").agg(F.min(F.struct("step", "anchors", "match")).alias("x"))
+    return first.select("m", "x.step", "x.anchors", "x.match")
+
+
 def greedy_band_match(findings: DataFrame, expected: DataFrame, tolerance: int = 3) -> DataFrame:
     """(file, line, found): each expected row, in order, takes the first unused finding of its file within ``tolerance`` lines.
 

@@ -128,34 +128,70 @@ def c06(spark, d):
     return N.edges_of_kind(g, "CALLS").join(g.nodes.select(F.col("id").alias("dst"), "external"), "dst").agg(F.count("*").alias("checked"), F.count_if("external").alias("suspicious"))
 
 
-# --- documents: mentions are words of the text that look like names
+# --- documents: mentions are what a text names as code
 
 
-MENTIONS = r"SELECT DISTINCT doc_id, m FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(small|red|blue|green|large|ring|widget|gear|bolt|the)\b')) AS m FROM documents)"
-MENTION = r"\b(small|red|blue|green|large|ring|widget|gear|bolt|the)\b"
+#: A page about each part. Every third page names the part outside backticks only.
+PAGES = """SELECT p_partkey AS page, 'Call ' || CASE WHEN p_partkey % 3 = 0 THEN s || '()' ELSE '`' || s || '()` or ' || s END
+    || ' of `' || CASE p_partkey % 4 WHEN 0 THEN area || '.' || leaf WHEN 1 THEN 'old.' || leaf WHEN 2 THEN leaf ELSE 'gone.x' END
+    || '`, see shop.' || area || '.' || leaf || ' and ' || camel || '; in `src/' || area || '/' || leaf || '.py`, not `two words`; e_g www.shop.example.com' AS text
+    FROM (SELECT p_partkey, replace(p_name, ' ', '_') AS s, array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(p_name, ' ')], '') AS camel,
+          lower(r_name) AS area, lower(n_name) AS leaf FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey)"""
 
 
-def mentions(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(MENTION), F.lit(0)))).alias("m"))
+def part_pages(spark, d):
+    places = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, d, "part").join(F.broadcast(places), F.col("n_nationkey") == F.col("p_partkey") % 25)  # 25 nations
+    k, s, area, leaf = F.col("p_partkey"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lower("r_name"), F.lower("n_name")
+    camel = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), "")
+    named = F.when(k % 3 == 0, F.concat(s, F.lit("()"))).otherwise(F.concat(F.lit("`"), s, F.lit("()` or "), s))
+    owner = F.when(k % 4 == 0, F.concat_ws(".", area, leaf)).when(k % 4 == 1, F.concat_ws(".", F.lit("old"), leaf)).when(k % 4 == 2, leaf).otherwise(F.lit("gone.x"))
+    words = ["Call ", named, " of `", owner, "`, see shop.", area, ".", leaf, " and ", camel, "; in `src/", area, "/", leaf, ".py`, not `two words`; e_g www.shop.example.com"]
+    return rows.select(k.alias("page"), F.concat(*[F.lit(w) if isinstance(w, str) else w for w in words]).alias("text"))
 
 
-@query("x07_mentions", MENTIONS)
+X07 = rf"""SELECT page, m AS mention, arg_min(kind, rank) AS kind FROM (
+    SELECT page, m, 1 AS rank, CASE WHEN contains(m, '/') OR regexp_matches(m, '{X.MENTIONED_FILE}') THEN 'file' WHEN regexp_full_match(m, '{X.MENTIONED_NAME}') THEN 'backtick' END AS kind
+        FROM (SELECT page, trim(trim(unnest(regexp_extract_all(text, '{X.BACKTICKED}', 1))), '()') AS m FROM ({PAGES}))
+    UNION ALL SELECT page, m, 2, 'dotted' FROM (SELECT page, unnest(regexp_extract_all(regexp_replace(text, '{X.BACKTICKED}', ' ', 'g'), '{X.DOTTED}')) AS m FROM ({PAGES}))
+        WHERE list_extract(string_split(lower(m), '.'), -1) NOT IN ({", ".join(repr(t) for t in X.URL_TAILS)})
+    UNION ALL SELECT page, m, 3, 'snake' FROM (SELECT page, unnest(regexp_extract_all(regexp_replace(text, '{X.BACKTICKED}', ' ', 'g'), '{X.SNAKE}')) AS m FROM ({PAGES})) WHERE m NOT IN ('e_g', 'i_e')
+    UNION ALL SELECT page, unnest(regexp_extract_all(regexp_replace(text, '{X.BACKTICKED}', ' ', 'g'), '{X.CAMEL}')), 4, 'camel' FROM ({PAGES})
+    ) WHERE kind IS NOT NULL AND m <> '' GROUP BY page, m"""
+
+
+@query("x07_mentions", X07)
 def x07(spark, d):
-    return mentions(spark, d)
+    """What each page names as code, and in which form; a mention in several forms has the first one."""
+    return X.mentions(part_pages(spark, d), "page", "text")
 
 
-def words_of_parts(spark, d):
-    return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("m"), F.col("p_partkey").alias("match"))
+SYMBOLS = """SELECT 'shop.' || lower(r_name) || '.' || lower(n_name) AS tail, lower(n_name) AS name FROM nation JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT 'shop.parts.' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING), replace(p_name, ' ', '_') FROM part"""
+J27 = f"""WITH sym AS ({SYMBOLS}), asked AS (SELECT DISTINCT mention AS m FROM ({X07}) WHERE kind <> 'file'), hits AS (
+    SELECT m, 1 AS step, tail FROM asked JOIN sym ON lower(tail) = lower(m)
+    UNION ALL SELECT m, 2, tail FROM asked JOIN sym ON lower(name) = lower(m)
+    UNION ALL SELECT m, 3, tail FROM asked JOIN sym ON contains(m, '.') AND ends_with(lower(tail), '.' || lower(m))
+    UNION ALL SELECT m, 4, tail FROM asked JOIN sym ON contains(m, '.') AND lower(name) = list_extract(string_split(lower(m), '.'), -1))
+    SELECT m, step, count(DISTINCT tail) AS anchors, min(tail) AS match FROM hits h WHERE step = (SELECT min(step) FROM hits g WHERE g.m = h.m) GROUP BY m, step"""
 
 
-J27 = """SELECT m, 'part:' || CAST(min(p) AS STRING) AS match, count(DISTINCT p) AS anchors FROM (SELECT unnest(['small', 'red', 'ring', 'xyz', 'bolt', 'widget']) AS m) JOIN (SELECT p_partkey AS p, unnest(string_split(p_name, ' ')) AS w FROM part) ON w = m GROUP BY m"""
+def symbols(spark, d):
+    places = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    parts = table(spark, d, "part").select(F.concat(F.lit("shop.parts."), name, F.lit("_"), F.col("p_partkey").cast("string")).alias("tail"), name.alias("name"))
+    return places.select(F.concat_ws(".", F.lit("shop"), F.lower("r_name"), F.lower("n_name")).alias("tail"), F.lower("n_name").alias("name")).unionByName(parts)
 
 
 @query("j27_bind_mentions", J27)
 def j27(spark, d):
-    asked = spark.createDataFrame([(m,) for m in ("small", "red", "ring", "xyz", "bolt", "widget")], "m string")
-    hits = asked.join(words_of_parts(spark, d), "m")
-    return hits.groupBy("m").agg(F.concat(F.lit("part:"), F.min("match").cast("string")).alias("match"), F.count_distinct("match").alias("anchors"))
+    """Every mention that is no file, with the first step that finds symbols for it, their number and the first of them."""
+    asked = mentions_of_parts(spark, d).where("kind <> 'file'").select(F.col("mention").alias("m")).distinct()
+    return L.bind_in_steps(asked, symbols(spark, d))
+
+
+def mentions_of_parts(spark, d):
+    return X.mentions(part_pages(spark, d), "page", "text")
 
 
 BIND = """, asked AS (SELECT DISTINCT name AS k FROM nodes WHERE id LIKE 'customer:%' UNION SELECT 'nation_3' UNION SELECT 'asia' UNION SELECT 'none'),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import code
 from ..sources.fact_tables import facts
-from .event_queries import MEMORY, VERSIONS, memory, tasks, versions
+from .event_queries import MEMORY, VERSIONS, memory, versions
 from .io_queries import sql_files, table
 from .registry import query
 
@@ -81,9 +81,10 @@ def s49(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?m)^[A-Z][a-z]+\.$")).cast("long").alias("headings"))
 
 
-@query("s54_metric_definition", f"SELECT id, max(version) AS version FROM ({VERSIONS}) WHERE status = 'O' GROUP BY id")
+@query("s54_metric_definition", f"SELECT id, arg_max(version, [x::INT FOR x IN string_split(version, '.')]) AS version FROM ({VERSIONS}) WHERE status = 'O' GROUP BY id")
 def s54(spark, d):
-    return versions(spark, d).where("status = 'O'").groupBy("id").agg(F.max("version").alias("version"))
+    """The latest published version of each term, its parts compared as numbers."""
+    return versions(spark, d).where("status = 'O'").groupBy("id").agg(F.max_by("version", F.split("version", r"\.").cast("array<int>")).alias("version"))
 
 
 @query("s58_call_pairs", "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R'")
@@ -127,10 +128,14 @@ def s87(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.try_variant_get(v, "$.title", "string"), F.try_variant_get(v, "$.k", "string"), F.lit("untitled")).alias("title"))
 
 
-@query("d51_ab_decision", "SELECT tasks_even - tasks_odd AS delta FROM (SELECT count(*) FILTER (task % 2 = 0) AS tasks_even, count(*) FILTER (task % 2 = 1) AS tasks_odd FROM (SELECT DISTINCT user_id AS task FROM events))")
+@query("d51_ab_decision", """SELECT skill, base AS baseline_rate, treat AS treatment_rate, round(treat - base, 9) >= 0.01 AS promote FROM (
+    SELECT o_orderpriority AS skill, count(*) FILTER (o_orderkey % 2 = 0 AND o_orderstatus = 'F') / count(*) FILTER (o_orderkey % 2 = 0) AS base,
+           count(*) FILTER (o_orderkey % 2 = 1 AND o_orderstatus = 'F') / count(*) FILTER (o_orderkey % 2 = 1) AS treat FROM orders GROUP BY 1)""")
 def d51(spark, d):
-    side = lambda k: F.count_if(F.col("task") % 2 == k)
-    return tasks(spark, d).agg((side(0) - side(1)).alias("delta"))
+    """Per skill the accepted share of both arms, and whether the treatment is ahead by the margin, float noise set aside."""
+    rate = lambda arm: F.count_if((F.col("o_orderkey") % 2 == arm) & (F.col("o_orderstatus") == "F")) / F.count_if(F.col("o_orderkey") % 2 == arm)
+    rates = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("skill")).agg(rate(0).alias("baseline_rate"), rate(1).alias("treatment_rate"))
+    return rates.withColumn("promote", F.round(F.col("treatment_rate") - F.col("baseline_rate"), 9) >= 0.01)
 
 
 @query("m02_apply_migrations", graph="SELECT file, count(*) AS n FROM (SELECT file, id FROM nodes WHERE file NOT LIKE 'db/%' UNION ALL SELECT 'folded', id FROM nodes WHERE kind = 'Entity') GROUP BY file")
@@ -140,10 +145,10 @@ def m02(spark, d):
     return kept.unionByName(n.where("kind = 'Entity'").select(F.lit("folded").alias("file"), "id")).groupBy("file").agg(F.count("*").alias("n"))
 
 
-@query("m08_consolidate", f"SELECT repo, count(DISTINCT lower(left(statement, 40))) AS facts, count(*) AS episodes FROM ({MEMORY}) GROUP BY repo")
+@query("m08_consolidate", f"SELECT repo, count(DISTINCT lower(statement)) AS facts, count(*) AS episodes FROM ({MEMORY}) GROUP BY repo")
 def m08(spark, d):
     """Episodes per repository and what is left once equal statements reinforce one another."""
-    return memory(spark, d).groupBy("repo").agg(F.count_distinct(F.lower(F.left("statement", F.lit(40)))).alias("facts"), F.count("*").alias("episodes"))
+    return memory(spark, d).groupBy("repo").agg(F.count_distinct(F.lower("statement")).alias("facts"), F.count("*").alias("episodes"))
 
 
 @query("m12_update_draft_only", f"SELECT pk, CASE WHEN status = 'O' THEN 'new' ELSE 'kept' END AS spec FROM ({VERSIONS})")

@@ -38,7 +38,7 @@ def x02(spark, d):
     return docs(spark, d).select("doc_id", F.array_sort(X.word_tokens(F.col("text"))).alias("tokens"))
 
 
-@query("x03_acronym_tokens", lists=("tokens",))
+@query("x03_acronym_tokens", lists=("tokens",), graph=r"SELECT id, [lower(x) FOR x IN regexp_extract_all(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')] AS tokens FROM nodes WHERE kind = 'Type'")
 def x03(spark, d):
     return facts(spark, d).nodes.where("kind = 'Type'").select("id", X.acronym_tokens(F.col("name")).alias("tokens"))
 
@@ -228,7 +228,8 @@ def x35(spark, d):
     return docs(spark, d).select("doc_id", F.array_sort(F.array_distinct(F.filter(lines_, lambda x: F.length(x) >= 3))).alias("labels"))
 
 
-@query("x36_luhn")
+@query("x36_luhn", r"""SELECT doc_id, digits, list_sum([CASE WHEN (length(digits) - i) % 2 = 0 THEN digits[i]::INT ELSE (digits[i]::INT * 2) // 10 + (digits[i]::INT * 2) % 10 END FOR i IN range(1, length(digits) + 1)]) % 10 = 0 AS ok
+    FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b\d{13,16}\b'))) AS digits FROM documents)""")
 def x36(spark, d):
     digits = docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b\d{13,16}\b"), F.lit(0)))).alias("digits"))
     return digits.select("doc_id", "digits", F.expr("luhn_check(digits)").alias("ok"))

@@ -43,8 +43,10 @@ def test_every_type_is_asked_for_a_mapping(spark):
 
 def test_every_part_and_customer_name_is_bound_or_not(spark):
     sf = "/root/testdata/sf0.001"
-    parts = [r.p_name.split(" ") for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
-    assert {r.m: r.anchors for r in QUERIES["j27_bind_mentions"](spark, sf).collect()} == {m: n for m in ("small", "red", "ring", "xyz", "bolt", "widget") if (n := sum(m in p for p in parts))}
+    parts = [(r.p_partkey, r.p_name.replace(" ", "_")) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    bound = {r.m: (r.step, r.anchors) for r in QUERIES["j27_bind_mentions"](spark, sf).collect()}
+    assert {m: n for m, n in bound.items() if n[0] == 2 and m in {s for _, s in parts}} == {m: (2, sum(s == m for _, s in parts)) for _, m in parts}
+    assert {step for step, _ in bound.values()} == {1, 2, 3, 4}
     from tessera.sources.fact_tables import facts
 
     names = {r.name for r in facts(spark, sf).nodes.where("id LIKE 'customer:%'").collect()}
