@@ -3,6 +3,85 @@
 _TURN_ORDER = 'ORDER BY turn NULLS FIRST, role, "text"'
 _ESCAPED = r"regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')"
 
+#: A path is its cost in ten digits and its labels, so the least string is the cheapest path, then the ASCII-least.
+_NEVER = "'5000000000'"
+
+
+def _arc(path: str, cost: str, label: str) -> str:
+    return f"lpad(((substr({path}, 1, 10))::BIGINT + {cost})::VARCHAR, 10, '0') || '{label}' || substr({path}, 11)"
+
+
+def _repair_sql() -> str:
+    """Least paths backward over a conversation's rows; states 0 at the start, 1 behind s, 2 behind u, 3 behind a."""
+    after = {0: "u", 1: "u", 2: "a", 3: "u"}
+    to = {"s": 1, "u": 2, "a": 3}
+    keeps = {0: "su", 1: "u", 2: "a", 3: "u"}
+    direct = []
+    for q in range(4):
+        stays = "".join(f" WHEN w.ini = '{c}' THEN {_arc(f'w{to[c]}', 'pen', 'K')}" for c in keeps[q])
+        direct.append(
+            f"least({_arc(f'w{q}', '2', 'D')}, CASE WHEN gone THEN {_NEVER}{stays} ELSE {_NEVER} END,"
+            f" CASE WHEN gone THEN {_NEVER} ELSE {_arc(f'w{to[after[q]]}', '1 + pen', 'R')} END) AS d{q}"
+        )
+    closed = []
+    for q in range(4):
+        once = to[after[q]]
+        twice = to[after[once]]
+        closed.append(f"least(d{q}, {_arc(f'd{once}', '5', 'I')}, {_arc(f'd{twice}', '10', 'II')}) AS w{q}")
+    bit = "c"
+    for _ in range(8):
+        bit = f"list_transform([{bit}], lambda c: xor(c >> 1, (c & 1) * 3988292384))[1]"
+    table = f"SELECT list(v ORDER BY i) AS crc FROM (SELECT i, {bit} AS v FROM (SELECT i, i AS c FROM range(256) r(i)))"
+    hashed = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda ch: ascii(ch)::BIGINT)),"
+        " lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])))"
+    )
+    return rf"""
+        WITH RECURSIVE crcs AS ({table}),
+        given AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce("text", ' ') AS body,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+        hashed AS (SELECT given.*, {hashed} % 20 AS h FROM given, crcs),
+        damaged AS (
+            SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE h WHEN 1 THEN '' WHEN 2 THEN translate(body, '.!?', '') ELSE body END AS body,
+                   unnest(CASE h WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM hashed WHERE h <> 0),
+        placed AS (
+            SELECT *, left(role, 1) AS ini, regexp_replace(body, '[	- ]', '', 'g') AS bare,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(body), copy) AS i FROM damaged),
+        w AS (
+            SELECT *, bare = '' OR earlier AS gone, CASE WHEN bare <> '' AND NOT earlier AND right(bare, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS pen
+            FROM (SELECT *, i > min(i) OVER (PARTITION BY conv_id, role, body) AS earlier FROM placed)),
+        counted AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+                   count(*) FILTER (bare = '') AS blank, count(*) FILTER (bare <> '' AND earlier) AS duplicate, count(*) FILTER (pen > 0) AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM w) GROUP BY conv_id),
+        back(conv_id, i, w0, w1, w2, w3) AS (
+            SELECT conv_id, n, '0000000000', '0000000010II', '0000000005I', '0000000000' FROM counted
+            UNION ALL
+            SELECT conv_id, i - 1, {", ".join(closed)} FROM (
+                SELECT b.conv_id, b.i, {", ".join(direct)}
+                FROM back b JOIN w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.i = b.i)),
+        best AS (SELECT conv_id, substr(w0, 1, 10)::BIGINT AS cost, substr(w0, 11) AS audit FROM back WHERE i = 0),
+        forth(conv_id, audit, k, i, q, said) AS (
+            SELECT conv_id, audit, 1, 1::BIGINT, 's', []::VARCHAR[] FROM best
+            UNION ALL
+            SELECT conv_id, audit, k + 1, CASE edit WHEN 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN ini ELSE next[1] END,
+                   CASE edit WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || body) WHEN 'R' THEN list_append(said, next || ':' || body)
+                   ELSE list_append(said, next || ':') END
+            FROM (SELECT f.*, substr(audit, k, 1) AS edit, CASE q WHEN 'u' THEN 'assistant' ELSE 'user' END AS next, w.ini, w.role, w.body
+                  FROM forth f LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.i = f.i WHERE k <= length(audit)))
+        SELECT c.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated,
+               coalesce(n.illegal, 0) AS illegal, coalesce(f.cost, 0) AS cost, coalesce(f.audit, '') AS audit, sha256(coalesce(f.said, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN (SELECT b.conv_id, b.cost, b.audit, array_to_string(f.said, chr(10)) AS said
+                   FROM best b JOIN forth f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.k = length(b.audit) + 1) f
+            ON f.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 ORACLES = {
     "op1_exact_dedup": """
         WITH d AS (
@@ -24,4 +103,5 @@ ORACLES = {
             FROM u GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
                sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op12_structure_repair": _repair_sql(),
 }
