@@ -102,27 +102,57 @@ def first_of(rows: DataFrame, key: str, candidates: list[tuple[DataFrame, str]])
     return found
 
 
+def substring_join(asked: DataFrame, m: str, texts: DataFrame, text: str, q: int = 3) -> DataFrame:
+    """(m, match): every ``texts[text]`` that contains ``asked[m]``, or ends with it; an empty ``m`` finds nothing.
+
+    An inverted index of q-grams with their places: a question asks by its rarest gram, and
+    where that gram stands the rest of the question is held against the text. Questions
+    shorter than ``q`` are their own gram. No text is compared with a question that shares no
+    gram with it; a gram that no text has rules its questions out.
+    """
+    texts = texts.select(F.col(text).alias("match")).where("match IS NOT NULL").distinct()
+    asked = asked.select(F.col(m).alias("m")).where("m <> ''").distinct()
+    place = lambda n, of: F.struct(F.substr(of[0], of[1], F.lit(n)).alias("gram"), of[1].alias("at"))
+    cut = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: place(n, (c, k)))
+    index = texts.select("match", F.explode(F.concat(*(F.when(F.length("match") >= n, cut(F.col("match"), n)).otherwise(F.array().cast("array<struct<gram:string,at:int>>")) for n in range(1, q + 1)))).alias("g")).select("match", "g.gram", "g.at")
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
+    grams = F.when(F.length("m") < q, F.array(F.struct(F.col("m").alias("gram"), F.lit(1).alias("at")))).otherwise(cut(F.col("m"), q))
+    keys = asked.select("m", F.explode(grams).alias("g")).select("m", "g.gram", F.col("g.at").alias("off"))
+    ranked = keys.join(often, "gram", "left").groupBy("m").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "off", "gram")).alias("x"))
+    rarest = ranked.where("x.k > 0").select("m", "x.off", "x.gram")
+    hits = rarest.join(index, "gram").where(F.substr("match", F.col("at") - F.col("off") + 1, F.length("m")) == F.col("m")).where("at >= off")
+    return hits.select("m", "match").distinct()
+
+
 def bind_in_steps(asked: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(m, step, anchors, match): names ``m`` with the symbols that the first successful step finds.
+    """(m, step, anchors, match, key): names ``m`` with the symbols that the first successful step finds.
 
     ``symbols`` (tail, name). Step 1: the whole dotted tail; 2: the name; 3: a dotted end of the
     tail, for dotted names; 4: the name, by a dotted name's last part. Case doesn't count.
-    ``anchors`` is how many tails are found, ``match`` the first of them. All steps are one join
-    on (step, key), so nothing is asked twice and names are never compared pairwise.
+    ``anchors`` is how many tails are found, ``match`` the first of them, ``key`` what they were
+    found by (see :func:`step_keys`). All steps are one join on (step, key), so nothing is asked
+    twice and names are never compared pairwise.
     """
-    tail, name, m = F.lower("tail"), F.lower("name"), F.lower("m")
-    parts = F.split(tail, r"\.")
-    ends = F.filter(F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")), lambda x: F.contains(x, F.lit(".")) & (x != tail))
+    m = F.lower("m")
     at = lambda step, key: F.struct(F.lit(step).alias("step"), key.alias("key"))
-    keys = F.concat(F.array(at(1, tail), at(2, name), at(4, name)), F.transform(ends, lambda x: at(3, x)))
     whole = F.array(at(1, m), at(2, m))
     wanted = F.when(F.contains(m, F.lit(".")), F.concat(whole, F.array(at(3, m), at(4, F.substring_index(m, ".", -1))))).otherwise(whole)
-    table = symbols.select("tail", F.explode(keys).alias("k")).select("tail", "k.step", "k.key").distinct()
+    table = step_keys(symbols).select("tail", "step", "key").distinct()
     hits = asked.select("m", F.explode(wanted).alias("k")).select("m", "k.step", "k.key").join(
         table.groupBy("step", "key").agg(F.count("*").alias("anchors"), F.min("tail").alias("match")), ["step", "key"]
     )
-    first = hits.groupBy("m").agg(F.min(F.struct("step", "anchors", "match")).alias("x"))
-    return first.select("m", "x.step", "x.anchors", "x.match")
+    first = hits.groupBy("m").agg(F.min(F.struct("step", "anchors", "match", "key")).alias("x"))
+    return first.select("m", "x.step", "x.anchors", "x.match", "x.key")
+
+
+def step_keys(symbols: DataFrame) -> DataFrame:
+    """``symbols`` (tail, name, ...) with each (step, key) by which :func:`bind_in_steps` finds one."""
+    tail, name = F.lower("tail"), F.lower("name")
+    parts = F.split(tail, r"\.")
+    ends = F.filter(F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")), lambda x: F.contains(x, F.lit(".")) & (x != tail))
+    at = lambda step, key: F.struct(F.lit(step).alias("step"), key.alias("key"))
+    keys = F.concat(F.array(at(1, tail), at(2, name), at(4, name)), F.transform(ends, lambda x: at(3, x)))
+    return symbols.select("*", F.explode(keys).alias("_k")).select(*symbols.columns, "_k.step", "_k.key")
 
 
 def greedy_band_match(findings: DataFrame, expected: DataFrame, tolerance: int = 3) -> DataFrame:

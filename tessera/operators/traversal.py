@@ -36,6 +36,10 @@ def _cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: For rows that are dear to make and read more than once.
+write_once = _cut
+
+
 def reach(starts: DataFrame, hops: DataFrame, max_depth: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """(start, node, hop): nodes reached from each start over ``hops`` (a -> b), with the least number of hops.
 

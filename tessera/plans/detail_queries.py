@@ -14,7 +14,7 @@ from ..sources import code
 from ..sources.fact_tables import TABLES, audit, read_table
 from .event_queries import PARITY, VERSIONS, parity, versions
 from .io_queries import GOOD, python_files, sql_files, table
-from .link_queries import BIND, j28
+from .link_queries import REVIEWED, j29
 from .registry import query
 
 # --- front-ends, part by part
@@ -45,16 +45,6 @@ def s03(spark, d):
     return spark.createDataFrame(list(code.capabilities().items()), "suffix string, ready boolean")
 
 
-@query("s05_resolved_calls", listed(["py:shop.s#.S#.run|py:os.getpid|CALLS", "py:shop.s#.S#.run|py:shop.s#.S#.stop|CALLS", "py:shop.s#.S#.run|py:shop.base.helper|CALLS", "py:shop.s#.S#.stop|py:shop.s#.local|CALLS"], GOOD))
-def s05(spark, d):
-    return edges(python_files(spark, d), "CALLS")
-
-
-@query("s07_bases", listed(["py:shop.s#.S#|py:shop.base.Base|IMPLEMENTS"], GOOD))
-def s07(spark, d):
-    return edges(python_files(spark, d), "IMPLEMENTS")
-
-
 @query("s16_view_reads", listed(["sql:v#|sql:t#|READS", "sql:v#|sql:regions|READS"], NATIONS))
 def s16(spark, d):
     return edges(sql_files(spark, d), "READS").where(F.col("src").startswith("sql:v"))
@@ -181,11 +171,11 @@ def f15(spark, d):
     return table(spark, d, "part").select("p_partkey", X.can_drift(pick["kind"], pick["text"]).alias("drifts"))
 
 
-@query("d11r_doc_drift", graph=BIND + " , gone AS (SELECT k FROM asked WHERE k NOT IN (SELECT k FROM s1 WHERE n = 1) AND k NOT IN (SELECT k FROM s2 WHERE n = 1)) SELECT 'total' AS what, CAST(count(*) AS STRING) AS value FROM gone UNION ALL SELECT 'first', k FROM (SELECT k FROM gone ORDER BY k LIMIT 8)")
+@query("d11r_doc_drift", REVIEWED + ", gone AS (SELECT page, mention FROM reviewed WHERE drifts) SELECT 'total' AS what, CAST(count(*) AS STRING) AS value FROM gone UNION ALL SELECT 'first', CAST(page AS STRING) || ' ' || mention FROM (SELECT * FROM gone ORDER BY page, mention LIMIT 8)")
 def d11r(spark, d):
     """How many claims of the documents bind to nothing, and the first eight."""
-    gone = j28(spark, d)
-    first = gone.orderBy("k").limit(8).select(F.lit("first").alias("what"), F.col("k").alias("value"))
+    gone = j29(spark, d).select("page", "mention")
+    first = gone.orderBy("page", "mention").limit(8).select(F.lit("first").alias("what"), F.concat_ws(" ", F.col("page").cast("string"), "mention").alias("value"))
     return gone.agg(F.lit("total").alias("what"), F.count("*").cast("string").alias("value")).unionByName(first)
 
 

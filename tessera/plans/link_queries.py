@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import links as L
 from ..operators import neighbours as N
-from ..sources.fact_tables import facts
+from ..sources.fact_tables import NODES_SQL, facts
 from . import graph_queries as G
 from .registry import query
 from .text_queries import IDENT_TOKENS, NORMAL
@@ -134,7 +134,8 @@ def c06(spark, d):
 #: A page about each part. Every third page names the part outside backticks only.
 PAGES = """SELECT p_partkey AS page, 'Call ' || CASE WHEN p_partkey % 3 = 0 THEN s || '()' ELSE '`' || s || '()` or ' || s END
     || ' of `' || CASE p_partkey % 4 WHEN 0 THEN area || '.' || leaf WHEN 1 THEN 'old.' || leaf WHEN 2 THEN leaf ELSE 'gone.x' END
-    || '`, see shop.' || area || '.' || leaf || ' and ' || camel || '; in `src/' || area || '/' || leaf || '.py`, not `two words`; e_g www.shop.example.com' AS text
+    || '`, see shop.' || area || '.' || leaf || ' and ' || camel || '; in `src/' || area || '/' || leaf || '.py`, not `two words`; e_g www.shop.example.com; `' || CASE p_partkey % 6 WHEN 0 THEN 'parts/p' || CAST(p_partkey % 60 AS STRING) || '.py' WHEN 1 THEN 'p' || CAST(p_partkey % 60 AS STRING) || '.py'
+    WHEN 2 THEN '/etc/' || leaf || '.toml' WHEN 3 THEN 'old/' || s || '.yaml' WHEN 4 THEN 'LIMIT_' || upper(leaf) ELSE 'main' END || '`' AS text
     FROM (SELECT p_partkey, replace(p_name, ' ', '_') AS s, array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(p_name, ' ')], '') AS camel,
           lower(r_name) AS area, lower(n_name) AS leaf FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey)"""
 
@@ -146,7 +147,10 @@ def part_pages(spark, d):
     camel = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), "")
     named = F.when(k % 3 == 0, F.concat(s, F.lit("()"))).otherwise(F.concat(F.lit("`"), s, F.lit("()` or "), s))
     owner = F.when(k % 4 == 0, F.concat_ws(".", area, leaf)).when(k % 4 == 1, F.concat_ws(".", F.lit("old"), leaf)).when(k % 4 == 2, leaf).otherwise(F.lit("gone.x"))
-    words = ["Call ", named, " of `", owner, "`, see shop.", area, ".", leaf, " and ", camel, "; in `src/", area, "/", leaf, ".py`, not `two words`; e_g www.shop.example.com"]
+    number, cases = (k % 60).cast("string"), k % 6
+    also = F.when(cases == 0, F.concat(F.lit("parts/p"), number, F.lit(".py"))).when(cases == 1, F.concat(F.lit("p"), number, F.lit(".py"))).when(cases == 2, F.concat(F.lit("/etc/"), leaf, F.lit(".toml")))
+    also = also.when(cases == 3, F.concat(F.lit("old/"), s, F.lit(".yaml"))).when(cases == 4, F.concat(F.lit("LIMIT_"), F.upper(leaf))).otherwise(F.lit("main"))
+    words = ["Call ", named, " of `", owner, "`, see shop.", area, ".", leaf, " and ", camel, "; in `src/", area, "/", leaf, ".py`, not `two words`; e_g www.shop.example.com; `", also, "`"]
     return rows.select(k.alias("page"), F.concat(*[F.lit(w) if isinstance(w, str) else w for w in words]).alias("text"))
 
 
@@ -166,79 +170,107 @@ def x07(spark, d):
     return X.mentions(part_pages(spark, d), "page", "text")
 
 
-SYMBOLS = """SELECT 'shop.' || lower(r_name) || '.' || lower(n_name) AS tail, lower(n_name) AS name FROM nation JOIN region ON r_regionkey = n_regionkey
-    UNION ALL SELECT 'shop.parts.' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING), replace(p_name, ' ', '_') FROM part"""
-J27 = f"""WITH sym AS ({SYMBOLS}), asked AS (SELECT DISTINCT mention AS m FROM ({X07}) WHERE kind <> 'file'), hits AS (
-    SELECT m, 1 AS step, tail FROM asked JOIN sym ON lower(tail) = lower(m)
-    UNION ALL SELECT m, 2, tail FROM asked JOIN sym ON lower(name) = lower(m)
-    UNION ALL SELECT m, 3, tail FROM asked JOIN sym ON contains(m, '.') AND ends_with(lower(tail), '.' || lower(m))
-    UNION ALL SELECT m, 4, tail FROM asked JOIN sym ON contains(m, '.') AND lower(name) = list_extract(string_split(lower(m), '.'), -1))
-    SELECT m, step, count(DISTINCT tail) AS anchors, min(tail) AS match FROM hits h WHERE step = (SELECT min(step) FROM hits g WHERE g.m = h.m) GROUP BY m, step"""
+SYMBOLS = """SELECT 'shop.' || lower(r_name) || '.' || lower(n_name) AS tail, lower(n_name) AS name, 'src/' || lower(r_name) || '/' || lower(n_name) || '.py' AS file FROM nation JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT 'shop.parts.' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING), replace(p_name, ' ', '_'), 'src/parts/p' || CAST(p_partkey % 40 AS STRING) || '.py' FROM part"""
+FILES = f"SELECT DISTINCT file FROM ({NODES_SQL}) WHERE file IS NOT NULL"
+HITS = f"""asked AS (SELECT DISTINCT mention AS m, kind = 'file' AS is_file FROM said), sym AS ({SYMBOLS}), hits AS (
+    SELECT m, is_file, 0 AS step, file AS tail, file FROM asked JOIN ({FILES}) ON contains(file, m) WHERE is_file
+    UNION ALL SELECT m, is_file, 1, tail, file FROM asked JOIN sym ON lower(tail) = lower(m) WHERE NOT is_file
+    UNION ALL SELECT m, is_file, 2, tail, file FROM asked JOIN sym ON lower(name) = lower(m) WHERE NOT is_file
+    UNION ALL SELECT m, is_file, 3, tail, file FROM asked JOIN sym ON contains(m, '.') AND ends_with(lower(tail), '.' || lower(m)) WHERE NOT is_file
+    UNION ALL SELECT m, is_file, 4, tail, file FROM asked JOIN sym ON contains(m, '.') AND lower(name) = list_extract(string_split(lower(m), '.'), -1) WHERE NOT is_file),
+    anchor AS (SELECT * FROM hits h WHERE step = (SELECT min(step) FROM hits g WHERE g.m = h.m AND g.is_file = h.is_file)),
+    bound AS (SELECT m, is_file, step, count(DISTINCT tail) AS anchors, min(tail) AS match FROM anchor GROUP BY 1, 2, 3)"""
+BOUND = f"WITH said AS ({X07}), {HITS}"
+DRIFTS = r"""NOT (kind = 'camel' OR regexp_matches(mention, '^[A-Z][A-Z0-9_]+$')) AND NOT (kind = 'file' AND regexp_matches(mention, '^(/|~|\.\.)|[* ]'))
+    AND NOT (kind = 'backtick' AND regexp_matches(mention, '^[a-z][a-z0-9]*$'))"""
+REVIEWED = f"""{BOUND}, reviewed AS (SELECT page, mention, kind, coalesce(step, -1) AS step, coalesce(anchors, 0) AS anchors, match, step IS NULL AND {DRIFTS} AS drifts, {DRIFTS} AS claims
+    FROM said LEFT JOIN bound ON m = mention AND is_file = (kind = 'file'))"""
 
 
 def symbols(spark, d):
+    """Symbols by their dotted path and last name, with the file that defines them."""
     places = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
-    parts = table(spark, d, "part").select(F.concat(F.lit("shop.parts."), name, F.lit("_"), F.col("p_partkey").cast("string")).alias("tail"), name.alias("name"))
-    return places.select(F.concat_ws(".", F.lit("shop"), F.lower("r_name"), F.lower("n_name")).alias("tail"), F.lower("n_name").alias("name")).unionByName(parts)
-
-
-@query("j27_bind_mentions", J27)
-def j27(spark, d):
-    """Every mention that is no file, with the first step that finds symbols for it, their number and the first of them."""
-    asked = mentions_of_parts(spark, d).where("kind <> 'file'").select(F.col("mention").alias("m")).distinct()
-    return L.bind_in_steps(asked, symbols(spark, d))
+    file = F.concat(F.lit("src/parts/p"), (F.col("p_partkey") % 40).cast("string"), F.lit(".py"))
+    parts = table(spark, d, "part").select(F.concat(F.lit("shop.parts."), name, F.lit("_"), F.col("p_partkey").cast("string")).alias("tail"), name.alias("name"), file.alias("file"))
+    area, leaf = F.lower("r_name"), F.lower("n_name")
+    return places.select(F.concat_ws(".", F.lit("shop"), area, leaf).alias("tail"), leaf.alias("name"), F.concat(F.lit("src/"), area, F.lit("/"), leaf, F.lit(".py")).alias("file")).unionByName(parts)
 
 
 def mentions_of_parts(spark, d):
     return X.mentions(part_pages(spark, d), "page", "text")
 
 
-BIND = """, asked AS (SELECT DISTINCT name AS k FROM nodes WHERE id LIKE 'customer:%' UNION SELECT 'nation_3' UNION SELECT 'asia' UNION SELECT 'none'),
-    s1 AS (SELECT k, count(DISTINCT id) AS n, min(id) AS match FROM asked JOIN nodes ON name = k GROUP BY k),
-    s2 AS (SELECT k, count(DISTINCT id) AS n, min(id) AS match FROM asked JOIN nodes ON list_extract(string_split(name, '.'), -1) = k WHERE k NOT IN (SELECT k FROM s1) GROUP BY k)"""
+def bound_mentions(spark, d, said):
+    """(m, is_file, step, anchors, match, key) of each mention that binds: files by what their paths contain (step 0), names by steps 1 to 4."""
+    files = facts(spark, d).nodes.select("file")
+    found = L.substring_join(said.where("kind = 'file'"), "mention", files, "file")
+    files_of = found.groupBy("m").agg(F.count(F.lit(1)).alias("anchors"), F.min("match").alias("match"))
+    names = L.bind_in_steps(said.where("kind <> 'file'").select(F.col("mention").alias("m")).distinct(), symbols(spark, d))
+    of_files = files_of.select("m", F.lit(True).alias("is_file"), F.lit(0).alias("step"), "anchors", "match", F.col("m").alias("key"))
+    return of_files.unionByName(names.withColumn("is_file", F.lit(False)))
 
 
-def asked_names(spark, d):
-    names = facts(spark, d).nodes.where("id LIKE 'customer:%'").select(F.col("name").alias("k"))
-    return names.unionByName(spark.createDataFrame([("nation_3",), ("asia",), ("none",)], "k string")).distinct()
-
-
-def binding(spark, d, asked):
-    """Exact name, then last dotted part; a name that binds to several symbols binds to none."""
-    nodes = facts(spark, d).nodes
-    exact = nodes.select(F.col("name").alias("k"), F.col("id").alias("match"))
-    tail = nodes.select(F.substring_index("name", ".", -1).alias("k"), F.col("id").alias("match"))
-    return L.first_of(asked, "k", [(exact, "exact"), (tail, "suffix")])
+@query("j27_bind_mentions", f"{BOUND} SELECT m, step, anchors, match FROM bound")
+def j27(spark, d):
+    """Every mention with the first step that finds files or symbols for it, their number and the first of them."""
+    return bound_mentions(spark, d, mentions_of_parts(spark, d)).select("m", "step", "anchors", "match")
 
 
-LINKED = " SELECT k, match, 'exact' AS step FROM s1 WHERE n = 1 UNION ALL SELECT k, match, 'suffix' FROM s2 WHERE n = 1"
-DRIFT = " SELECT k FROM asked WHERE k NOT IN (SELECT k FROM s1 WHERE n = 1) AND k NOT IN (SELECT k FROM s2 WHERE n = 1)"
-VERDICT = " SELECT a.k, CASE WHEN s1.n = 1 OR s2.n = 1 THEN 'bound' WHEN a.k = 'none' THEN 'no claim' ELSE 'unbound' END AS verdict FROM asked a LEFT JOIN s1 ON s1.k = a.k LEFT JOIN s2 ON s2.k = a.k"
+def reviewed(spark, d):
+    """Every mention of every page, bound or not, and whether it counts against its page."""
+    said = mentions_of_parts(spark, d)
+    bound = bound_mentions(spark, d, said)
+    rows = said.join(bound, (F.col("m") == F.col("mention")) & (F.col("is_file") == (F.col("kind") == "file")), "left")
+    claims = X.can_drift(F.col("kind"), F.col("mention"))
+    return rows.select("page", "mention", "kind", F.coalesce("step", F.lit(-1)).alias("step"), F.coalesce("anchors", F.lit(0)).alias("anchors"), "match", "key", (F.col("step").isNull() & claims).alias("drifts"), claims.alias("claims"))
 
 
-def drifted(spark, d, asked):
-    return asked.join(binding(spark, d, asked), "k", "left_anti")
+@query("j26_link_docs", f"{REVIEWED} SELECT DISTINCT page, match AS symbol FROM reviewed WHERE step > 0 AND anchors = 1")
+def j26(spark, d):
+    """Pages and the symbols that they name unmistakably: a mention of several symbols, or of a file, is no link."""
+    return reviewed(spark, d).where("step > 0 AND anchors = 1").select("page", F.col("match").alias("symbol")).distinct()
 
 
-def verdicts(spark, d, asked):
-    rows = asked.join(binding(spark, d, asked), "k", "left")
-    return rows.select("k", F.when(F.col("match").isNotNull(), "bound").when(F.col("k") == "none", "no claim").otherwise("unbound").alias("verdict"))
+@query("j28_doc_drift", f"{REVIEWED} SELECT page, mention, kind, anchors, drifts FROM reviewed")
+def j28(spark, d):
+    """All bindings; what claims to be code and binds to nothing drifts."""
+    return reviewed(spark, d).select("page", "mention", "kind", "anchors", "drifts")
 
 
-@query("j26_link_docs", graph=BIND + LINKED)
-def j26(spark, d):
-    return binding(spark, d, asked_names(spark, d))
+@query("j29_repo_drift", f"{REVIEWED} SELECT page, mention, 'names `' || mention || '`, and there is no such ' || CASE kind WHEN 'file' THEN 'file' ELSE 'symbol' END AS message FROM reviewed WHERE drifts")
+def j29(spark, d):
+    """A finding for each claim of the documents that the code doesn't support."""
+    what = F.when(F.col("kind") == "file", "file").otherwise("symbol")
+    message = F.concat(F.lit("names `"), "mention", F.lit("`, and there is no such "), what)
+    return reviewed(spark, d).where("drifts").select("page", "mention", message.alias("message"))
 
 
-@query("j28_doc_drift", graph=BIND + DRIFT)
-def j28(spark, d):
-    return drifted(spark, d, asked_names(spark, d))
+VERDICT = f"""{REVIEWED}, evidence AS (SELECT page, 'src/' || list_extract(string_split(text, 'src/'), 2)[:position('`' IN list_extract(string_split(text, 'src/'), 2)) - 1] AS file FROM ({PAGES}) WHERE page % 2 = 0)
+    SELECT page, CASE WHEN bool_or(anchors > 0) THEN 'bound' WHEN bool_or(claims) THEN 'unbound' ELSE 'no claim' END AS verdict, count(*) FILTER (drifts) AS unresolved,
+        bool_or(EXISTS (SELECT 1 FROM anchor a JOIN evidence e ON e.file = a.file WHERE a.m = r.mention AND a.is_file = (r.kind = 'file') AND e.page = r.page)) AS in_evidence
+    FROM reviewed r GROUP BY page"""
 
 
-@query("j42_bind_criteria", graph=BIND + VERDICT)
+@query("j42_bind_criteria", VERDICT)
 def j42(spark, d):
-    return verdicts(spark, d, asked_names(spark, d))
+    """Each page as a criterion: bound by any mention, unbound if it only claims, and whether an anchor lies in its evidence.
+
+    Every second page has the file it names under src/ as evidence. An anchor in it is looked
+    for by (step, key, file), so a name that many symbols bear is never spread out.
+    """
+    pages, rows = part_pages(spark, d), reviewed(spark, d)
+    evidence = pages.where("page % 2 = 0").select("page", F.regexp_extract("text", "`(src/[^`]*)`", 1).alias("file"))
+    files = facts(spark, d).nodes.select(F.col("file").alias("f")).where("f IS NOT NULL").distinct()
+    held = rows.where("anchors > 0").join(evidence, "page")
+    by_file = held.where("step = 0").where(F.contains("file", F.col("mention"))).join(files, F.col("file") == F.col("f"), "left_semi").select("page")
+    homes = L.step_keys(symbols(spark, d)).select("step", "key", "file").distinct()
+    by_symbol = held.where("step > 0").join(homes, ["step", "key", "file"], "left_semi").select("page")
+    there = by_file.unionByName(by_symbol).distinct().withColumn("there", F.lit(True))
+    verdict = F.when(F.max(F.col("anchors") > 0), "bound").when(F.max("claims"), "unbound").otherwise("no claim")
+    judged = rows.groupBy("page").agg(verdict.alias("verdict"), F.count_if("drifts").alias("unresolved"))
+    return judged.join(there, "page", "left").select("page", "verdict", "unresolved", F.coalesce("there", F.lit(False)).alias("in_evidence"))
 
 
 # --- intents, routes, traces

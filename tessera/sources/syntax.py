@@ -1,4 +1,4 @@
-"""Python files as flat rows: one for each import, definition, assignment and call.
+"""Python files as flat rows: one for each import, definition, base, binding, assignment and call.
 
 The parser only says what is written where; no framework is known here. What a row means is
 decided by joins and filters over the rows of all files.
@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 
 from .code import module_of_path
 
-#: ``scope``: qualified name of the innermost definition; ``inside``: of the innermost function, if any.
+#: ``scope``: qualified name of the innermost definition; ``inside``: of the innermost function, if any;
+#: ``caller``: of the outermost; ``owner``: of the innermost class; ``block``: the scope that a name bound
+#: here belongs to; ``chain``: the scopes in which a name used here is looked up, innermost first, by spaces;
+#: ``form`` of a call: ``name`` for ``f()``, ``member`` for ``x.f()`` whatever x is, else ``other``.
 COLUMNS = (
     "path string, module string, what string, name string, scope string, inside string, holder string, first string, second string, "
-    "first_name string, second_name string, words string, target string, decorates string, bases string, notes string, line long"
+    "first_name string, second_name string, words string, target string, decorates string, bases string, notes string, line long, "
+    "caller string, owner string, block string, chain string, form string"
 )
 _NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
@@ -56,13 +60,68 @@ def last_name(e: ast.expr | None) -> str:
     return ""
 
 
+def parameters(a: ast.arguments) -> list[ast.arg]:
+    return [*a.posonlyargs, *a.args, *filter(None, [a.vararg]), *a.kwonlyargs, *filter(None, [a.kwarg])]
+
+
 class _Flat(ast.NodeVisitor):
     def __init__(self, module: str) -> None:
         self.module, self.rows = module, []
         self.scope, self.inside, self.target = module, None, None
+        self.caller, self.owner = None, None
+        #: Blocks around this place, outermost first, and whether each is a class; names that a block declares global.
+        self.blocks: list[tuple[str, bool]] = [(module, False)]
+        self.shared: dict[str, set[str]] = {}
 
     def put(self, what: str, line: int, **more) -> None:
-        self.rows.append({"module": self.module, "what": what, "scope": self.scope, "inside": self.inside, "line": line, **more})
+        block = self.blocks[-1][0]
+        # a class's names are seen in its body, not in the functions inside
+        seen = [b for k, (b, is_class) in enumerate(self.blocks) if not is_class or k == len(self.blocks) - 1]
+        self.rows.append(
+            {"module": self.module, "what": what, "scope": self.scope, "inside": self.inside, "line": line, "caller": self.caller, "owner": self.owner, "block": block, "chain": " ".join(reversed(seen)), **more}
+        )
+
+    def bind(self, name: str, line: int, kind: str = "local") -> None:
+        if name not in self.shared.get(self.blocks[-1][0], ()):
+            self.put("bind", line, name=name, holder=kind)
+
+    def within(self, block: str, parameters: list[ast.arg], parts: list[ast.AST], is_class: bool = False) -> None:
+        """Visit ``parts`` in a block of their own, which binds ``parameters``."""
+        self.blocks.append((block, is_class))
+        for p in parameters:
+            self.bind(p.arg, p.lineno, "param")
+        for part in parts:
+            self.visit(part)
+        self.blocks.pop()
+
+    def visit_Name(self, n: ast.Name) -> None:
+        if isinstance(n.ctx, ast.Store):
+            self.bind(n.id, n.lineno)
+
+    def visit_ExceptHandler(self, h: ast.ExceptHandler) -> None:
+        if h.name:
+            self.bind(h.name, h.lineno)
+        self.generic_visit(h)
+
+    def visit_MatchAs(self, m: ast.MatchAs | ast.MatchStar) -> None:
+        if m.name:
+            self.bind(m.name, m.lineno)
+        self.generic_visit(m)
+
+    visit_MatchStar = visit_MatchAs
+
+    def visit_Global(self, g: ast.Global | ast.Nonlocal) -> None:
+        self.shared.setdefault(self.blocks[-1][0], set()).update(g.names)
+
+    visit_Nonlocal = visit_Global
+
+    def visit_Lambda(self, f: ast.Lambda) -> None:
+        self.within(f"{self.blocks[-1][0]}:{f.lineno}:{f.col_offset}", parameters(f.args), [f.body])
+
+    def comprehension(self, c) -> None:
+        self.within(f"{self.blocks[-1][0]}:{c.lineno}:{c.col_offset}", [], [*c.generators, *(getattr(c, part) for part in ("elt", "key", "value") if hasattr(c, part))])
+
+    visit_ListComp = visit_SetComp = visit_DictComp = visit_GeneratorExp = comprehension
 
     def visit_Import(self, s: ast.Import) -> None:
         for a in s.names:
@@ -80,13 +139,17 @@ class _Flat(ast.NodeVisitor):
         for d in s.decorator_list:
             if isinstance(d, ast.Call):
                 self.call(d, own)
-        before = self.scope, self.inside
-        self.scope, self.inside = own, inside or self.inside
-        for part in s.body:
-            self.visit(part)
-        self.scope, self.inside = before
+        before = self.scope, self.inside, self.caller, self.owner
+        self.scope, self.inside, self.caller = own, inside or self.inside, self.caller or inside
+        if kind == "class":
+            self.owner = own
+        self.within(own, parameters(s.args) if inside else [], s.body, is_class=kind == "class")
+        self.scope, self.inside, self.caller, self.owner = before
 
     def visit_ClassDef(self, s: ast.ClassDef) -> None:
+        for base in s.bases:
+            if isinstance(base, ast.Name):
+                self.put("base", s.lineno, name=base.id, target=f"{self.scope}.{s.name}")
         self.define(s, "class", None)
 
     def visit_FunctionDef(self, s: ast.FunctionDef) -> None:
@@ -113,8 +176,9 @@ class _Flat(ast.NodeVisitor):
     def call(self, c: ast.Call, decorates: str | None = None) -> None:
         a, b = [*c.args, None, None][:2]
         words = {k.arg: list(filter(None, map(written, getattr(k.value, "elts", [k.value])))) for k in c.keywords if k.arg}
+        form = "name" if isinstance(c.func, ast.Name) else "member" if isinstance(c.func, ast.Attribute) else "other"
         self.put(
-            "call", c.lineno, name=last_name(c), holder=dotted(c.func.value) if isinstance(c.func, ast.Attribute) else None,
+            "call", c.lineno, form=form, name=last_name(c), holder=dotted(c.func.value) if isinstance(c.func, ast.Attribute) else None,
             first=written(a), second=written(b), first_name=dotted(a), second_name=dotted(b), words=json.dumps(words), target=self.target, decorates=decorates,
         )
         self.generic_visit(c)

@@ -80,7 +80,7 @@ def endpoints(rows: DataFrame) -> DataFrame:
 def client_calls(rows: DataFrame) -> DataFrame:
     """(caller, verb, path, line) of calls on an object, in files that import a client library."""
     users = rows.where(F.col("what") == "import").where(F.substring_index("holder", ".", 1).isin(*CLIENTS)).select("path").distinct()
-    calls = rows.where("what = 'call' AND holder IS NOT NULL AND decorates IS NULL").join(users, "path", "left_semi")
+    calls = rows.where("what = 'call' AND form = 'member' AND decorates IS NULL").join(users, "path", "left_semi")
     plain = F.col("name").isin(*CALL_VERBS) & (F.length("first") > 0)
     spelt = (F.col("name") == "request") & F.lower("first").isin(*CALL_VERBS) & (F.length("second") > 0)
     asked = calls.where(plain | spelt)
