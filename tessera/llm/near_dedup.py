@@ -207,6 +207,50 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("b").agg(F.min("a").alias("label")).select(F.col("b").alias("node"), "label")
 
 
+class SetCache:
+    """Shingle sets of texts, made when asked for; all are dropped once ``most`` shingles are held."""
+
+    def __init__(self, width: int, most: int = 4_000_000) -> None:
+        self.width, self.most = width, most
+        self.hashes, self.sets, self.held = WordHashes(), {}, 0
+
+    def of(self, node: int, body: bytes) -> np.ndarray:
+        found = self.sets.get(node)
+        if found is None:
+            found = shingle_set(zlib.decompress(body).split(), self.hashes, self.width)
+            if self.held + len(found) > self.most:
+                self.sets.clear()
+                self.held = 0
+            self.sets[node] = found
+            self.held += len(found)
+        return found
+
+
+def near_pairs(own: list[np.ndarray], percent: int, slice_size: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (a, b), a < b, of the sets that meet the threshold, by products of 0/1 matrices.
+
+    Intersections add up over slices of the hash range, each of about ``slice_size`` shingles.
+    """
+    size = np.array([len(s) for s in own], np.int64)
+    slices = int(size.sum()) // slice_size + 1
+    inter = np.zeros((len(own), len(own)), np.int64)
+    step = max(64, (16 << 20) // (4 * len(own)))
+    for k in range(slices):
+        part_of = own if slices == 1 else [s[s % s.dtype.type(slices) == k] for s in own]
+        _, column, times = np.unique(np.concatenate(part_of), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(own)), [len(s) for s in part_of])
+        shared = times[column] > 1
+        row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+            low, high = np.searchsorted(column, [at, at + step])
+            part = np.zeros((len(own), step), np.float32)
+            part[row[low:high], column[low:high] - at] = 1
+            inter += (part @ part.T).astype(np.int64)
+    return np.nonzero(np.triu(100 * inter >= percent * (size[:, None] + size[None, :] - inter), 1))
+
+
 class NearDuplicates:
     """The steps of :func:`near_duplicates`, one method each."""
 
@@ -335,29 +379,14 @@ class NearDuplicates:
         paired = with_block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         work = paired.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label")
 
-        def link(rows: list[tuple[int, int, bytes]], sets: dict[int, np.ndarray], hashes: WordHashes) -> list[tuple[int, int]]:
-            for node, _, body in rows:
-                if node not in sets:
-                    sets[node] = shingle_set(zlib.decompress(body).split(), hashes, width)
-            own = [sets[node] for node, _, _ in rows]
-            size = np.array([len(s) for s in own], np.int64)
-            _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-            row = np.repeat(np.arange(len(own)), size)
-            shared = times[column] > 1
-            row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
-            order = np.argsort(column, kind="stable")
-            row, column = row[order], column[order]
-            inter = np.zeros((len(own), len(own)), np.float32)  # exact up to 2^24
-            step = max(64, (16 << 20) // (4 * len(own)))
-            for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-                low, high = np.searchsorted(column, [at, at + step])
-                part = np.zeros((len(own), step), np.float32)
-                part[row[low:high], column[low:high] - at] = 1
-                inter += part @ part.T
-            inter = inter.astype(np.int64)
-            near = np.triu(100 * inter >= percent * (size[:, None] + size[None, :] - inter), 1)
+        def link(rows: list[tuple[int, int, bytes]], sets: SetCache) -> list[tuple[int, int]]:
+            """Links of one piece of work. Where its sets together are too large to be held, they meet in
+            blocks of bounded size, by rising size of set: what is too small for all that follow meets none of it."""
+            size = np.array([len(sets.of(node, body)) for node, _, body in rows], np.int64)
             label = np.unique([x for _, x, _ in rows], return_inverse=True)[1]
-            a, b = np.nonzero(near & (label[:, None] != label[None, :]))
+            order = np.argsort(size, kind="stable")
+            block = np.cumsum(size[order]) // sets.most if size.sum() > sets.most else np.zeros(len(rows), np.int64)
+            cut = [order[block == k] for k in np.unique(block)]
             above, out = list(range(int(label.max()) + 1)), []
 
             def root(x: int) -> int:
@@ -365,30 +394,37 @@ class NearDuplicates:
                     above[x] = x = above[above[x]]
                 return x
 
-            _, first = np.unique(label[a] * len(above) + label[b], return_index=True)
-            for k in first:
-                x, y = root(int(label[a[k]])), root(int(label[b[k]]))
-                if x != y:
-                    above[x] = y
-                    out.append((rows[a[k]][0], rows[b[k]][0]))
+            for k, mine in enumerate(cut):
+                for theirs in cut[k:]:
+                    if 100 * size[mine].max() < percent * size[theirs].min():
+                        break
+                    both = mine if theirs is mine else np.concatenate([mine, theirs])
+                    a, b = near_pairs([sets.of(rows[x][0], rows[x][2]) for x in both], percent)
+                    a, b = both[a], both[b]
+                    apart = label[a] != label[b]
+                    a, b = a[apart], b[apart]
+                    _, first = np.unique(label[a] * len(above) + label[b], return_index=True)
+                    for x, y in zip(a[first], b[first], strict=True):
+                        p, q = root(int(label[x])), root(int(label[y]))
+                        if p != q:
+                            above[p] = q
+                            out.append((rows[x][0], rows[y][0]))
             return out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, sets, current, rows, links = WordHashes(), {}, None, [], []
+            sets, current, rows, links = SetCache(width), None, [], []
             for batch in batches:
                 for key, i, j, node, label, body in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                     if (key, i, j) != current:
                         if len(rows) > 1:
-                            links += link(rows, sets, hashes)
+                            links += link(rows, sets)
                         current, rows = (key, i, j), []
-                        if sum(map(len, sets.values())) > 4_000_000:
-                            sets.clear()
                     rows.append((node, label, body))
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
                     links = []
             if len(rows) > 1:
-                links += link(rows, sets, hashes)
+                links += link(rows, sets)
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
 
         dealt = work.join(texts, "node").select("key", "i", "j", "node", "label", "body").repartition("key", "i", "j")

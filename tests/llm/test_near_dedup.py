@@ -133,3 +133,25 @@ def test_components(spark):
             x, y = root(a), root(b)
             above[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in list(above) if root(x) != x}
+
+
+def test_large_sets_meet_in_bounded_blocks():
+    """Sets that can't be held together are compared by blocks and slices, with the same pairs."""
+    import numpy as np
+
+    from tessera.llm.near_dedup import SetCache, near_pairs
+
+    rnd = np.random.default_rng(9)
+    base = [rnd.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(4)]
+    own = [np.unique(np.where(rnd.random(400) < 0.1, rnd.integers(0, 1 << 63, 400).astype(np.uint64), base[k % 4])) for k in range(24)]
+    want = {(a, b) for a in range(24) for b in range(a + 1, 24) if 100 * len(np.intersect1d(own[a], own[b])) >= 75 * len(np.union1d(own[a], own[b]))}
+    assert want
+    for slice_size in (10**6, 500, 50):
+        assert set(zip(*map(np.ndarray.tolist, near_pairs(own, 75, slice_size)))) == want
+    import zlib
+
+    cache = SetCache(5, most=300)
+    texts = [zlib.compress(" ".join(f"w{j}" for j in range(k, k + 104)).encode()) for k in range(9)]
+    for k in (0, 1, 2, 0, 8, 1):
+        assert len(cache.of(k, texts[k])) == 100
+        assert cache.held == sum(map(len, cache.sets.values())) <= 300
