@@ -71,6 +71,30 @@ def reach(starts: DataFrame, hops: DataFrame, max_depth: int | None = None, know
     return seen.where("hop > 0")
 
 
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each of ``nodes`` (id) hangs together with over ``links`` (a, b), in either direction.
+
+    Each round a component takes the smallest label that any of its members is linked with, and
+    labels are followed to their own label, so distances shrink by more than half a round. What
+    the labels already hold together needs no link any more.
+    """
+    labels = nodes.select("id", F.col("id").alias("component")).distinct()
+    open_links = write_once(links.select("a", "b").where("a <> b").distinct())
+    while not open_links.isEmpty():
+        both = open_links.unionByName(open_links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("component")).agg(F.min("b").alias("to")).where("to < component")
+        # labels that point to labels: two jumps a round
+        up = write_once(least)
+        for _ in range(2):
+            onward = up.select(F.col("component").alias("to"), F.col("to").alias("_on"))
+            up = up.join(onward, "to", "left").select("component", F.coalesce("_on", "to").alias("to"))
+        up = write_once(up)
+        labels = write_once(labels.join(up, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+        ends = lambda end, df: df.join(up.select(F.col("component").alias(end), F.col("to").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+        open_links = write_once(ends("b", ends("a", open_links)).where("a <> b").select("a", "b").distinct())
+    return labels
+
+
 def acyclic_leftover(hops: DataFrame) -> DataFrame:
     """Nodes left after taking away, again and again, all without an incoming hop: empty exactly if there is no cycle."""
     left = _cut(hops.select("a", "b").distinct())

@@ -76,8 +76,8 @@ def s44(spark, d):
     return facts(spark, d).edges.where("kind = 'REFERENCES'").select("file").distinct()
 
 
-@query("s49_structured_intents", "SELECT doc_id, len(regexp_extract_all(text, '(?m)^[A-Z][a-z]+\\.$')) AS headings FROM documents")
-def s49(spark, d):
+@query("s49b_heading_lines", "SELECT doc_id, len(regexp_extract_all(text, '(?m)^[A-Z][a-z]+\\.$')) AS headings FROM documents")
+def s49b(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?m)^[A-Z][a-z]+\.$")).cast("long").alias("headings"))
 
 
@@ -145,8 +145,8 @@ def m02(spark, d):
     return kept.unionByName(n.where("kind = 'Entity'").select(F.lit("folded").alias("file"), "id")).groupBy("file").agg(F.count("*").alias("n"))
 
 
-@query("m08_consolidate", f"SELECT repo, count(DISTINCT lower(statement)) AS facts, count(*) AS episodes FROM ({MEMORY}) GROUP BY repo")
-def m08(spark, d):
+@query("m08b_statements", f"SELECT repo, count(DISTINCT lower(statement)) AS facts, count(*) AS episodes FROM ({MEMORY}) GROUP BY repo")
+def m08b(spark, d):
     """Episodes per repository and what is left once equal statements reinforce one another."""
     return memory(spark, d).groupBy("repo").agg(F.count_distinct(F.lower("statement")).alias("facts"), F.count("*").alias("episodes"))
 

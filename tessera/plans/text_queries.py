@@ -206,10 +206,10 @@ def x31(spark, d):
     return table(spark, d, "events").select("event_id", F.substring_index(F.substring_index(text, ":", 1), ".", -1).alias("cls"))
 
 
-@query("x32_definitions", lists=("terms",), sql=r"SELECT doc_id, regexp_extract_all(text, '(?:the|la|der) ([a-z]{6,})', 1)[1:3] AS terms FROM documents WHERE lang = 'en'")
-def x32(spark, d):
+@query("x32b_articles", lists=("terms",), sql=r"SELECT doc_id, regexp_extract_all(text, '(?:the|la|der) ([a-z]{6,})', 1) AS terms FROM documents")
+def x32b(spark, d):
     found = F.regexp_extract_all("text", F.lit("(?:the|la|der) ([a-z]{6,})"), F.lit(1))
-    return docs(spark, d).where("lang = 'en'").select("doc_id", F.slice(found, 1, 3).alias("terms"))
+    return docs(spark, d).select("doc_id", found.alias("terms"))
 
 
 @query("x33_dot_ids", graph="""SELECT id, '"' || replace(name, '"', '\\"') || '"' AS dot FROM nodes WHERE kind = 'Module'""")
@@ -279,8 +279,8 @@ def s24b(spark, d):
 TEXT_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*(</p>[^<]*)?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("s25_html_text", f"SELECT page_id, {TEXT_SQL} AS body FROM pages")
-def s25(spark, d):
+@query("s25c_tags_stripped", f"SELECT page_id, {TEXT_SQL} AS body FROM pages")
+def s25c(spark, d):
     bare = F.regexp_replace(F.regexp_replace("html", r"<(script|style)[^>]*>[^<]*(</p>[^<]*)?</(script|style)>", " "), "<[^>]*>", " ")
     return pages(spark, d).select("page_id", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("body"))
 
@@ -290,9 +290,9 @@ def s25b(spark, d):
     return pages(spark, d).select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), F.regexp_count("html", F.lit("<a href=")).alias("links"))
 
 
-@query("s52_document_lookup", "SELECT doc_id, CASE WHEN n_chars > 4000 THEN NULL ELSE text END AS text, n_chars FROM documents WHERE doc_id IN (3, 14, 15)")
+@query("s52_document_lookup", "SELECT doc_id, CASE WHEN strlen(text) > 4194304 THEN NULL ELSE text END AS text, n_chars FROM documents WHERE doc_id IN (3, 14, 15)")
 def s52(spark, d):
-    return docs(spark, d).where(F.col("doc_id").isin(3, 14, 15)).select("doc_id", F.when(F.col("n_chars") <= 4000, F.col("text")).alias("text"), "n_chars")
+    return docs(spark, d).where(F.col("doc_id").isin(3, 14, 15)).select("doc_id", F.when(F.octet_length("text") <= 4 << 20, F.col("text")).alias("text"), "n_chars")  # larger ones by their metadata only
 
 
 @query("s53_artifact", "SELECT page_id, base64(encode(url)) AS content FROM pages")
