@@ -171,8 +171,8 @@ def e07(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(hits).alias("rule"))
 
 
-@query("e10_repeated_tasks", "SELECT s_suppkey AS task, r AS repeat, (s_suppkey * 7 + r) % 3 = 0 AS accepted FROM supplier, (SELECT unnest([0, 1, 2]) AS r)")
-def e10(spark, d):
+@query("e10b_task_repeats", "SELECT s_suppkey AS task, r AS repeat, (s_suppkey * 7 + r) % 3 = 0 AS accepted FROM supplier, (SELECT unnest([0, 1, 2]) AS r)")
+def e10b(spark, d):
     rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("task"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("repeat"))
     return rows.select("task", "repeat", ((F.col("task") * 7 + F.col("repeat")) % 3 == 0).alias("accepted"))
 
