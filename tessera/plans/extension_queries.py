@@ -114,3 +114,39 @@ def t06(spark, d):
         counted = write_once(rows.groupBy("what").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")))
     files.delete(hadoop, True)
     return counted
+
+
+# --- document services
+
+
+def served(spark, items, size: int = 20):
+    """``items`` saved as pages of about ``size`` and read back through the source; the pages go when the driver's JVM ends."""
+    from ..sources.paged import read_pages, save_pages
+
+    path = f"{shared_root(spark)}/pages-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    pages = max(1, -(-items.count() // size))
+    save_pages(items, path, pages, F.pmod(F.xxhash64("id"), F.lit(pages)))
+    return read_pages(spark, path)
+
+
+@query("s47_issue_documents", """SELECT 'I-' || conv_id AS id, 'Issue ' || conv_id AS title, CASE WHEN conv_id > 0 THEN 'I-' || (conv_id // 4) END AS parent, sha256(string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY conv_id""")
+def s47(spark, d):
+    """Issues with their parents, from a tracker's pages: a conversation is an issue, its turns are the text."""
+    said = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))).alias("t"))
+    number = lambda c: F.concat(F.lit("I-"), c.cast("string"))
+    items = turns.select(
+        number(F.col("conv_id")).alias("id"), F.concat(F.lit("Issue "), F.col("conv_id").cast("string")).alias("title"),
+        F.array_join(F.transform("t", lambda x: x["said"]), "\n").alias("text"), F.when(F.col("conv_id") > 0, number(F.floor(F.col("conv_id") / 4))).alias("parent"),
+    )
+    return served(spark, items).select("id", "title", "parent", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("s50_service_documents", """SELECT 'doc://' || page_id AS id, url AS title, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS parent, sha256(html) AS text_sha256 FROM pages""")
+def s50(spark, d):
+    """Documents of a service's resources: every page by its address, under its host."""
+    rows = table(spark, d, "pages")
+    items = rows.select(F.concat(F.lit("doc://"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("title"), F.col("html").alias("text"), F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("parent"))
+    return served(spark, items).select("id", "title", "parent", F.sha2("text", 256).alias("text_sha256"))
