@@ -185,18 +185,22 @@ def greedy_band_match(findings: DataFrame, expected: DataFrame, tolerance: int =
 def greedy_pack(blocks: DataFrame, budget: int) -> DataFrame:
     """(group, rank, kept): in rank order a block is kept if it still fits, and skipped, not stopped at, otherwise.
 
-    ``blocks`` has (group, rank, size). The running total depends on what was kept, so a
-    running sum isn't the same; a group is one fold over its sorted blocks.
+    ``blocks`` has (group, rank, size); blocks of one rank go by size. The running total depends
+    on what was kept, so a running sum isn't the same and a group is sequential by definition:
+    its sorted blocks stream through one task, which holds the total and nothing else.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "size")))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<rank:long,kept:boolean>>").alias("out"))
-
-    def step(acc, b):
-        fits = acc["used"] + b["size"] <= budget
-        return F.struct(
-            F.when(fits, acc["used"] + b["size"]).otherwise(acc["used"]).alias("used"),
-            F.concat(acc["out"], F.array(F.struct(b["rank"].alias("rank"), fits.alias("kept")))).alias("out"),
-        )
-
-    folded = blocks.groupBy("group").agg(ordered.alias("b")).select("group", F.aggregate("b", start, step)["out"].alias("o"))
-    return folded.select("group", F.explode("o").alias("x")).select("group", "x.rank", "x.kept")
+
+    def stream(frames):
+        group, used, begun = None, 0, False
+        for f in frames:
+            kept = []
+            for g, size in zip(f["group"], f["size"]):
+                if not begun or g != group:
+                    group, used, begun = g, 0, True
+                fits = used + size <= budget
+                used += size if fits else 0
+                kept.append(bool(fits))
+            yield f[["group", "rank"]].assign(kept=kept)
+
+    kind = blocks.schema["group"].dataType.simpleString()
+    return blocks.select("group", "rank", "size").repartition("group").sortWithinPartitions("group", "rank", "size").mapInPandas(stream, f"group {kind}, rank long, kept boolean")

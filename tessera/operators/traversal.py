@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_root(spark) -> str:
@@ -153,3 +154,14 @@ def strong_components(hops: DataFrame) -> DataFrame:
             same.join(settled.withColumnRenamed("node", "a"), "a", "left_anti").join(settled.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
         )
     return found if found is not None else hops.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+
+
+def positions(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` in ``order`` with ``position``, from 0, over all of them: each part is numbered by itself and moved by what stands in those before it.
+
+    Written once, as the parts of a sort are only known when it has run. The offsets are a row a part.
+    """
+    parts = write_once(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return parts.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")

@@ -797,9 +797,9 @@ def w18(spark, d):
 def w07(spark, d):
     rows = N.edges_of_kind(facts(spark, d), "IMPLEMENTS").select("src", "dst", "seq")
     n = rows.count()
-    # every k-th of the sorted rows: positions come from per-partition counts, not from one window
-    ranked = rows.orderBy("src", "dst", "seq").rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF("src string, dst string, seq long, rn long")
-    return ranked.where(F.col("rn") % max(1, n // 20) == 0).orderBy("rn").limit(20).select("src", "dst")
+    # every k-th of the sorted rows
+    ranked = T.positions(rows, "src", "dst", "seq")
+    return ranked.where(F.col("position") % max(1, n // 20) == 0).orderBy("position").limit(20).select("src", "dst")
 
 
 # --- set operations and hierarchy rollups

@@ -221,14 +221,23 @@ def t01b(spark, d):
     return S.drain(S.windowed(stream(spark, d)), name(), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("t03_rate_limit")
+#: A bucket of two tokens, refilled by elapsed time, folded over each user's events.
+BUCKETS = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts)::DOUBLE AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    f AS (SELECT user_id, event_id, r, now AS last, 1.0::DOUBLE AS tokens, true AS allowed, 0.0::DOUBLE AS retry FROM e WHERE r = 1
+        UNION ALL SELECT user_id, event_id, r, greatest(last, now), CASE WHEN level >= 1 THEN level - 1 ELSE level END, level >= 1, CASE WHEN level >= 1 THEN 0.0 ELSE (1 - level) / 0.000025::DOUBLE END
+        FROM (SELECT e.*, f.last, least(2.0::DOUBLE, f.tokens + greatest(0.0::DOUBLE, e.now - f.last) * 0.000025::DOUBLE) AS level FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))"""
+
+
+@query("t03_rate_limit", f"{BUCKETS} SELECT user_id, event_id, allowed, round(retry, 3) AS retry_after FROM f")
 def t03(spark, d):
-    return S.drain(S.rate_limited(stream(spark, d), 2, 1 / 40_000), name())
+    return S.drain(S.rate_limited(stream(spark, d), 2, 1 / 40_000), name()).withColumn("retry_after", F.round("retry_after", 3))
 
 
-@query("t04_bucket_per_key", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+@query("t04_bucket_per_key", f"{BUCKETS} SELECT user_id, count(*) AS n, count(*) FILTER (allowed) AS allowed, round(max(retry), 3) AS longest_wait FROM f GROUP BY user_id")
 def t04(spark, d):
-    return S.drain(S.rate_limited(stream(spark, d), 2, 1 / 40_000), name()).groupBy("user_id").agg(F.count("*").alias("n"))
+    """Each user's own bucket: how many of the events it let through, and the longest wait it asked for."""
+    taken = S.drain(S.rate_limited(stream(spark, d), 2, 1 / 40_000), name())
+    return taken.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"), F.round(F.max("retry_after"), 3).alias("longest_wait"))
 
 
 @query("t07_timeout_sweep", "SELECT event_id AS pk FROM events WHERE event_type = 'view' AND epoch(TIMESTAMP '2024-01-20 00:00:00') - floor(epoch(ts)) >= CAST(json_extract(props, '$.k') AS BIGINT) * 1000")

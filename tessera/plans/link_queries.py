@@ -477,7 +477,10 @@ def j66(spark, d):
     return own.join(n, "id", "left").fillna(0, ["served", "called", "docs"])
 
 
-@query("w24_greedy_budget")
+@query("w24_greedy_budget", """WITH RECURSIVE b AS (SELECT l_orderkey AS g, CAST(l_linenumber AS BIGINT) AS rank, CAST(l_quantity AS BIGINT) AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS BIGINT)) AS r FROM lineitem),
+    f AS (SELECT DISTINCT g, 0::BIGINT AS r, 0::BIGINT AS used, NULL::BIGINT AS rank, NULL::BOOLEAN AS kept FROM b
+        UNION ALL SELECT f.g, b.r, CASE WHEN used + size <= 60 THEN used + size ELSE used END, b.rank, used + size <= 60 FROM f JOIN b ON b.g = f.g AND b.r = f.r + 1)
+    SELECT g AS "group", rank, kept FROM f WHERE r > 0""")
 def w24(spark, d):
     blocks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_linenumber").cast("long").alias("rank"), F.col("l_quantity").cast("long").alias("size"))
     return L.greedy_pack(blocks, 60)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -312,24 +314,27 @@ def patches(li, patch_id="l_orderkey"):
 def added_lines(p):
     """(patch_id, line_no, content) of added lines; a hunk header resets the count, removed lines don't advance it.
 
-    A patch is one array, so the count is a fold over it and nothing is shuffled.
+    A patch is read once, line by line, where it stands: linear in its lines, and nothing is shuffled.
     """
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<line_no:long,content:string>>").alias("out"))
-
-    def step(acc, line):
-        header = F.rlike(line, F.lit(r"^@@ -\d+(,\d+)? \+\d+"))
-        begin = F.regexp_extract(line, r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).try_cast("long")
-        added, removed = line.startswith("+"), line.startswith("-")
-        new = F.array(F.struct(acc["at"].alias("line_no"), F.substring(line, 2, 1 << 30).alias("content")))
-        return (
-            F.when(header, F.struct(begin.alias("at"), acc["out"].alias("out")))
-            .when(added, F.struct((acc["at"] + 1).alias("at"), F.concat(acc["out"], new).alias("out")))
-            .when(removed, acc)
-            .otherwise(F.struct((acc["at"] + 1).alias("at"), acc["out"].alias("out")))
-        )
-
-    folded = F.aggregate(F.split("patch", "\n"), start, step)
-    return p.select("patch_id", F.explode(folded["out"]).alias("l")).select("patch_id", "l.line_no", "l.content")
+    header = re.compile(r"@@ -\d+(?:,\d+)? \+(\d+)")
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for patch_id, patch in zip(f["patch_id"], f["patch"]):
+                at = 0
+                for line in (patch or "").split("\n"):
+                    if found := header.match(line):
+                        at = int(found[1])
+                        continue
+                    if line.startswith("+"):
+                        out.append((patch_id, at, line[1:]))
+                    at += not line.startswith("-")
+            yield pd.DataFrame(out, columns=["patch_id", "line_no", "content"])
+
+    return p.select("patch_id", "patch").mapInPandas(run, f"patch_id {p.schema['patch_id'].dataType.simpleString()}, line_no long, content string")
 
 
 @query("s57_added_lines", "SELECT l_orderkey * 8 + l_linenumber AS patch_id, l_orderkey % 70 + 2 AS line_no, 'added ' || CAST(l_partkey AS STRING) AS content FROM lineitem UNION ALL SELECT l_orderkey * 8 + l_linenumber, l_orderkey % 70 + 3, 'last ' || CAST(l_suppkey AS STRING) FROM lineitem")
