@@ -211,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
 class SetCache:
     """Shingle sets of texts, made when asked for; all are dropped once ``most`` shingles are held."""
 
-    def __init__(self, width: int, most: int = 4_000_000) -> None:
+    def __init__(self, width: int, most: int = 2_000_000) -> None:
         self.width, self.most = width, most
         self.hashes, self.sets, self.held = WordHashes(), {}, 0
 
@@ -234,7 +234,8 @@ def near_pairs(own: list[np.ndarray], percent: int, slice_size: int = 1_000_000)
     """
     size = np.array([len(s) for s in own], np.int64)
     slices = int(size.sum()) // slice_size + 1
-    inter = np.zeros((len(own), len(own)), np.int64)
+    exact = np.float32 if size.max(initial=0) < 1 << 24 else np.float64  # whole numbers of that size
+    inter = np.zeros((len(own), len(own)), exact)
     step = max(64, (16 << 20) // (4 * len(own)))
     for k in range(slices):
         part_of = own if slices == 1 else [s[s % s.dtype.type(slices) == k] for s in own]
@@ -248,8 +249,14 @@ def near_pairs(own: list[np.ndarray], percent: int, slice_size: int = 1_000_000)
             low, high = np.searchsorted(column, [at, at + step])
             part = np.zeros((len(own), step), np.float32)
             part[row[low:high], column[low:high] - at] = 1
-            inter += (part @ part.T).astype(np.int64)
-    return np.nonzero(np.triu(100 * inter >= percent * (size[:, None] + size[None, :] - inter), 1))
+            inter += part @ part.T
+    found = []
+    for at in range(0, len(own), 128):  # whole numbers for a few rows at a time
+        both = inter[at : at + 128].astype(np.int64)
+        a, b = np.nonzero(100 * both >= percent * (size[at : at + 128, None] + size[None, :] - both))
+        found.append((a + at, b))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a[a < b], b[a < b]
 
 
 class NearDuplicates:
