@@ -66,18 +66,24 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     assert P.run(spark, folder).count() == 0
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     for name, query in Q.queries().items():
         assert query(spark, folder).count() == (1 if name.startswith("op4") else 0), name
 
 
 def test_one_query_an_operator():
     names = sorted(Q.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert os.path.basename(P.__file__) == "corpus_pipeline.py"
 
 
-def test_extra_columns_are_no_matter(spark):
+def test_extra_columns_are_no_matter(spark, tmp_path):
     clash = frame(spark, [(1, words(1, 80)), (2, words(1, 80)), (3, None)])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    judged = P.quality_stage(spark, clash, str(tmp_path))
+    assert judged.columns == clash.columns and {r.doc_id for r in judged.select("doc_id").collect()} == {1, 2}
+    assert {r.doc_id for r in P.packing_stage(spark, clash, "").select("doc_id").collect()} == {1, 2, 3}
     assert P.exact_stage(spark, clash, "").count() == 2
     assert P.near_stage(spark, clash, "").count() == 2
     assert P.mixing_stage(spark, clash, "").columns == clash.columns

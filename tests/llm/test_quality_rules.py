@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.quality_rules import log_ratios, quality_rules
@@ -61,6 +62,42 @@ def test_ratios_are_counts(spark):
     assert len(ratios) == 64 and max(ratios) > 0 > min(ratios)
 
 
+def plain_buckets(text, buckets):
+    """Buckets of tokens and of neighbours, hashed by the xxhash library with Spark's seed."""
+    import struct
+
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    hashes = [signed(xxhash.xxh64(t.encode(), seed=42).intdigest()) for t in re.findall(r"\w+|[^\w\s]+", text or "")]
+    long = lambda x, seed: xxhash.xxh64(struct.pack("<q", x), seed=seed & (1 << 64) - 1).intdigest()
+    pairs = [signed(long(b, long(a, 42))) for a, b in zip(hashes, hashes[1:])]
+    return [h % buckets for h in hashes + pairs]
+
+
+@pytest.mark.parametrize("buckets", [16, 5_000])
+def test_ratios_by_brute_force(spark, buckets):
+    """llr and kept of every text are those of plain counts over all texts."""
+    import math
+
+    texts = [words(k, 70 + k, "w" if k % 3 else "v") for k in range(24)] + ["a***b###c " * 30, "", None, "one", words(2, 70)]
+    rows = list(enumerate(texts))
+    trusted = {k for k, _ in rows if k % 4 == 0}
+    raw, target, of = Counter(), Counter(), {}
+    for k, text in rows:
+        of[k] = plain_buckets(text, buckets)
+        raw.update(of[k])
+        target.update(of[k] if k in trusted else [])
+    share = sum(target.values()) / sum(raw.values())
+    lift = {b: (target[b] + 5) / (raw[b] * share + 5) for b in raw}
+    whole = sum(raw[b] * lift[b] for b in raw) / sum(raw.values())
+    want = {k: sum(math.log(lift[b] / whole) for b in of[k]) / len(of[k]) if of[k] else 0.0 for k in of}
+    got = quality_rules(frame(spark, rows), spark.createDataFrame([(k,) for k in trusted], "doc_id long"), buckets=buckets).select("doc_id", "quality.*").collect()
+    for r in got:
+        assert r.llr == pytest.approx(want[r.doc_id], abs=1e-9), r.doc_id
+        assert r.kept == (not r.base_failed and want[r.doc_id] >= -0.25)
+
+
 def test_no_python_in_the_plan(spark):
     plan = quality_rules(frame(spark, [(1, "a")]), spark.createDataFrame([(1,)], "doc_id long"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
