@@ -51,3 +51,26 @@ def flat_text(nodes: DataFrame, text: str = "text") -> DataFrame:
     rows = reading_order(nodes).where("place IS NOT NULL")
     whole = rows.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("place", text))).alias("b"), F.max("depth").alias("deepest"))
     return whole.select("tree", F.array_join(F.transform("b", lambda x: F.coalesce(x[text], F.lit(""))), "\n").alias("text"), F.size("b").alias("blocks"), "deepest")
+
+
+def nested_json(nodes: DataFrame) -> DataFrame:
+    """(tree, json): each tree's JSON, put together from the leaves up, a level a round.
+
+    ``nodes`` (tree, id, parent, depth, rank, head, tail): a node is written as its head, its
+    children by rank with commas between them, and its tail; depth is 0 at the one root. There
+    are as many rounds as the deepest node has ancestors, over the rows of one level each.
+    """
+    rows = write_once(nodes.select("tree", "id", "parent", "depth", "rank", "head", "tail"))
+    deepest = rows.agg(F.max("depth")).first()[0]
+    below = None
+    for depth in range(deepest or 0, -1, -1):
+        level = rows.where(F.col("depth") == depth)
+        inner = F.lit("")
+        if below is not None:
+            held = below.groupBy("tree", F.col("parent").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "json"))).alias("c"))
+            level = level.join(held, ["tree", "id"], "left")
+            inner = F.coalesce(F.array_join(F.transform("c", lambda x: x["json"]), ","), F.lit(""))
+        below = level.select("tree", "parent", "rank", F.concat("head", inner, "tail").alias("json"))
+        if depth:
+            below = write_once(below)
+    return below.select("tree", "json")

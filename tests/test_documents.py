@@ -160,3 +160,55 @@ def test_pages_are_read_by_range(spark, tmp_path):
     opened = [{i for b in reader.read(p) for i in b.column(0).to_pylist()} for p in parts]
     assert sum(map(len, opened)) == 53 and not opened[0] & opened[1]  # a task that is lost re-reads its own pages only
     assert PagedReader(str(tmp_path), 3).partitions() == []
+
+
+def block(text):
+    """A document's rows put together as the operator does."""
+    import json
+
+    from tessera.sources.richtext import block_rows
+
+    rows = block_rows(text)
+    inner = lambda i: ",".join(h + inner(k) + t for k, p, _, _, h, t in rows if p == i)
+    assert all(p is None or p < i for i, p, *_ in rows)
+    return json.loads("".join(h + inner(i) + t for i, p, _, _, h, t in rows if p is None))["content"]
+
+
+def shape(nodes):
+    """Kinds and texts only."""
+    return [n.get("text") if n["type"] == "text" else (n["type"], shape(n.get("content", []))) for n in nodes]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (None, [("paragraph", [])]),
+        (" \n\r\n", [("paragraph", [])]),
+        ("a\n b\n\nc", [("paragraph", ["a", ("hardBreak", []), "b"]), ("paragraph", ["c"])]),
+        ("## T `x` **y** [l](http://a) http://b\n---", [("heading", ["T ", "x", " ", "y", " ", "l", " ", "http://b"]), ("rule", [])]),
+        ("```Py\n- a\n\n# b\n```\nc", [("codeBlock", ["- a\n\n# b"]), ("paragraph", ["c"])]),
+        ("~~~ a~b\nopen", [("paragraph", ["~~~ a~b", ("hardBreak", []), "open"])]),
+        ("> q\n> - i\n>\n", [("blockquote", [("paragraph", ["q"]), ("bulletList", [("listItem", [("paragraph", ["i"])])])])]),
+        ("- a\n    - b\n  - c\n- d\n1. e", [("bulletList", [("listItem", [("paragraph", ["a"]), ("bulletList", [("listItem", [("paragraph", ["b"])])])]), ("listItem", [("paragraph", ["c"])]), ("listItem", [("paragraph", ["d"])])]), ("orderedList", [("listItem", [("paragraph", ["e"])])])]),
+        ("|a|b|\n|--|--|\n|1|\nend", [("table", [("tableRow", [("tableHeader", [("paragraph", ["a"])]), ("tableHeader", [("paragraph", ["b"])])]), ("tableRow", [("tableCell", [("paragraph", ["1"])]), ("tableCell", [("paragraph", [])])])]), ("paragraph", ["end"])]),
+        ("snake_case_name and *.py or **/*.md", [("paragraph", ["snake_case_name and *.py or **/*.md"])]),
+    ],
+)
+def test_rich_text_blocks(text, want):
+    assert shape(block(text)) == want
+
+
+def test_rich_text_marks_and_levels(spark):
+    import json
+
+    from tessera.sources.richtext import markdown_json
+
+    rows = spark.createDataFrame([(1, "### h\n```sql\nx\n```\n`c` [t](u)"), (2, None), (3, "- " + "\n".join("  " * k + f"- l{k}" for k in range(12)))], "tree long, text string")
+    got = {r.tree: json.loads(r.json) for r in markdown_json(rows).collect()}
+    head, code, text = got[1]["content"]
+    assert (head["attrs"], code["attrs"]) == ({"level": 3}, {"language": "sql"})
+    assert [n.get("marks") for n in text["content"]] == [[{"type": "code"}], None, [{"type": "link", "attrs": {"href": "u"}}]]
+    assert got[2] == {"type": "doc", "version": 1, "content": [{"type": "paragraph", "content": []}]}
+    for r in rows.collect():
+        assert got[r.tree]["content"] == block(r.text)
+    assert markdown_json(spark.createDataFrame([], "tree long, text string")).count() == 0
