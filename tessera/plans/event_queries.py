@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.running import running_sum
 from ..sources.fact_tables import audit
 from .registry import query
 
@@ -128,14 +129,14 @@ def d39(spark, d):
 
 @query("d48_running_cost", audit="SELECT pk, resource_id, round(sum(greatest(cost, 0)) OVER (PARTITION BY resource_id ORDER BY ts, pk), 6) AS spent FROM audit")
 def d48(spark, d):
-    order = Window.partitionBy("resource_id").orderBy("ts", "pk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return audit(spark, d).select("pk", "resource_id", F.round(F.sum(F.greatest("cost", F.lit(0.0))).over(order), 6).alias("spent"))
+    rows = audit(spark, d).select("pk", "resource_id", "ts", "cost")
+    return running_sum(rows, "resource_id", ("ts", "pk"), F.greatest("cost", F.lit(0.0))).select("pk", "resource_id", F.round("total", 6).alias("spent"))
 
 
 @query("t08_circuit_breaker", audit="SELECT pk, coalesce(sum(cost) OVER (PARTITION BY resource_id ORDER BY ts, pk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 200 AS refused FROM audit")
 def t08(spark, d):
-    order = Window.partitionBy("resource_id").orderBy("ts", "pk").rowsBetween(Window.unboundedPreceding, -1)
-    return audit(spark, d).select("pk", (F.coalesce(F.sum("cost").over(order), F.lit(0.0)) >= 200).alias("refused"))
+    rows = audit(spark, d).select("pk", "resource_id", "ts", "cost")
+    return running_sum(rows, "resource_id", ("ts", "pk"), F.col("cost"), before=True).select("pk", (F.round("total", 6) >= 200).alias("refused"))
 
 
 @query("t02_tail_batch", audit="SELECT pk FROM audit WHERE ts > TIMESTAMP '2024-01-10 00:00:00' AND tenant_id = 't1' ORDER BY ts, pk LIMIT 200")

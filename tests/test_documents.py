@@ -212,3 +212,18 @@ def test_rich_text_marks_and_levels(spark):
     for r in rows.collect():
         assert got[r.tree]["content"] == block(r.text)
     assert markdown_json(spark.createDataFrame([], "tree long, text string")).count() == 0
+
+
+def test_running_sums_over_a_hot_key(spark):
+    from tessera.operators.running import running_sum
+
+    rows = [("hot", k, float(k % 7), "x") for k in range(3000)] + [(None, 1, 2.0, "x"), (None, 2, None, "x"), ("one", 5, 1.5, "x")]
+    df = spark.createDataFrame(rows, "k string, t long, v double, _t string").repartition(5)
+    got = {(r.k, r.t): (r.total, r._t) for r in running_sum(df, "k", ("t",), F.col("v")).collect()}
+    before = {(r.k, r.t): r.total for r in running_sum(df, "k", ("t",), F.col("v"), before=True).collect()}
+    want, total = {}, {}
+    for k, t, v, x in rows:
+        assert before[k, t] == total.get(k, 0.0)
+        total[k] = total.get(k, 0.0) + (v or 0.0)
+        want[k, t] = (total[k], x)
+    assert got == want
