@@ -24,17 +24,19 @@ def shared_root(spark) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written once to the session's shared folder and read from there: computed once, and a lost executor costs a re-read.
-
-    What is written goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/walk-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch(spark, label: str) -> str:
+    """A new folder's path in the session's shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Written once to the session's shared folder and read from there: computed once, and a lost executor costs a re-read."""
+    path = scratch(df.sparkSession, "walk")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: For rows that are dear to make and read more than once.

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..operators.traversal import scratch
 from ..sources import code
 from ..sources.fact_tables import TABLES, audit, read_table
 from .event_queries import PARITY, VERSIONS, parity, versions
@@ -123,8 +123,7 @@ def s45(spark, d):
 @query("s55_run_files", "SELECT event_id, event_type AS status FROM events")
 def s55(spark, d):
     """Run records written as JSON and read by schema: fields it doesn't name are dropped."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{named.rstrip('/')}/runs-{uuid.uuid4().hex}"
+    path = scratch(spark, "runs")
     table(spark, d, "events").select("event_id", F.col("event_type").alias("status"), "value").write.json(path)
     return spark.read.schema("event_id long, status string").json(path)
 

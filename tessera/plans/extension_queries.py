@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import contracts
-from ..operators.traversal import shared_root, write_once
+from ..operators.traversal import scratch, write_once
 from ..sources import code
 from ..streaming import tail
 from ..streaming.progress import ProgressRows
@@ -101,18 +101,14 @@ def e10(spark, d):
 def t06(spark, d):
     """Every batch of a stream over the events as its listener saw it, added up; the table comes in a file for each remainder of its ids."""
     name = f"progress_{uuid.uuid4().hex}"
-    source = f"{shared_root(spark)}/events-{name}"
+    source = scratch(spark, "events")
     events = table(spark, d, "events")
     events.withColumn("part", F.col("event_id") % 8).repartition("part").write.partitionBy("part").parquet(source)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.deleteOnExit(hadoop)
     with ProgressRows(spark, name) as reports:
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
         tail.drain(stream.select("event_id"), name)
         rows = reports.rows().where("what <> 'idle' AND (what <> 'progress' OR rows > 0)")
         counted = write_once(rows.groupBy("what").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")))
-    files.delete(hadoop, True)
     return counted
 
 
@@ -123,9 +119,7 @@ def served(spark, items, size: int = 20):
     """``items`` saved as pages of about ``size`` and read back through the source; the pages go when the driver's JVM ends."""
     from ..sources.paged import read_pages, save_pages
 
-    path = f"{shared_root(spark)}/pages-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    path = scratch(spark, "pages")
     pages = max(1, -(-items.count() // size))
     save_pages(items, path, pages, F.pmod(F.xxhash64("id"), F.lit(pages)))
     return read_pages(spark, path)

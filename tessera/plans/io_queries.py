@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import neighbours as N
+from ..operators.traversal import scratch
 from ..sources import code, exports
 from ..sources.fact_tables import facts
 from ..streaming import tail as S
@@ -139,8 +140,7 @@ def s60(spark, d):
 @query("k01_round_trip", graph="SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
 def k01(spark, d):
     """Facts saved and loaded again, in the session's shared folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{named.rstrip('/')}/facts-{uuid.uuid4().hex}"
+    path = scratch(spark, "facts")
     exports.save(facts(spark, d), path)
     back = exports.load(spark, path)
     return back.nodes.agg(F.count("*").alias("nodes")).join(back.edges.agg(F.count("*").alias("edges")))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.rules import gap_findings
+from ..operators.traversal import scratch
 from ..operators.resolve import package_placeholders, resolve_includes, resolve_types, unique_basenames
 from ..sources import code, exports, orm, stores, web
 from ..sources.fact_tables import facts
@@ -93,15 +92,10 @@ def s37(spark, d):
     return spark.createDataFrame([(done, "ALREADY_EXISTS" in error)], "done long, failed boolean")
 
 
-def shared_folder(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s38_saved_edges", graph="SELECT src, dst, line FROM edges WHERE kind = 'IMPORTS'")
 def s38(spark, d):
     """One kind of saved facts: only its files are opened."""
-    path = shared_folder(spark, "facts")
+    path = scratch(spark, "facts")
     exports.save(facts(spark, d), path)
     return exports.load(spark, path).edges.where("kind = 'IMPORTS'").select("src", "dst", "line")
 
@@ -111,7 +105,7 @@ def s39(spark, d):
     def never():
         raise AssertionError("saved facts are built again")
 
-    folder = shared_folder(spark, "cache")
+    folder = scratch(spark, "cache")
     _, first = stores.load_or_build(spark, folder, "c0ffee", "v1", lambda: facts(spark, d))
     again, second = stores.load_or_build(spark, folder, "c0ffee", "v1", never)
     return again.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumns({"first_hit": F.lit(first), "second_hit": F.lit(second)})

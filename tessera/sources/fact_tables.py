@@ -156,14 +156,16 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
 
-_SCHEMAS: dict[str, StructType] = {}
+_SCHEMAS: dict[tuple[str, int], StructType] = {}
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; its schema is asked of the files once, as that takes a job of its own."""
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A Parquet table; its schema is asked of the files once for each time that they change, as that takes a job of its own."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    changed = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).getModificationTime()
+    if (path, changed) not in _SCHEMAS:
+        _SCHEMAS[path, changed] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path, changed]).parquet(path)
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
