@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,10 @@ def scratch_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: The folder of each table that :func:`materialise` wrote.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and return a reader of it.
 
@@ -68,4 +73,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[saved] = path
+    return saved
+
+
+def release(*saved: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote, once nothing that is still to be computed reads them.
+
+    Spark deletes the files of finished shuffles when the driver collects its garbage, which a
+    driver with little to do puts off; so that is asked for here.
+    """
+    for df in saved:
+        jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        hadoop = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
+        hadoop.getFileSystem(jsc.hadoopConfiguration()).delete(hadoop, True)
+    if saved:
+        jvm.System.gc()

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, spread
+from .common import materialise, release, spread
 
 BASE = 1.001
 RATE = 20.0
@@ -204,7 +204,8 @@ def components(edges: DataFrame) -> DataFrame:
         # every node now hangs under smaller ones: small-star links them to the smallest
         low = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("k"))
         small = join_in_parts(large, low, "b", "a", "k", 2 * after[0]).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e"))
-        now = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        now, old = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "edges"), now
+        release(old, large)
     return now.groupBy("b").agg(F.min("a").alias("label")).select(F.col("b").alias("node"), "label")
 
 
@@ -462,14 +463,17 @@ def near_duplicates(
     """
     plan = NearDuplicates(percent, bands, rows, width, block)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
-    sets = materialise(_sets(spread(own), bands * rows, width), "sets")
+    sketches = materialise(_sets(spread(own), bands * rows, width), "sketches")
+    sets = materialise(sketches.select("id", "n", "d1", "d2"), "sets")
     classes = materialise(
-        sets.where("n > 0")
+        sketches.where("n > 0")
         .groupBy("d1", "d2", "n")
         .agg(F.min("id").alias("rep_id"), F.first("registers").alias("registers"))
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
+    names = materialise(classes.select("node", "d1", "d2", "n", "rep_id"), "names")
+    release(sketches)
 
     # hubs of buckets that hold several classes
     keys = plan.keys(classes)
@@ -478,9 +482,10 @@ def near_duplicates(
     stars = materialise(
         crowd.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "stars"
     )
+    release(hubs)
 
     # texts of the classes that stand in such buckets, once
-    wanted = crowd.select("node").distinct().join(classes.select("node", "rep_id", "d1", "d2"), "node")
+    wanted = crowd.select("node").distinct().join(names.select("node", "rep_id", "d1", "d2"), "node")
     cut = width
 
     def same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -544,6 +549,7 @@ def near_duplicates(
     # buckets that still hold several components, across components; a pair with the hub has been tried
     members = materialise(labelled(crowd.where("k > 2").select("key", "node", "k"), "node", "label"), "members")
     ends = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("low"), F.max("label").alias("high"))
+    release(crowd, stars, classes)
     small, large = (members.where(which).select("key", "node", "label") for which in (F.col("k") <= block, F.col("k") > block))
     # a small bucket is one piece of work
     work = small.join(ends(small).where("low < high").select("key"), "key").select("key", "node", "label", F.lit(1).alias("blocks"))
@@ -557,9 +563,10 @@ def near_duplicates(
         if not last.isEmpty():
             edges = edges.union(last)
             labels = materialise(components(edges), "labels")
+    release(texts, members, open_rows)
 
     # the smallest id of each component, back to all rows
-    named = labelled(classes.select("node", "d1", "d2", "n", "rep_id"), "node", "label")
+    named = labelled(names, "node", "label")
     smallest = named.groupBy("label").agg(F.min("rep_id").alias("component_id"))
     by_set = named.join(smallest, "label").select("d1", "d2", "component_id", (F.col("node") == F.col("label")).alias("leads"))
     # an empty set is nobody's: a left join on a null digest leaves it alone
