@@ -8,6 +8,7 @@ be long; short bounded walks stay one plan.
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +33,24 @@ def scratch(spark, label: str) -> str:
     return path
 
 
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Written once to the session's shared folder and read from there: computed once, and a lost executor costs a re-read."""
     path = scratch(df.sparkSession, "walk")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    saved = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[saved] = path
+    return saved
+
+
+def drop_saved(*saved: DataFrame) -> None:
+    """Delete what :data:`write_once` wrote, once nothing that is still to be computed reads it."""
+    for df in saved:
+        sc = df.sparkSession.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
+        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 #: For rows that are dear to make and read more than once.
@@ -105,7 +119,8 @@ def acyclic_leftover(hops: DataFrame) -> DataFrame:
         sources = left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")), "id", "left_anti")
         if sources.isEmpty():
             return left.select(F.col("a").alias("id")).union(left.select(F.col("b").alias("id"))).distinct()
-        left = _cut(left.join(sources.select(F.col("id").alias("a")), "a", "left_anti"))
+        left, old = _cut(left.join(sources.select(F.col("id").alias("a")), "a", "left_anti")), left
+        drop_saved(old)
 
 
 def strong_components(hops: DataFrame) -> DataFrame:

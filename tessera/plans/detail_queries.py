@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators.traversal import scratch
-from ..sources import code
-from ..sources.fact_tables import TABLES, audit, read_table
+from ..sources import code, stores
+from ..sources.fact_tables import TABLES, audit, facts, read_table
 from .event_queries import PARITY, VERSIONS, parity, versions
-from .io_queries import GOOD, python_files, sql_files, table
+from .io_queries import FILLED, GOOD, python_files, sql_files, table
 from .link_queries import REVIEWED, j29
 from .registry import query
 
@@ -40,9 +42,13 @@ def s01(spark, d):
     return table(spark, d, "documents").select("doc_id", code.first_party(path).alias("scanned"))
 
 
-@query("s03_front_ends", "SELECT s AS suffix, s IN ('.py', '.sql') AS ready FROM (SELECT unnest(['.py', '.sql', '.java', '.ts', '.js', '.cs', '.c', '.h', '.cpp', '.go']) AS s)")
+@query("s03_front_ends", graph="SELECT regexp_extract(file, '[.][^./]+$') AS suffix, regexp_extract(file, '[.][^./]+$') IN ('.py', '.sql') AS ready, count(DISTINCT file) AS files, count(*) AS nodes FROM nodes WHERE file IS NOT NULL GROUP BY 1, 2")
 def s03(spark, d):
-    return spark.createDataFrame(list(code.capabilities().items()), "suffix string, ready boolean")
+    """Files of the graph by suffix, and whether a front-end reads them."""
+    can = spark.createDataFrame(list(code.capabilities().items()), "suffix string, can boolean")
+    files = facts(spark, d).nodes.where("file IS NOT NULL").groupBy("file").agg(F.count(F.lit(1)).alias("nodes"))
+    by_suffix = files.groupBy(F.regexp_extract("file", r"[.][^./]+$", 0).alias("suffix")).agg(F.count(F.lit(1)).alias("files"), F.sum("nodes").alias("nodes"))
+    return by_suffix.join(F.broadcast(can), "suffix", "left").select("suffix", F.coalesce("can", F.lit(False)).alias("ready"), "files", "nodes")
 
 
 @query("s16_view_reads", listed(["sql:v#|sql:t#|READS", "sql:v#|sql:regions|READS"], NATIONS))
@@ -79,10 +85,11 @@ def e13(spark, d):
     return found.select(F.substring_index("id", ":", 1).alias("language"), "kind").distinct()
 
 
-@query("s33_introspect", f"SELECT DISTINCT table_name AS t, column_name AS c FROM information_schema.columns WHERE table_name IN {tuple(TABLES)}")
+@query("s33_introspect", " UNION ALL ".join(FILLED.format(t) for t in TABLES))
 def s33(spark, d):
-    """Tables and columns as their own metadata has them; no row is read."""
-    return spark.createDataFrame([(t, c) for t in TABLES for c in read_table(spark, f"{d}/{t}.parquet").columns], "t string, c string")
+    """Tables and columns as their own metadata has them, with the rows that hold a value."""
+    found = [stores.filled_columns(read_table(spark, f"{d}/{t}.parquet")).select(F.lit(t).alias("t"), "c", "filled") for t in TABLES]
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- documents and records

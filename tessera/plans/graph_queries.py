@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import hierarchy as H
 from ..operators import neighbours as N
 from ..operators import traversal as T
+from ..operators.communities import label_propagation
 from ..sources.fact_tables import EDGE_KINDS, NODE_KINDS, facts
 from .registry import query
 
@@ -990,45 +991,6 @@ def g09(spark, d):
     return total.join(F.broadcast(squares)).select(F.round(F.col("inside") / F.col("m2") - F.col("ss") / (F.col("m2") * F.col("m2")), 9).alias("q"))
 
 
-def label_propagation(u, max_passes=20):
-    """(node, community): asynchronous label propagation, nodes in sorted order, ties to the least label.
-
-    Each visit reads the labels that the visits before it wrote, but labels never leave a
-    connected component: a component is one group. Communities are numbered by their least node.
-    """
-
-    def run(pdf):
-        import pandas as pd
-
-        near = {}
-        for a, b, w in zip(pdf.a, pdf.b, pdf.weight):
-            near.setdefault(a, {})[b] = w
-        label = {n: n for n in near}
-        for _ in range(max_passes):
-            moved = False
-            for n in sorted(near):
-                votes = {}
-                for other, w in near[n].items():
-                    votes[label[other]] = votes.get(label[other], 0) + w
-                best = min(votes, key=lambda c: (-votes[c], c))
-                if best != label[n]:
-                    label[n], moved = best, True
-            if not moved:
-                break
-        first = {}
-        for n in sorted(near):
-            first.setdefault(label[n], n)
-        return pd.DataFrame({"node": sorted(near), "first": [first[label[n]] for n in sorted(near)]})
-
-    u = T._cut(u)
-    part = T.strong_components(u).withColumnRenamed("node", "a")  # both directions are there, so these are the connected ones
-    # a node with no neighbour but itself is in none of them
-    grouped = u.join(part, "a", "left").withColumn("component", F.coalesce("component", "a"))
-    rows = T._cut(grouped.groupBy("component").applyInPandas(run, "node string, first string"))
-    order = rows.select("first").distinct().sort("first").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return rows.join(u.sparkSession.createDataFrame(order, "first string, community long"), "first").select("node", "community")
-
-
 @query("g08_communities")
 def g08(spark, d):
     return label_propagation(undirected(coupling(facts(spark, d))))

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from ..operators import neighbours as N
 from ..operators.traversal import scratch
-from ..sources import code, exports
+from ..sources import code, exports, stores
 from ..sources.fact_tables import facts
 from ..streaming import tail as S
 from .registry import query
 
 
+#: Oracle of the columns of a table and the rows that hold a value in each.
+FILLED = r"""SELECT '{0}' AS t, c, filled FROM (UNPIVOT (SELECT count(COLUMNS('(.*)')) AS "\1" FROM {0}) ON COLUMNS(*) INTO NAME c VALUE filled)"""
+
+
 def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -85,10 +89,11 @@ def m01(spark, d):
     return sql_files(spark, d).mapInPandas(fold, "name string, columns string")
 
 
-@query("s31_schema_to_facts", "SELECT 'db:part' AS src, 'db:part.' || c AS dst FROM (SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS c) UNION ALL SELECT 'db:nation', 'db:nation.' || unnest(['n_nationkey', 'n_name', 'n_regionkey'])")
+@query("s31_schema_to_facts", f"SELECT 'db:' || t AS src, 'db:' || t || '.' || c AS dst, filled FROM ({FILLED.format('part')} UNION ALL {FILLED.format('nation')})")
 def s31(spark, d):
-    rows = [(f"db:{t}", f"db:{t}.{c}") for t in ("part", "nation") for c in table(spark, d, t).columns]
-    return spark.createDataFrame(rows, "src string, dst string")
+    """CONTAINS facts of two stored tables, each with the rows that hold a value."""
+    part, nation = (stores.filled_columns(table(spark, d, t)).select(F.lit(f"db:{t}").alias("src"), F.concat(F.lit(f"db:{t}."), "c").alias("dst"), "filled") for t in ("part", "nation"))
+    return part.unionByName(nation)
 
 
 @query("s34_rows_to_schema", "SELECT l_returnflag AS t, string_agg(l_linestatus, ',' ORDER BY l_linestatus) AS columns FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem) GROUP BY 1")

@@ -82,3 +82,8 @@ def load_or_build(spark: SparkSession, folder: str, commit: str | None, fingerpr
             pass
     save(build(), path)
     return load(spark, path), False
+
+
+def filled_columns(df: DataFrame) -> DataFrame:
+    """(c, filled): each column of a table, and how many of its rows hold a value."""
+    return df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).unpivot([], df.columns, "c", "filled")

@@ -113,9 +113,24 @@ def test_a_drained_stream_is_read_from_files(spark, tmp_path):
 def test_components_are_labelled_apart_and_numbered_together(spark, monkeypatch):
     from tessera.plans import graph_queries as G
 
-    parts, real = [], G.T.strong_components
-    monkeypatch.setattr(G.T, "strong_components", lambda hops: parts.append(real(hops)) or parts[-1])
+    parts, real = [], G.T.components
+    monkeypatch.setattr(G.T, "components", lambda nodes, links: parts.append(real(nodes, links)) or parts[-1])
     edges = [("a", "m", 1), ("b", "n", 1), ("d", "n", 3)]
     got = G.label_propagation(G.undirected(spark.createDataFrame(edges, "src_area string, dst_area string, weight long")))
     assert {r.node: r.community for r in got.collect()} == {"a": 0, "m": 0, "b": 1, "n": 1, "d": 1}
     assert len({r.component for r in parts[0].collect()}) == 2
+
+
+def test_large_components_go_by_turns_with_the_same_result(spark):
+    import random
+
+    from tessera.operators.communities import by_turns, label_propagation
+
+    rng = random.Random(3)
+    edges = {(a, b): rng.choice((1, 1, 2, 5)) for a, b in (sorted(rng.sample(range(11), 2)) for _ in range(14))}
+    both = [(f"n{x:02d}", f"n{y:02d}", w) for (a, b), w in edges.items() for x, y in ((a, b), (b, a))]
+    both += [("n03", "n03", 2), ("z", "z", 1)]  # nodes that are their own neighbours
+    u = spark.createDataFrame(both, "a string, b string, weight long")
+    grouped, turns = ({r.node: r.community for r in label_propagation(u, group_hops=most).collect()} for most in (1_000, 2))
+    assert grouped == turns and len(set(grouped.values())) > 1
+    assert by_turns(u.limit(0), 20).count() == 0
