@@ -63,12 +63,17 @@ def x05(spark, d):
 @query("x06_near_statements", """SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b WHERE a.p_name < b.p_name
     AND len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) * 3 >= len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(b.p_name, ' '))))""")
 def x06(spark, d):
-    """Pairs of different statements that share a third of their words, through an inverted index of words."""
-    names = table(spark, d, "part").select("p_name").distinct().withColumn("w", F.split("p_name", " "))
-    words = names.select("p_name", F.explode(F.array_distinct("w")).alias("word"))
-    pairs = (
-        words.select(F.col("p_name").alias("a"), "word").join(words.select(F.col("p_name").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
-    )
+    """Pairs of different statements that share a third of their words.
+
+    Of n words a statement is asked by its rarest n - ceil(n / 3) + 1: two alike share one of those,
+    so what nearly all have in common pairs none of them.
+    """
+    words = table(spark, d, "part").select("p_name").distinct().select("p_name", F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
+    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+    rare = words.join(often, "word").groupBy("p_name").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("w"))
+    n = F.size("w")
+    keys = rare.select("p_name", F.explode(F.slice("w.word", F.lit(1), n - F.ceil(n / F.lit(3)).cast("int") + 1)).alias("word"))
+    pairs = keys.select(F.col("p_name").alias("a"), "word").join(keys.select(F.col("p_name").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
     wa, wb = F.split("a", " "), F.split("b", " ")
     return pairs.where(F.size(F.array_intersect(wa, wb)) * 3 >= F.size(F.array_union(wa, wb)))
 
