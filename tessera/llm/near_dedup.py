@@ -15,7 +15,9 @@ similarity. Then:
    bucket of at most ``block`` classes is one task's piece of work; the classes of larger
    ones meet by shingle instead: each puts forward its rarest shingles, so many that two
    sets above the threshold must share one, and only classes that share one are compared.
-   What large groups have in common is therefore never anybody's key;
+   What large groups have in common is therefore never anybody's key. All pairs of those
+   classes are covered by that, so a smaller bucket that consists of them is left out, and
+   one that mostly does hands them its other classes;
 4. candidates are estimated jointly by maximum likelihood from the three counts of
    greater, smaller and equal registers, and dropped only six standard errors below the
    threshold; the rest are confirmed on full sets;
@@ -336,11 +338,13 @@ class NearDuplicates:
         return self.facing(pairs, texts).mapInArrow(verify, "a long, b long")
 
     def rare_shingles(self, members: DataFrame, texts: DataFrame) -> DataFrame:
-        """(key, node, label, blocks): classes by the shared shingles among their rarest, where several components share one.
+        """(key, node, label, lead, rest, leads): classes by the shared shingles among their rarest, where several components share one.
 
         ``members`` (node, label). Shingles stand by the number of members that have them,
         then by hash. The first n - ceil(percent / 100 * n) + 1 of a set of n hold one of any
-        set at the threshold; those that no other member has are nobody's key.
+        set at the threshold; those that no other member has are nobody's key. A shingle of
+        more than two blocks of classes is cut into ``lead`` parts of its largest component
+        (``leads``) and ``rest`` parts of all others, see :meth:`pieces`.
         """
         width, percent = self.width, self.percent
 
@@ -370,23 +374,65 @@ class NearDuplicates:
         # unique ones stand first
         take = F.greatest(first - (F.col("n") - F.size("s")), F.lit(0)).cast("int")
         ahead = materialise(per.select("node", "label", F.explode(F.slice("s", F.lit(1), take)).alias("x")).select("x.key", "node", "label"), "ahead")
-        lists = ahead.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        listed = join_in_parts(ahead, lists.select("key", "k"), "key", "node", "k", ahead.count())
-        return listed.select("key", "node", "label", F.ceil(F.col("k") / F.lit(self.block)).cast("int").alias("blocks"))
+        by_label = ahead.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+        lists = by_label.groupBy("key").agg(F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("most")).where("k > most.k")
+        return self.parted(join_in_parts(ahead, lists, "key", "node", "k", ahead.count()))
+
+    def parted(self, listed: DataFrame) -> DataFrame:
+        """(key, node, label, lead, rest, leads) from (key, node, label, k, most): k classes in all, most.k of them in component most.label."""
+        whole, others = F.col("k") <= 2 * self.block, F.col("k") - F.col("most.k")
+        rest = F.ceil(others / F.lit(self.block))
+        lead = F.ceil(F.col("most.k") / (F.lit(2 * self.block) - F.ceil(others / rest)))
+        return listed.select(
+            "key",
+            "node",
+            "label",
+            F.when(whole, 1).otherwise(lead).cast("int").alias("lead"),
+            F.when(whole, 0).otherwise(rest).cast("int").alias("rest"),
+            (whole | (F.col("label") == F.col("most.label"))).alias("leads"),
+        )
+
+    def pieces(self, members: DataFrame) -> DataFrame:
+        """(key, i, j, node, label): each row of ``members`` (key, node, label, lead, rest, leads) in its pieces of work.
+
+        Only classes of different components have to meet. So the parts of a key's largest
+        component meet those of the others, and these meet each other, but no two parts of
+        the largest: with few others, rows grow with its size, not with its square. A part's
+        own classes meet in any of its pieces, which hold two blocks at most. A key without
+        ``rest`` is one piece.
+        """
+        turn = F.xxhash64("node")
+        placed = members.withColumn("mine", F.when(F.col("leads"), F.pmod(turn, F.col("lead"))).otherwise(F.col("lead") + F.pmod(turn, F.col("rest"))).cast("int"))
+        last = F.col("lead") + F.col("rest") - 1
+        others = (
+            F.when(F.col("rest") == 0, F.array(F.lit(0)))
+            .when(F.col("leads"), F.sequence(F.col("lead"), last))
+            .otherwise(F.array_except(F.sequence(F.lit(0), last), F.array("mine")))
+        )
+        paired = placed.withColumn("other", F.explode(others))
+        return paired.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label")
+
+    def handed_over(self, small: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(buckets that stay, classes that meet by shingle), from small buckets (key, node, label) and the classes (node, label) of large ones.
+
+        A bucket of which at least half are such classes hands over the others. Then a bucket
+        of such classes alone goes: all their pairs meet by shingle.
+        """
+        among = small.join(crowded.select("node", F.lit(1).alias("among")), "node", "left")
+        mostly = among.groupBy("key").agg(F.count("among").alias("m"), F.count(F.lit(1)).alias("k")).where("2 * m >= k").select("key")
+        crowded = materialise(crowded.union(small.join(mostly, "key", "left_semi").select("node", "label")).distinct(), "mixed")
+        outside = small.join(crowded, "node", "left_anti").select("key").distinct()
+        return small.join(outside, "key", "left_semi"), crowded
 
     def across(self, members: DataFrame, texts: DataFrame) -> DataFrame:
         """Links between components that share a key (a bucket, or a rare shingle), at most one for each two components of it.
 
-        ``members`` (key, node, label, blocks). A key is one piece of work; one of more than
-        ``block`` classes is as many as it has pairs of blocks, each with the classes of two
-        blocks at most. Intersections of full sets come from products of 0/1 matrices, so no
-        pair becomes a row.
+        ``members`` (key, node, label, lead, rest, leads). A key is one piece of work, or
+        several, see :meth:`pieces`. Intersections of full sets come from products of 0/1
+        matrices, so no pair becomes a row.
         """
         width, percent = self.width, self.percent
-        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        with_block = members.withColumn("mine", mine)
-        paired = with_block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        work = paired.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label")
+        work = self.pieces(members)
 
         def link(rows: list[tuple[int, int, bytes]], sets: SetCache) -> list[tuple[int, int]]:
             """Links of one piece of work. Where its sets together are too large to be held, they meet in
@@ -552,11 +598,16 @@ def near_duplicates(
     release(crowd, stars, classes)
     small, large = (members.where(which).select("key", "node", "label") for which in (F.col("k") <= block, F.col("k") > block))
     # a small bucket is one piece of work
-    work = small.join(ends(small).where("low < high").select("key"), "key").select("key", "node", "label", F.lit(1).alias("blocks"))
-    if not large.isEmpty():
+    work = small.join(ends(small).where("low < high").select("key"), "key").select("key", "node", "label")
+    one = (F.lit(1).alias("lead"), F.lit(0).alias("rest"), F.lit(True).alias("leads"))
+    if large.isEmpty():
+        work = work.select("*", *one)
+    else:
         # the classes of large ones, by the rare shingles that they share
         mixed = join_in_parts(large, ends(large), "key", "node", "k", members.count()).where("low < high")
-        work = work.unionByName(plan.rare_shingles(materialise(mixed.select("node", "label").distinct(), "mixed"), texts))
+        crowded = materialise(mixed.select("node", "label").distinct(), "mixed")
+        stay, crowded = plan.handed_over(materialise(work, "small"), crowded)
+        work = stay.select("*", *one).unionByName(plan.rare_shingles(crowded, texts))
     open_rows = materialise(work, "mixed")
     if not open_rows.isEmpty():
         last = materialise(plan.across(open_rows, texts), "links")

@@ -101,6 +101,42 @@ def test_large_buckets_meet_by_rare_shingles(spark):
     assert got == brute(rows)
 
 
+def test_pieces_grow_with_a_component_not_with_its_square(spark):
+    """All classes of different components meet; one large component among few others costs rows in proportion."""
+    plan, block = N.NearDuplicates(75, 60, 5, 5, 16), 16
+
+    def pieces(sizes):
+        rows, node = [], 0
+        for label, size in enumerate(sizes):
+            rows += [(1, node + x, label, sum(sizes), (max(sizes), sizes.index(max(sizes)))) for x in range(size)]
+            node += size
+        listed = spark.createDataFrame(rows, "key long, node long, label long, k long, most struct<k: long, label: long>")
+        held = {}
+        for r in plan.pieces(plan.parted(listed)).collect():
+            held.setdefault((r.i, r.j), []).append((r.node, r.label))
+        met = {(a, b) for piece in held.values() for a, x in piece for b, y in piece if x != y}
+        label = {r[1]: r[2] for r in rows}
+        assert met == {(a, b) for a in label for b in label if label[a] != label[b]}
+        assert max(len(piece) for piece in held.values()) <= 3 * block  # two, but for the unevenness of hashes
+        return sum(len(piece) for piece in held.values())
+
+    assert pieces([20, 5, 7]) == 32
+    assert pieces([200] + [1] * 10) <= 2 * 210
+    assert pieces([400] + [1] * 10) <= 2 * 410  # by blocks of all classes against each other: 410 * 26
+    pieces([1] * 90)
+    pieces([60, 50, 3])
+
+
+def test_buckets_of_classes_that_meet_by_shingle_are_left_out(spark):
+    plan = N.NearDuplicates(75, 60, 5, 5, 16)
+    buckets = {1: range(0, 10), 2: range(5, 14), 3: range(8, 16), 4: [9, 30, 31, 32], 5: [12, 13, 2], 6: [30, 31]}
+    small = spark.createDataFrame([(k, n, n % 3) for k, nodes in buckets.items() for n in nodes], "key long, node long, label long")
+    crowded = spark.createDataFrame([(n, n % 3) for n in range(10)], "node long, label long")
+    stay, crowded = plan.handed_over(small, crowded)
+    assert sorted((r.node, r.label) for r in crowded.collect()) == [(n, n % 3) for n in range(14)]
+    assert sorted((r.key, r.node) for r in stay.collect()) == [(k, n) for k in (3, 4, 6) for n in buckets[k]]
+
+
 def test_large_keys_are_joined_in_parts(spark):
     rows = spark.range(5_000).selectExpr("if(id < 4000, 1, id) AS key", "id AS node")
     groups = rows.groupBy("key").count().selectExpr("key", "count AS k", "key * 10 AS value")
