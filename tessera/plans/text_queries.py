@@ -304,7 +304,7 @@ def s52(spark, d):
 
 @query("s53_artifact", "SELECT page_id, base64(encode(url)) AS content FROM pages")
 def s53(spark, d):
-    return pages(spark, d).select("page_id", F.base64(F.col("url").cast("binary")).alias("content"))
+    return pages(spark, d).select("page_id", F.replace(F.base64(F.col("url").cast("binary")), F.lit("\r\n"), F.lit("")).alias("content"))  # one line: Spark may cut it after every 76 characters
 
 
 PATCH_SQL = "'@@ -' || CAST(l_orderkey % 90 + 1 AS STRING) || ',3 +' || CAST(l_orderkey % 70 + 1 AS STRING) || ',4 @@' || chr(10) || ' context' || chr(10) || '+added ' || CAST(l_partkey AS STRING) || chr(10) || '-removed' || chr(10) || '+last ' || CAST(l_suppkey AS STRING)"
