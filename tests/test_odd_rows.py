@@ -1,5 +1,7 @@
 """Queries on rows that the given tables lack or have few of, against their own SQL."""
 
+import random
+
 import pytest
 
 from tessera.plans.registry import ORACLES, QUERIES
@@ -25,3 +27,12 @@ def same(spark, tmp_path):
 def test_an_artifact_is_one_line_whatever_its_length(same):
     got, want = same("s53_artifact", pages=([(k, "https://x.example/" + "ü/" * k) for k in (0, 18, 19, 20, 40, 400)] + [(500, ""), (501, None)], "page_id long, url string"))
     assert got == want and not any("\n" in (r[1] or "") for r in got)
+
+
+def test_markdown_of_every_kind_comes_back(same):
+    rnd = random.Random(5)
+    bits = ["# ", "##  ", "- ", "* ", "+  ", "3. ", "12) ", "> ", ">", "| ", " | ", "|", "||", "---", "--|--", "| -- | :--: |", "***", "```", "~~~ py", "`a`", "**b c**", "**", "*", "`", "[l](t)", "[](t)", "[**l](t)", "https://a.b/**c**", " ", "  ", "\t", "\r", "\x0b", "\xa0", "\x1c", "a", "b c", "ü", "|a|b|c|"]
+    texts = ["", " \n\t\n", "3. first word a number", "x\r\ny\rz\r\n", "> a\n>\n> > b\n> ```\n>\n> c\n", "a|b\n--|--\n1|2|3\n4\n|5|\n", "- a\n  - b\n1. c\n\n- d", "```\n `x` \n\n**y**", "[a](b) [](c) https://d.e", None]
+    texts += ["\n".join("".join(rnd.choice(bits) for _ in range(rnd.randrange(5))) for _ in range(rnd.randrange(1, 12))) for _ in range(600)]
+    got, want = same("x25b_round_trip", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert [x for x in got if x not in want][:5] == [] and got == want
