@@ -24,3 +24,12 @@ def test_a_file_of_many_spans_makes_few_rows(spark):
     spots = spark.range(50_000).selectExpr("'f' AS file", "id AS line")
     got = innermost_spans(spots, spots.selectExpr("file", "line AS first", "line + 1000 AS last", "line AS seq", "CAST(line AS STRING) AS id"))
     assert got.where("best.seq = greatest(line - 1000, 0)").count() == 50_000
+
+
+def test_only_callers_of_faulty_symbols_are_counted(spark):
+    from tessera.plans.registry import QUERIES
+
+    got = QUERIES["j38_localize"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and got.count()
+    assert "event_type" not in plan  # the traces are read as they were written, not made once more
