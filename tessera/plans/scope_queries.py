@@ -68,7 +68,8 @@ S05 = f"""WITH f AS ({lines(picked)}), own AS (SELECT *, 'py:shop.o' || o AS m,
 @query("s05_resolved_calls", S05)
 def s05(spark, d):
     """Calls of every order's file: through a name that a parameter, a local or an inner parameter hides, no edge."""
-    return C.resolved_calls(write_once(scan_syntax(order_files(spark, d)))).select("src", "dst")
+    rows = scan_syntax(order_files(spark, d)).where("what NOT IN ('set', 'base')").select(C.USED)
+    return C.resolved_calls(write_once(rows)).select("src", "dst")
 
 
 S07 = f"""SELECT 'py:shop.o' || o || '.C' || n AS src, CASE base WHEN 'h0' THEN 'py:lib.m' || (o % 5) || '.h0' WHEN 'g1' THEN 'py:lib.m' || (o % 5) || '.h1' WHEN 'K0' THEN 'py:shop.o' || o || '.K0' ELSE 'py:' || base END AS dst,

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.scopes import nearest_binding, python_targets
 
+#: The columns of syntax rows that are read here.
+USED = ["path", "module", "what", "name", "holder", "target", "block", "owner", "caller", "form", "line", "chain"]
+
 
 def _id(column: str) -> F.Column:
     return F.concat(F.lit("py:"), column)
