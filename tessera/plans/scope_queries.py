@@ -79,7 +79,8 @@ S07 = f"""SELECT 'py:shop.o' || o || '.C' || n AS src, CASE base WHEN 'h0' THEN
 @query("s07_bases", S07)
 def s07(spark, d):
     """Bases of every class: imported, of the module, or external; a dotted one is left alone."""
-    return C.resolved_bases(write_once(scan_syntax(order_files(spark, d)))).select("src", "dst", "external")
+    rows = scan_syntax(order_files(spark, d)).where("what IN ('import', 'function', 'class', 'base')").select(C.USED)  # a base isn't hidden by a parameter or a local
+    return C.resolved_bases(write_once(rows)).select("src", "dst", "external")
 
 
 # --- other languages: calls, bindings and methods as rows; a file for every eight orders
